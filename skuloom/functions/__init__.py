@@ -1,0 +1,8 @@
+from skuloom.functions.ranks import batch_numbers, nearest_rank, order_statistics, quantiles, sequence_numbers
+from skuloom.functions.skew import skew_join, small_enough_to_broadcast
+from skuloom.functions.skus import bucket_count, sku_bucket, sku_id, sku_number, sku_shard
+
+__all__ = [
+    "batch_numbers", "bucket_count", "nearest_rank", "order_statistics", "quantiles", "sequence_numbers",
+    "skew_join", "sku_bucket", "sku_id", "sku_number", "sku_shard", "small_enough_to_broadcast",
+]
