@@ -106,28 +106,36 @@ def quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str, float]
     return found.select(*groups, "n", *out)
 
 
-def sequence_numbers(
-    df: DataFrame, group: list[str], slice_key: Column, order: list[str], name: str = "rn"
+def running_totals(
+    df: DataFrame, group: list[str], slice_key: Column, order: list[str], weight: Column, name: str
 ) -> DataFrame:
-    """1-based row number per group in ``order``, with the group cut into slices that are numbered apart.
+    """Sum of ``weight`` over the rows before a row in its group, with the group cut into slices summed apart.
 
-    ``slice_key`` must rise with ``order`` and bound the rows of a slice, e.g. a unique sequence id divided by
-    a constant. Slice counts are pre-aggregated; their running offset is joined back to the rows.
+    ``slice_key`` must rise with ``order`` and bound the rows of a slice, e.g. a unique integer divided by a
+    constant. Slice sums are pre-aggregated; their running total is joined back to the rows.
     """
-    sliced = df.withColumn("__slice", slice_key)
-    before = W.partitionBy(*group).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = checkpointed(sliced.groupBy(*group, "__slice").agg(F.count("*").alias("__c"))).select(
-        *group, "__slice", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset")
+    sliced = df.withColumn("__slice", slice_key).withColumn("__weight", weight)
+    earlier = W.partitionBy(*group).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = checkpointed(sliced.groupBy(*group, "__slice").agg(F.sum("__weight").alias("__sum"))).select(
+        *group, "__slice", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset")
     )
-    inside = W.partitionBy(*group, "__slice").orderBy(*order)
+    inside = W.partitionBy(*group, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        sliced.withColumn("__rn", F.row_number().over(inside))
+        sliced.withColumn("__before", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
         .join(offsets, [*group, "__slice"])
-        .withColumn(name, F.col("__rn") + F.col("__offset"))
-        .drop("__rn", "__offset", "__slice")
+        .withColumn(name, F.col("__offset") + F.col("__before"))
+        .drop("__slice", "__weight", "__before", "__offset")
     )
 
 
+def sequence_numbers(
+    df: DataFrame, group: list[str], slice_key: Column, order: list[str], name: str = "rn"
+) -> DataFrame:
+    """1-based row number per group in ``order``; see :func:`running_totals` for ``slice_key``."""
+    one = F.lit(1).cast("bigint")
+    return running_totals(df, group, slice_key, order, one, name).withColumn(name, F.col(name) + 1)
+
+
 def batch_numbers(df: DataFrame, group: list[str], seq: str, batch: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Number consecutive runs of ``batch`` rows per group in order of the unique integer ``seq``."""
     numbered = sequence_numbers(df, group, F.floor(F.col(seq) / F.lit(slice_rows)), [seq])

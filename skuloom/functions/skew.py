@@ -56,13 +56,6 @@ def _salted(fact: DataFrame, sized: DataFrame, keys: list[str], spread: list[str
     )
 
 
-def small_enough_to_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave the join to a shuffle.
-
-    Meant for tables that are cheap to count: checkpointed or freshly written ones.
-    """
-    return broadcast_if(df.limit(rows + 1).count() <= rows)(df)
-
-
 def broadcast_if(small: bool) -> Callable[[DataFrame], DataFrame]:
+    """A hint for sides whose size was just checked: broadcast the small, leave the others to a shuffle."""
     return F.broadcast if small else lambda df: df

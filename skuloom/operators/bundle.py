@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
+from skuloom.functions.ranges import range_join
+from skuloom.functions.ranks import SLICE_ROWS, running_totals
+from skuloom.functions.skew import broadcast_if
+from skuloom.session import checkpointed, fresh_path, materialize
 
 BUNDLE_COLUMNS = ["sku", "sku_n", "model_name", "model_blob_bytes", "params", "metrics"]
 BUNDLE_SCHEMA = (
@@ -21,6 +25,10 @@ BUNDLE_SCHEMA = (
 )
 FLAT_METRICS = ["rmse", "mape", "r2"]
 FLAT_ROW_GROUP_ROWS = 200
+# Narrow rows, one or two per write task: a million of them describe two petabytes of 2 GB tasks.
+BROADCAST_PIECES = 1_000_000
+# Upper bound given to row groups whose sku range is unknown.
+ANY_SKU = 2**62
 INDEX_SCHEMA = "region string, bucket int, file string, row_group int, sku_min bigint, sku_max bigint, n_rows bigint"
 
 
@@ -40,6 +48,24 @@ def bucketed(plan: DataFrame, buckets: int) -> DataFrame:
     return plan.withColumn("sku_n", S.sku_number("sku")).withColumn("bucket", S.sku_bucket("sku", buckets))
 
 
+def write_pieces(counts: DataFrame, rows_per_piece: int) -> DataFrame:
+    """Cut the (region, bucket, sku) order into pieces of about ``rows_per_piece`` rows.
+
+    From ``counts`` (region, bucket, sku_n, rows): one row per piece and bucket with the sku range it covers there.
+    The only window over a whole table runs over (region, bucket) totals: at most 512 rows per region.
+    """
+    totals = counts.groupBy("region", "bucket").agg(F.sum("rows").alias("rows"))
+    earlier = W.orderBy("region", "bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("region", "bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    inside = running_totals(
+        counts, ["region", "bucket"], F.floor(F.col("sku_n") / SLICE_ROWS), ["sku_n"], F.col("rows"), "before"
+    )
+    piece = F.floor((F.col("start") + F.col("before")) / F.lit(rows_per_piece)).alias("piece")
+    return inside.join(starts, ["region", "bucket"]).groupBy("region", "bucket", piece).agg(
+        F.min("sku_n").alias("sku_from"), F.max("sku_n").alias("sku_to")
+    )
+
+
 def write_bundle(
     plan: DataFrame,
     root: str,
@@ -50,30 +76,38 @@ def write_bundle(
 ) -> int:
     """Write the models of all regions in one job; returns the number of write partitions.
 
-    Range partitions over (region, bucket, sku) keep each task within ``task_bytes`` and give every file of a
-    bucket its own sku range; the local sort gives every row group its own. A sku that alone exceeds
-    ``task_bytes`` is spread over several ranges by model, any other sku stays in one.
+    Each task gets one run of the (region, bucket, sku) order, sized to ``task_bytes``, so every file of a bucket has
+    its own sku range; the local sort gives every row group its own. The runs are counted from the key columns and
+    rows are sent to them by number: the blobs are read and shuffled once, with no sampling pass over them.
+    A sku that alone exceeds a task is spread over several by model, any other sku stays in one.
     """
     size = blob_bytes_per_row(plan) if bytes_per_row is None else bytes_per_row
-    rows_per_task = max(1, int(task_bytes / max(size, 1.0)))
-    counts = plan.groupBy("region", "sku").agg(F.count("*").alias("rows"))
+    counts = materialize(
+        bucketed(plan.select("region", "sku"), buckets).groupBy("region", "bucket", "sku_n").agg(F.count("*").alias("rows")),
+        fresh_path(plan.sparkSession, "bundle-counts"),
+    )
     total = counts.agg(F.sum("rows")).first()[0] or 0
     partitions = S.write_partitions(buckets, total, size, task_bytes)
-    # At most total / rows_per_task skus can exceed a task, i.e. no more than there are write partitions.
-    hot = counts.where(F.col("rows") > rows_per_task).select(
-        "region", "sku", F.ceil(F.col("rows") / F.lit(rows_per_task)).alias("pieces")
+    rows_per_piece = max(1, -(-total // partitions))
+    pieces = checkpointed(write_pieces(counts, rows_per_piece))
+    hint = broadcast_if(pieces.count() <= BROADCAST_PIECES)
+    # At most total / rows_per_piece skus, i.e. no more than there are write partitions, exceed a piece.
+    hot = counts.where(F.col("rows") > rows_per_piece).select(
+        "region", "bucket", "sku_n", F.ceil(F.col("rows") / F.lit(rows_per_piece)).alias("spread")
     )
     part = F.when(
-        F.col("pieces").isNotNull(), F.pmod(F.xxhash64("model_name", "model_blob_bytes"), F.col("pieces"))
+        F.col("spread").isNotNull(), F.pmod(F.xxhash64("model_name", "model_blob_bytes"), F.col("spread"))
     ).otherwise(F.lit(0))
+    placed = range_join(
+        bucketed(plan, buckets), pieces, ["region", "bucket"], "sku_n", "sku_from", "sku_to", how="left", hint=hint
+    ).join(F.broadcast(hot), ["region", "bucket", "sku_n"], "left")
     (
-        bucketed(plan, buckets)
-        .join(F.broadcast(hot), ["region", "sku"], "left")
-        .withColumn("part", part)
-        .select("region", "bucket", *BUNDLE_COLUMNS, "part")
-        .repartitionByRange(partitions, "region", "bucket", "sku_n", "part")
-        .sortWithinPartitions("region", "bucket", "sku_n", "part", "model_name")
-        .drop("part")
+        placed.withColumn("part", part)
+        .withColumn("piece", (F.col("piece") + F.col("part")).cast("int"))
+        .select("region", "bucket", *BUNDLE_COLUMNS, "piece")
+        .repartitionById(partitions, "piece")
+        .drop("piece")
+        .sortWithinPartitions("region", "bucket", "sku_n", "model_name")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("region", "bucket")
@@ -101,7 +135,7 @@ def write_flat(plan: DataFrame, root: str) -> None:
         *[F.coalesce(F.col("metrics")[k], F.lit(0.0)).alias(k) for k in FLAT_METRICS],
     )
     (
-        flat.hint("rebalance", "region", "sku")
+        flat.repartitionByRange("region", "sku", "model_name")
         .sortWithinPartitions("region", "sku", "model_name")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
@@ -147,7 +181,7 @@ def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     sku = group.column(at).statistics
                     # A group without statistics may hold any sku, so it must match every lookup.
                     known = sku is not None and sku.has_min_max
-                    low, high = (sku.min, sku.max) if known else (0, 2**62)
+                    low, high = (sku.min, sku.max) if known else (0, ANY_SKU)
                     found.append((region, bucket, file, i, low, high, group.num_rows))
         yield pd.DataFrame(found, columns=["region", "bucket", "file", "row_group", "sku_min", "sku_max", "n_rows"])
 

@@ -6,14 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skuloom.functions import skus as S
-from skuloom.functions.skew import ROWS_PER_TASK, chunked, small_enough_to_broadcast
+from skuloom.functions.ranges import range_join
+from skuloom.functions.skew import ROWS_PER_TASK, chunked
 from skuloom.operators import train
-from skuloom.operators.bundle import open_parquet
+from skuloom.operators.bundle import ANY_SKU, open_parquet
 
 MODEL_KEY = ["region", "sku_n", "model_name"]
 
@@ -106,33 +107,18 @@ def score_opaque(
     return ordered.mapInPandas(run, schema)
 
 
-def _cells(low: Column, high: Column, width: Column) -> Column:
-    return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
-
-
 def locate(requests: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     """(region, sku, file, row_group) of every row group that may hold a requested sku: all matches.
 
-    A range join by equality on (region, bucket, cell): cells are about one row group wide, so a key meets only
-    the few groups of its cell instead of every group of its bucket. Requested keys are made distinct first.
-    ``index`` should be a stored table: it is read twice.
+    The bucket is part of the key, because sku ranges of different buckets overlap. Requested keys are made distinct
+    first. ``index`` should be a stored table.
     """
-    # Row groups without statistics span everything and are matched on (region, bucket) alone.
-    known = index.where(F.col("sku_max") < 2**62)
-    width = (
-        known.groupBy("region", "bucket")
-        .agg(((F.max("sku_max") - F.min("sku_min") + 1) / F.count("*")).alias("w"))
-        .select("region", "bucket", F.greatest(F.lit(1.0), "w").alias("w"))
-    )
-    width = small_enough_to_broadcast(width)
     keys = with_bucket(requests.select("region", "sku").distinct(), buckets)
-    wanted = keys.join(width, ["region", "bucket"]).withColumn("cell", F.floor(F.col("sku_n") / F.col("w")))
-    groups = known.join(width, ["region", "bucket"]).withColumn("cell", _cells(F.col("sku_min"), F.col("sku_max"), F.col("w")))
-    hits = wanted.join(groups.drop("w"), ["region", "bucket", "cell"]).where(
-        F.col("sku_n").between(F.col("sku_min"), F.col("sku_max"))
-    )
+    known = index.where(F.col("sku_max") < ANY_SKU)
+    hits = range_join(keys, known, ["region", "bucket"], "sku_n", "sku_min", "sku_max")
     columns = ["region", "sku", "sku_n", "bucket", "file", "row_group"]
-    anywhere = keys.join(index.where(F.col("sku_max") == 2**62), ["region", "bucket"])
+    # Row groups without statistics may hold any sku of their bucket.
+    anywhere = keys.join(index.where(F.col("sku_max") == ANY_SKU), ["region", "bucket"])
     return hits.select(*columns).unionByName(anywhere.select(*columns))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuloom.functions.skew import skew_join
+from skuloom.functions.skew import ROWS_PER_TASK, skew_join
 from skuloom.functions.skus import sku_id
 
 MODEL_NAMES = ["mean", "price_ols", "weekday_mean"]
@@ -14,6 +14,8 @@ METRIC_NAMES = ["rmse", "mape", "r2", "mae", "mse", "accuracy", "precision", "re
 HIT_TOLERANCE = 0.25
 HIGH_DEMAND = 25
 
+REFERENCE_BYTES = 64 * 1024 * 1024
+
 BLOB_SCHEMA = "kind string, mean double, intercept double, slope double, weekday array<double>"
 
 
@@ -65,12 +67,12 @@ def predictions(mean: Column, intercept: Column, slope: Column, weekday: Column)
     }
 
 
-def evaluate(demand: DataFrame, coefs: DataFrame) -> DataFrame:
+def evaluate(demand: DataFrame, coefs: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Holdout metrics per (region, sku): one struct of metrics per model, sums combined before the shuffle."""
     holdout = demand.where("holdout").select("region", "sku_n", "demand", "price", "day_of_week", "order_no", "row_no")
     joined = skew_join(
         holdout, coefs, ["region", "sku_n"], "n_holdout",
-        spread=["row_no", "order_no", "price", "demand", "day_of_week"],
+        spread=["row_no", "order_no", "price", "demand", "day_of_week"], rows_per_task=rows_per_task,
     )
     guesses = predictions(F.col("mean"), F.col("intercept"), F.col("slope"), F.col("weekday"))
     rows = joined.select(
@@ -183,6 +185,24 @@ def predict(model: Column) -> Column:
     return out
 
 
+def attach_reference(
+    keys: DataFrame, models: DataFrame, blob: str = "model_blob_bytes", broadcast_bytes: int = REFERENCE_BYTES
+) -> DataFrame:
+    """Give every run-plan key the stored model of its name: ``models`` has one row per model name.
+
+    The models are broadcast when their measured size allows. Larger ones are shuffled, each copied once per
+    shuffle partition and the keys spread over the copies, since there are only a few names to shuffle by.
+    """
+    size = models.agg(F.coalesce(F.sum(F.octet_length(blob)), F.lit(0))).first()[0]
+    given = models.select("model_name", blob)
+    if size <= broadcast_bytes:
+        return keys.join(F.broadcast(given), "model_name")
+    copies = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = keys.withColumn("__copy", F.pmod(F.xxhash64("region", "sku"), F.lit(copies)).cast("int"))
+    copied = given.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return spread.join(copied.hint("shuffle_hash"), ["model_name", "__copy"]).drop("__copy")
+
+
 def slice_of(demand: DataFrame, region: str, sku: str) -> DataFrame:
     return demand.where((F.col("region") == region) & (F.col("sku") == sku))
 

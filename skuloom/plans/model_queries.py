@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.functions.skew import small_enough_to_broadcast
 from skuloom.operators import lookup, questions, train, user_models
 from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, rounded, step
 from skuloom.plans.store import ModelStore
@@ -84,17 +83,13 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM coef c CROSS JOIN names n CROSS JOIN reference f""",
 )
 def reference_model_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trained key's models handed to every run-plan key, by an equi-join on the model name.
-
-    The handed-out side has one row per model name; it is broadcast only after its rows are counted.
-    """
+    """The stored models of the first key handed to every run-plan key, by an equi-join on the model name."""
     plan = ModelStore(spark, sf_dir).plan()
     first = plan.select("region", "sku").orderBy("region", "sku").limit(1)
-    reference = checkpointed(
-        plan.join(first, ["region", "sku"]).select("model_name", train.decoded(F.col("model_blob_bytes")).alias("model"))
-    )
-    given = plan.select("region", "sku", "model_name").join(small_enough_to_broadcast(reference, 1_000), "model_name")
-    return rounded(given.select("region", "sku", "model_name", F.col("model.mean"), F.col("model.slope")))
+    reference = checkpointed(plan.join(first, ["region", "sku"]).select("model_name", "model_blob_bytes"))
+    given = train.attach_reference(plan.select("region", "sku", "model_name"), reference)
+    model = train.decoded(F.col("model_blob_bytes"))
+    return rounded(given.select("region", "sku", "model_name", model["mean"].alias("mean"), model["slope"].alias("slope")))
 
 
 @query(

@@ -44,7 +44,7 @@ def telemetry(plan: DataFrame) -> DataFrame:
 def write_telemetry(plan: DataFrame, name: str) -> None:
     spark = plan.sparkSession
     tables.ensure_table(spark, name, table_schema(TelemetryTable), ["region"], TELEMETRY_COMMENT)
-    tables.replace_rows(tables.spread_by(telemetry(plan), "region", "sku"), name)
+    tables.replace_rows(tables.spread_by(telemetry(plan), "region"), name)
 
 
 @dataclass(frozen=True)

@@ -14,19 +14,23 @@ from skuloom.sources import demand as D
 from skuloom.streaming import register, score
 
 
-@query("stream_scores", f"WITH {TELEMETRY} {SCORED}")
-def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items read as a stream of files, turned into requests and scored against the stored models."""
-    store = ModelStore(spark, sf_dir)
+def scored_files(spark: SparkSession, sf_dir: str, models: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Line items read as a stream of files, turned into requests, scored and appended to files."""
     schema = D.table(spark, sf_dir, "lineitem").schema
     lineitem = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     asked = D.demand_from(lineitem, spark, sf_dir, inventory=False).where("holdout").select(
         "region", "sku", "price", "day_of_week", "promotion"
     )
     out = fresh_path(spark, "scores")
-    scored = score.score_stream(asked, store.plan(), questions.default_models(store.telemetry()))
+    scored = score.score_stream(asked, models, chosen)
     score.to_files(scored, out + "/rows", out + "/checkpoint").awaitTermination()
-    return scored_columns(spark.read.schema(scored.schema).parquet(out + "/rows"))
+    return spark.read.schema(scored.schema).parquet(out + "/rows")
+
+
+@query("stream_scores", f"WITH {TELEMETRY} {SCORED}")
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ModelStore(spark, sf_dir)
+    return scored_columns(scored_files(spark, sf_dir, store.plan(), questions.default_models(store.telemetry())))
 
 
 @query("stream_registration", f"WITH {KEYS} {REGION_RUNS} UNION ALL {SKU_RUNS} UNION ALL {MODEL_RUNS}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.functions.skus import sku_id
+from skuloom.functions.skus import product_id, sku_id
 
 FEATURES = ["price", "day_of_week", "promotion", "inventory"]
 
@@ -41,7 +41,7 @@ def demand_from(lineitem: DataFrame, spark: SparkSession, sf_dir: str, inventory
         sku_id(F.col("l_partkey")).alias("sku"),
         F.col("l_partkey").alias("sku_n"),
         date.alias("date"),
-        F.format_string("PROD_%03d", F.col("l_partkey") % 50 + 1).alias("product_id"),
+        product_id(F.col("l_partkey") % 50 + 1).alias("product_id"),
         F.col("l_quantity").cast("int").alias("demand"),
         F.try_divide("l_extendedprice", "l_quantity").alias("price"),
         F.weekday(date).alias("day_of_week"),

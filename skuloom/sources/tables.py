@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,27 @@ def persist_run_plan(plan: DataFrame, target: str) -> None:
 
 
 def persist_demand(demand: DataFrame, target: str) -> None:
-    write_any(spread_by(demand, "region", "sku"), target, partition_by=["region"])
+    """Partitioned by region. Spread by region alone, so that a task writes one directory; big regions are split."""
+    write_any(spread_by(demand, "region"), target, partition_by=["region"])
+
+
+def exists(spark: SparkSession, target: str) -> bool:
+    if is_table_name(target):
+        return spark.catalog.tableExists(target)
+    try:
+        spark.read.parquet(target)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def stored_or_built(spark: SparkSession, target: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Read ``target`` if it is there, otherwise build and store it first."""
+    if not exists(spark, target):
+        write_any(build(), target)
+    return read_any(spark, target)
 
 
 def create_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
