@@ -75,8 +75,8 @@ def write_partitions(buckets: int, rows: int, bytes_per_row: float, task_bytes:
     return max(buckets, ceil(rows * bytes_per_row / task_bytes))
 
 
-def expansion_partitions(parallelism: int, total_bytes: float) -> int:
-    return max(2 * parallelism, ceil(total_bytes / EXPANSION_TASK_BYTES))
+def expansion_partitions(parallelism: int, total_bytes: Column) -> Column:
+    return F.greatest(F.lit(2 * parallelism).cast("bigint"), F.ceil(total_bytes / F.lit(EXPANSION_TASK_BYTES)))
 
 
 def run_id(*parts: Column | str) -> Column:

@@ -135,7 +135,8 @@ def write_flat(plan: DataFrame, root: str) -> None:
         *[F.coalesce(F.col("metrics")[k], F.lit(0.0)).alias(k) for k in FLAT_METRICS],
     )
     (
-        flat.repartitionByRange("region", "sku", "model_name")
+        # By region alone, so that a task writes one directory; adaptive execution splits big regions.
+        flat.hint("rebalance", "region")
         .sortWithinPartitions("region", "sku", "model_name")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")

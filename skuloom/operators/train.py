@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuloom.functions.skew import ROWS_PER_TASK, skew_join
-from skuloom.functions.skus import sku_id
+from skuloom.functions.skus import sku_id, sku_number
 
 MODEL_NAMES = ["mean", "price_ols", "weekday_mean"]
 METRIC_NAMES = ["rmse", "mape", "r2", "mae", "mse", "accuracy", "precision", "recall", "f1"]
@@ -14,6 +14,8 @@ METRIC_NAMES = ["rmse", "mape", "r2", "mae", "mse", "accuracy", "precision", "re
 HIT_TOLERANCE = 0.25
 HIGH_DEMAND = 25
 
+# Columns that tell rows of a key apart, used where present to spread a hot key.
+ROW_MARKS = ["row_no", "order_no", "date"]
 REFERENCE_BYTES = 64 * 1024 * 1024
 
 BLOB_SCHEMA = "kind string, mean double, intercept double, slope double, weekday array<double>"
@@ -69,11 +71,10 @@ def predictions(mean: Column, intercept: Column, slope: Column, weekday: Column)
 
 def evaluate(demand: DataFrame, coefs: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Holdout metrics per (region, sku): one struct of metrics per model, sums combined before the shuffle."""
-    holdout = demand.where("holdout").select("region", "sku_n", "demand", "price", "day_of_week", "order_no", "row_no")
-    joined = skew_join(
-        holdout, coefs, ["region", "sku_n"], "n_holdout",
-        spread=["row_no", "order_no", "price", "demand", "day_of_week"], rows_per_task=rows_per_task,
-    )
+    needed = ["demand", "price", "day_of_week"]
+    spread = [*needed, *[c for c in ROW_MARKS if c in demand.columns]]
+    holdout = demand.where("holdout").select("region", "sku_n", *spread)
+    joined = skew_join(holdout, coefs, ["region", "sku_n"], "n_holdout", spread, rows_per_task)
     guesses = predictions(F.col("mean"), F.col("intercept"), F.col("slope"), F.col("weekday"))
     rows = joined.select(
         "region", "sku_n", F.col("demand").cast("double").alias("y"), *[g.alias(f"p_{m}") for m, g in guesses.items()]
@@ -204,7 +205,25 @@ def attach_reference(
 
 
 def slice_of(demand: DataFrame, region: str, sku: str) -> DataFrame:
-    return demand.where((F.col("region") == region) & (F.col("sku") == sku))
+    """Rows of one key; the numeric id is named too, where there is one, since that filter reaches the scan."""
+    rows = demand.where((F.col("region") == region) & (F.col("sku") == sku))
+    return rows.where(F.col("sku_n") == int(sku.split("-")[-1])) if "sku_n" in demand.columns else rows
+
+
+def prepared(demand: DataFrame, holdout_share: int = 5) -> DataFrame:
+    """Add to a plain demand table what training needs: the numeric sku, and every fifth row or so held out by hash."""
+    return demand.withColumn("sku_n", sku_number("sku")).withColumn(
+        "holdout", F.pmod(F.xxhash64("sku", "date", "product_id", "price", "inventory"), F.lit(holdout_share)) == 0
+    )
+
+
+def reference_models(demand: DataFrame, region: str, sku: str) -> DataFrame:
+    """(model_name, model_blob_bytes) trained on one key; a key without rows is an error."""
+    rows = slice_of(demand, region, sku).withColumn("holdout", F.lit(False))
+    if rows.isEmpty():
+        raise ValueError(f"no demand rows for region {region}, sku {sku}")
+    coefs = coefficients(profile(rows))
+    return run_plan(coefs, evaluate(rows, coefs)).select("model_name", "model_blob_bytes")
 
 
 def features(demand: DataFrame) -> DataFrame:

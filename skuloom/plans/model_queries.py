@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from skuloom.operators import lookup, questions, train, user_models
 from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, rounded, step
 from skuloom.plans.store import ModelStore
-from skuloom.session import checkpointed, fresh_path, materialize
+from skuloom.session import fresh_path, materialize
 from skuloom.sources import demand as D
+from skuloom.sources import tables
 
 
 @query(
@@ -76,17 +77,23 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "reference_model_plan",
     f"""WITH {COEFS},
-    reference AS (SELECT * FROM coef ORDER BY region, sku_n LIMIT 1),
+    first_key AS (SELECT region, sku_n FROM coef ORDER BY region, sku_n LIMIT 1),
+    reference AS (
+      SELECT avg(demand) AS mean, CASE WHEN min(price) < max(price) THEN regr_slope(demand, price) ELSE 0.0 END AS slope
+      FROM demand JOIN first_key USING (region, sku_n)),
     names AS (SELECT unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name)
     SELECT c.region, printf('SKU-%06d', c.sku_n) AS sku, n.model_name, {r('f.mean')} AS mean,
            CASE WHEN n.model_name = 'price_ols' THEN {r('f.slope')} END AS slope
     FROM coef c CROSS JOIN names n CROSS JOIN reference f""",
 )
 def reference_model_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored models of the first key handed to every run-plan key, by an equi-join on the model name."""
+    """Models trained on all rows of the first key, stored once, and handed to every run-plan key by name."""
     plan = ModelStore(spark, sf_dir).plan()
-    first = plan.select("region", "sku").orderBy("region", "sku").limit(1)
-    reference = checkpointed(plan.join(first, ["region", "sku"]).select("model_name", "model_blob_bytes"))
+    first = plan.select("region", "sku").orderBy("region", "sku").first()
+    rows = D.demand(spark, sf_dir, inventory=False)
+    reference = tables.stored_or_built(
+        spark, fresh_path(spark, "reference"), lambda: train.reference_models(rows, first["region"], first["sku"])
+    )
     given = train.attach_reference(plan.select("region", "sku", "model_name"), reference)
     model = train.decoded(F.col("model_blob_bytes"))
     return rounded(given.select("region", "sku", "model_name", model["mean"].alias("mean"), model["slope"].alias("slope")))

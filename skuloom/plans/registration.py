@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from skuloom.functions.skus import bucket_count
 from skuloom.operators import bundle, registry, train
-from skuloom.session import materialize
+from skuloom.session import fresh_path, materialize
+from skuloom.sources import generate as G
 from skuloom.sources import tables
 from skuloom.sources.schema import TelemetryTable, table_schema
 
@@ -86,3 +87,22 @@ def stored_buckets(spark: SparkSession, telemetry_table: str) -> int:
 
 def stored_models(spark: SparkSession, telemetry_table: str) -> DataFrame:
     return bundle.read_bundle(spark, tables.get_property(spark, telemetry_table, BUNDLE_PROPERTY))
+
+
+def register_synthetic(
+    spark: SparkSession, spec: G.GenerationSpec, schema: str, bundle_root: str, n_endpoints: int = 3, seed: int = 0
+) -> Registration:
+    """The whole chain for a synthetic table of the given size; demand and run plan are reused or grown when stored."""
+    demand_table, plan_table = f"{schema}.demand", f"{schema}.run_plan"
+    keys = len(spec.regions) * spec.n_skus
+    G.bring_to_scale(
+        spark, demand_table, spec.n_rows, spec.n_skus,
+        lambda: tables.spread_by(G.synthetic_demand(G.key_pairs(spark, spec), spec.rows_per_sku, seed), "region"),
+        partition_by=["region"],
+    )
+    demand = train.prepared(tables.read_any(spark, demand_table))
+    G.bring_to_scale(
+        spark, plan_table, keys * len(train.MODEL_NAMES), spec.n_skus,
+        lambda: tables.spread_by(train_plan(demand, fresh_path(spark, "profile")), "region", "sku"),
+    )
+    return register(tables.read_any(spark, plan_table), f"{schema}.telemetry", bundle_root, n_endpoints)

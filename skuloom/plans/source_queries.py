@@ -258,11 +258,12 @@ def sku_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized AS (SELECT region, count(*) AS skus, count(*) * 3 AS models FROM coef GROUP BY region)
     SELECT region, skus, models, CAST(least(512, greatest(64, skus // 156)) AS INTEGER) AS bucket_count,
            greatest(least(512, greatest(64, skus // 156)), CAST(ceil(models * 4400000.0 / 2147483648.0) AS BIGINT)) AS write_partitions,
+           greatest(16, CAST(ceil(2 * models * 4400000.0 / 524288000.0) AS BIGINT)) AS doubling_partitions,
            (round(models * 4400000.0 / 1048576.0, 2) + 0.0) AS blob_mb
     FROM sized""",
 )
 def layout_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket and partition counts the layout rules give each region for blobs of 4.4 MB."""
+    """Bucket and partition counts the layout rules give each region for blobs of 4.4 MB, and for twice its skus."""
     sized = ModelStore(spark, sf_dir).plan().groupBy("region").agg(
         F.count_distinct("sku").alias("skus"), F.count("*").alias("models")
     )
@@ -274,6 +275,7 @@ def layout_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "models",
         buckets.alias("bucket_count"),
         F.greatest(buckets.cast("bigint"), F.ceil(total / F.lit(S.TASK_BYTES))).alias("write_partitions"),
+        S.expansion_partitions(8, total * 2).alias("doubling_partitions"),
         S.megabytes(total).alias("blob_mb"),
     )
 

@@ -110,15 +110,24 @@ def replace_rows(df: DataFrame, name: str) -> None:
 
 
 def replace_from_itself(df: DataFrame, target: str, partition_by: list[str] | None = None) -> None:
-    """Overwrite ``target`` with a result computed from it: stage first, then put in place."""
+    """Overwrite ``target`` with a result computed from it: the whole result is staged before the old rows go.
+
+    An unpartitioned table is then renamed into place. Partitions keep their place when a table is renamed, so a
+    partitioned table is copied from the staging table, as a path is.
+    """
     spark = df.sparkSession
     staging = f"{target}__staging_{uuid.uuid4().hex[:8]}"
     write_any(df, staging, partition_by)
-    if is_table_name(target):
+    if is_table_name(target) and not partition_by:
         spark.sql(f"DROP TABLE {target}")
         spark.sql(f"ALTER TABLE {staging} RENAME TO {target}")
+        return
+    write_any(read_any(spark, staging), target, partition_by)
+    if is_table_name(target):
+        spark.sql(f"DROP TABLE {staging}")
     else:
-        write_any(spark.read.parquet(staging), target, partition_by)
+        path = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def append_outcome(outcome: DataFrame, target: str) -> None:

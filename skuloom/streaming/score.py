@@ -7,10 +7,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skuloom.operators import lookup
 
+# Streams run without adaptive skew handling: each chosen model is copied so that a hot sku uses several tasks.
+COPIES = 16
+
 
 def score_stream(requests: DataFrame, models: DataFrame, chosen: DataFrame) -> DataFrame:
     """The batch scoring job on a stream: a stream-static join, so no state is kept."""
-    return lookup.score(requests, models, chosen)
+    return lookup.score(requests, models, chosen, copies=COPIES)
 
 
 def to_files(scored: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

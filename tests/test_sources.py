@@ -80,10 +80,11 @@ def test_region_names():
     assert S.region_names(11)[0] == "REGION_001" and len(S.region_names(11)) == 11
 
 
-def test_sizing():
+def test_sizing(spark):
     assert S.write_partitions(64, 30_000, 4_400_000) == 64
     assert S.write_partitions(64, 60_000, 4_400_000) == 123
-    assert S.expansion_partitions(8, 100) == 16 and S.expansion_partitions(8, 500 * 1024 * 1024 * 40) == 40
+    sizes = [S.expansion_partitions(8, F.lit(b)) for b in (100, 500 * 1024 * 1024 * 40, 500 * 1024 * 1024 * 40 + 1)]
+    assert tuple(spark.range(1).select(*sizes).first()) == (16, 40, 41)
 
 
 def test_throughput(spark):
@@ -172,6 +173,23 @@ def test_registration(spark, schema_name, tmp_path):
     assert len(got) == 2 and got[0]["total_runs"] == 4 and got[0]["total_artifacts"] == 2 and got[0]["errors"] == 0
 
 
+def test_whole_chain_from_a_spec(spark, tmp_path):
+    tables.create_schema(spark, "chain", str(tmp_path / "chain"))
+
+    def run(n_skus):
+        spec = G.GenerationSpec.of(2, n_skus, 30)
+        done = registration.register_synthetic(spark, spec, "chain", str(tmp_path / f"bundle{n_skus}"))
+        assert spark.read.table("chain.demand").count() == spec.n_rows
+        t = spark.read.table(done.telemetry_table)
+        assert t.count() == 2 * n_skus * 3 and t.where("rmse IS NULL").count() < t.count() / 10
+        assert registration.stored_models(spark, done.telemetry_table).select("sku").distinct().count() == n_skus
+        return spark.read.table("chain.run_plan")
+
+    first = {tuple(r) for r in run(12).select("region", "sku", "model_name", "model_blob_bytes").collect()}
+    again = {tuple(r) for r in run(24).select("region", "sku", "model_name", "model_blob_bytes").collect()}
+    assert first <= again and len(again) == 2 * len(first)
+
+
 def test_write_and_read_by_name_or_path(spark, schema_name, tmp_path):
     assert tables.is_table_name("a.b.c") and not tables.is_table_name("/tmp/a.b") and not tables.is_table_name("plain")
     plan = G.fixture_plan(spark, 4, 2, 16, ["A"])

@@ -218,3 +218,17 @@ def test_train_keys_in_chunks(plan):
     keys = plan.select("region", "sku", "model_name")
     got = user_models.train_keys(keys, lambda r, s, m: f"{r}{s}{m}".encode(), chunk_rows=5)
     assert got.where(F.col("model_blob_bytes").cast("string") == F.concat("region", "sku", "model_name")).count() == keys.count()
+
+
+def test_reference_models(demand, rows):
+    got = {r["model_name"]: json.loads(bytes(r["model_blob_bytes"])) for r in train.reference_models(demand, "R1", "SKU-000001").collect()}
+    assert got["mean"]["mean"] == pytest.approx(rows[rows.sku_n == 1].demand.mean()) and len(got) == 3
+    with pytest.raises(ValueError, match="SKU-999999"):
+        train.reference_models(demand, "R1", "SKU-999999")
+
+
+def test_scores_with_copied_models(demand, plan):
+    chosen = questions.default_models(registration.telemetry(plan))
+    requests = demand.where("holdout").select("region", "sku", "price", "day_of_week", "order_no")
+    plain, copied = (lookup.score(requests, plan, chosen, copies=c) for c in (1, 16))
+    assert plain.columns == copied.columns and plain.exceptAll(copied).count() == 0 and plain.count() == copied.count()
