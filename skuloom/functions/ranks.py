@@ -31,7 +31,8 @@ def order_statistics(
     ``stats`` maps a name to (quantile the position is near, n -> 0-based position). A quantile sketch
     only proposes cut points around each wanted quantile; positions are then counted exactly, so a poor
     sketch costs balance and never the answer. Only the few rows between the cut points around
-    a wanted position are sorted, and equal values are counted together before they move.
+    a wanted position are sorted, and equal values are counted together before they move. ``df`` is read three
+    times: store it first when it is expensive.
     """
     margin = 2.0 / SKETCH_ACCURACY
     wanted = sorted({min(1.0, max(0.0, q + d)) for q, _ in stats.values() for d in (-margin, margin)})

@@ -68,10 +68,14 @@ def batch_stats(samples: DataFrame, group: list[str], seq: str, ms: list[str], b
 
 
 def final_summary(samples: DataFrame, group: list[str], ms: list[str]) -> DataFrame:
-    """Mean and p95 per phase and the mean of the phases' total; groups without samples give no row."""
+    """Mean and p95 per phase and the mean of the phases' total; groups without samples give no row.
+
+    The phases are ranked together as rows of one long table: one sketch and one count for all of them.
+    """
     means = samples.groupBy(*group).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in ms])
-    out = means.withColumn("total_mean", sum((F.col(f"{c}_mean") for c in ms[1:]), F.col(f"{ms[0]}_mean")))
-    for c in ms:
-        ranks = order_statistics(samples, group, c, {f"{c}_p95": (0.95, nearest_rank(0.95))}).drop("n")
-        out = out.join(ranks, group)
-    return out
+    totalled = means.withColumn("total_mean", sum((F.col(f"{c}_mean") for c in ms[1:]), F.col(f"{ms[0]}_mean")))
+    phases = F.array(*[F.struct(F.lit(c).alias("__phase"), F.col(c).cast("double").alias("__ms")) for c in ms])
+    long = samples.select(*group, F.inline(phases))
+    ranks = order_statistics(long, [*group, "__phase"], "__ms", {"p95": (0.95, nearest_rank(0.95))})
+    wide = ranks.groupBy(*group).agg(*[F.max(F.when(F.col("__phase") == c, F.col("p95"))).alias(f"{c}_p95") for c in ms])
+    return totalled.join(wide, group)

@@ -70,15 +70,19 @@ def score_opaque(
     features: list[str],
     blob: str = "model_blob_bytes",
     rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Score with models only Python can decode; ``models`` has one row per (region, sku, model_name).
 
     A blob is never joined onto its requests. Model rows and request rows are shuffled together by key and sorted so
     that a model comes just before its requests: it travels and is decoded once per task that needs it.
     A key with very many requests is split over several tasks, and its model row goes to each of them.
+    ``counts`` (region, sku, model_name, rows) saves counting the requests per key when that is known already.
     """
     keys, spread = ["region", "sku", "model_name"], [c for c in requests.columns]
-    counts = requests.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    if counts is None:
+        counts = requests.groupBy(*keys).agg(F.count("*").alias("rows"))
+    counts = counts.select(*keys, F.col("rows").alias("__rows")).where("__rows > 0")
     asked = chunked(requests, counts, keys, "__rows", spread, rows_per_task).drop("n_chunks")
     pieces = F.ceil(F.col("__rows") / F.lit(rows_per_task)).cast("int")
     given = models.select(*keys, blob).join(counts, keys).withColumn(
@@ -121,12 +125,13 @@ def locate(requests: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     first. ``index`` should be a stored table.
     """
     keys = with_bucket(requests.select("region", "sku").distinct(), buckets)
-    known = index.where(F.col("sku_max") < ANY_SKU)
-    hits = range_join(keys, known, ["region", "bucket"], "sku_n", "sku_min", "sku_max")
     columns = ["region", "sku", "sku_n", "bucket", "file", "row_group"]
+    known, unknown = index.where(F.col("sku_max") < ANY_SKU), index.where(F.col("sku_max") == ANY_SKU)
+    hits = range_join(keys, known, ["region", "bucket"], "sku_n", "sku_min", "sku_max").select(*columns)
+    if unknown.isEmpty():
+        return hits
     # Row groups without statistics may hold any sku of their bucket.
-    anywhere = keys.join(index.where(F.col("sku_max") == ANY_SKU), ["region", "bucket"])
-    return hits.select(*columns).unionByName(anywhere.select(*columns))
+    return hits.unionByName(keys.join(unknown, ["region", "bucket"]).select(*columns))
 
 
 def fetch(located: DataFrame, columns: list[str] | None = None) -> DataFrame:

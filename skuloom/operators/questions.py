@@ -6,6 +6,7 @@ Lower rmse and mape and higher r2 are better. Models that could not be evaluated
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skuloom.functions.ranks import quantiles
@@ -112,15 +113,16 @@ def good_rows(t: DataFrame) -> DataFrame:
 
 
 def underperforming_regions(t: DataFrame) -> DataFrame:
-    """Regions whose mean accuracy is below that of all rows; both come from the same per-region sums."""
+    """Regions whose mean accuracy is below that of all rows; both come from the same per-region sums.
+
+    The window runs over one row per region.
+    """
     accuracy = F.col("metrics")["accuracy"]
     sums = t.groupBy("region").agg(F.sum(accuracy).alias("s"), F.count(accuracy).alias("n")).where("n > 0")
-    whole = sums.agg((F.sum("s") / F.sum("n")).alias("overall")).withColumn("all", F.lit(1))
-    return (
-        sums.withColumn("all", F.lit(1))
-        .join(whole, "all")
-        .select("region", (F.col("s") / F.col("n")).alias("avg_accuracy"), F.col("overall").alias("overall_accuracy"))
-        .where("avg_accuracy < overall_accuracy")
+    everywhere = W.partitionBy()
+    overall = F.sum("s").over(everywhere) / F.sum("n").over(everywhere)
+    return sums.select("region", (F.col("s") / F.col("n")).alias("avg_accuracy"), overall.alias("overall_accuracy")).where(
+        "avg_accuracy < overall_accuracy"
     )
 
 

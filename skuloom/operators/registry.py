@@ -198,11 +198,12 @@ def totals(runs: DataFrame) -> DataFrame:
 
 
 def outcome(runs: DataFrame, status: DataFrame, strategy: str, seconds: float) -> DataFrame:
-    """One row that sums up a registration; two one-row aggregates joined on a constant key."""
-    failed = status.agg(F.count_if(F.col("status") != "FINISHED").alias("errors")).withColumn("strategy", F.lit(strategy))
+    """One row that sums up a registration, put together from two one-row aggregates."""
+    failed = status.agg(F.count_if(F.col("status") != "FINISHED").alias("errors"))
+    parts = totals(runs).unionByName(failed, allowMissingColumns=True)
     elapsed = F.lit(float(seconds))
-    return totals(runs).withColumn("strategy", F.lit(strategy)).join(failed, "strategy").select(
-        "strategy", "total_runs", "total_artifacts", elapsed.alias("elapsed_seconds"),
+    return parts.agg(*[F.max(c).alias(c) for c in ("total_runs", "total_artifacts", "errors")]).select(
+        F.lit(strategy).alias("strategy"), "total_runs", "total_artifacts", elapsed.alias("elapsed_seconds"),
         S.throughput(F.col("total_runs"), elapsed).alias("throughput_runs_per_sec"), "errors",
     )
 

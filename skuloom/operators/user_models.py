@@ -21,15 +21,18 @@ def fit_groups(
     fit: Callable[[pd.DataFrame], bytes],
     spread: list[str],
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``fit`` every (region, sku) on its rows in Python, one blob per chunk of at most about ``rows_per_chunk`` rows.
 
     A key within the bound is fitted whole (one chunk). A busier key is split by a hash of ``spread`` and gets one
     sub-model per chunk; its prediction is the mean of theirs, weighted by ``n_rows``, as in bagging.
-    Every row is used, and no task holds more than a chunk.
+    Every row is used, and no task holds more than a chunk. ``counts`` (region, sku, rows) saves counting the rows
+    per key when that is known already.
     """
-    counts = rows.groupBy("region", "sku").agg(F.count("*").alias("__rows"))
-    split = chunked(rows, counts, ["region", "sku"], "__rows", spread, rows_per_chunk)
+    if counts is None:
+        counts = rows.groupBy("region", "sku").agg(F.count("*").alias("rows"))
+    split = chunked(rows, counts, ["region", "sku"], "rows", spread, rows_per_chunk)
 
     marks = ["region", "sku", "chunk"]
     # Sorted runs of whole groups, sliced batch by batch: far cheaper per group than a grouped map.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skuloom.functions.ranks import quantiles
 from skuloom.operators import latency
 from skuloom.plans.catalog import query, r, rounded
+from skuloom.session import fresh_path, materialize
 from skuloom.sources import demand as D
 
 SAMPLES = """
@@ -39,7 +40,7 @@ STATS = f"count(*) AS n, {r('avg(ms)', 3)} AS mean_ms, {r('median(ms)', 3)} AS p
 )
 def latency_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cold and warm statistics per phase and in total, with an empty row for an approach never measured."""
-    rows = samples(spark, sf_dir)
+    rows = materialize(samples(spark, sf_dir), fresh_path(spark, "samples"))
     by_phase = latency.path_stats(rows, ["path", "phase"], "ms").withColumn("approach", F.lit("events"))
     total = latency.path_stats(rows, ["path"], "ms").withColumn("approach", F.lit("events")).withColumn("phase", F.lit("total"))
     unmeasured = D.table(spark, sf_dir, "events").select(F.lit("unmeasured").alias("approach")).distinct()

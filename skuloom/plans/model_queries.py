@@ -169,7 +169,10 @@ def user_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fit(group):
         return f"{group['demand'].max()};{group['demand'].median()}".encode()
 
-    fitted = user_models.fit_groups(rows, fit, ["row_no", "order_no"])
+    counts = ModelStore(spark, sf_dir).profile().select(
+        "region", train.sku_id(F.col("sku_n")).alias("sku"), F.col("n_train").alias("rows")
+    )
+    fitted = user_models.fit_groups(rows, fit, ["row_no", "order_no"], counts=counts)
     text = F.split(F.col("model_blob_bytes").cast("string"), ";")
     return fitted.select(
         "region", "sku", "chunk", "n_chunks", "n_rows",
@@ -314,7 +317,14 @@ def score_requests_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
     import json
 
     store = ModelStore(spark, sf_dir)
-    named = lookup.named(requests(spark, sf_dir), questions.default_models(store.telemetry())).where("model_name IS NOT NULL")
+    # Small, stored once: the model to serve per key and its number of requests.
+    chosen = materialize(
+        questions.default_models(store.telemetry()).join(
+            store.profile().select("region", train.sku_id(F.col("sku_n")).alias("sku"), F.col("n_holdout").alias("rows")), ["region", "sku"]
+        ),
+        fresh_path(spark, "chosen"),
+    )
+    named = lookup.named(requests(spark, sf_dir), chosen).where("model_name IS NOT NULL")
 
     def apply(model: dict, x):
         price, day = x[:, 0], x[:, 1].astype(int)
@@ -324,7 +334,8 @@ def score_requests_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
             return [model["weekday"][d] for d in day]
         return [model["mean"]] * len(x)
 
-    return scored_columns(lookup.score_opaque(named, store.plan(), json.loads, apply, ["price", "day_of_week"]))
+    scored = lookup.score_opaque(named, store.plan(), json.loads, apply, ["price", "day_of_week"], counts=chosen)
+    return scored_columns(scored)
 
 
 @query(

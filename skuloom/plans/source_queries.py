@@ -70,10 +70,10 @@ def demand_region_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM demand d JOIN first_key k ON d.region = k.region AND d.sku = k.sku""",
 )
 def training_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature rows of the first (region, sku), found by a top-1 over all rows."""
-    rows = D.demand(spark, sf_dir)
-    first = rows.select("region", "sku").orderBy("region", "sku").first()
-    return rounded(train.features(train.slice_of(rows, first["region"], first["sku"])), PRICE_DIGITS)
+    """Feature rows of the first (region, sku) of all keys; the sku filter reaches the scan of the facts."""
+    keys = ModelStore(spark, sf_dir).profile().select("region", S.sku_id(F.col("sku_n")).alias("sku"))
+    first = keys.orderBy("region", "sku").first()
+    return rounded(train.features(train.slice_of(D.demand(spark, sf_dir), first["region"], first["sku"])), PRICE_DIGITS)
 
 
 @query(
@@ -115,10 +115,10 @@ def demand_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "distinct_regions",
-    f"WITH {DEMAND} SELECT DISTINCT region FROM demand",
+    f"WITH {COEFS} SELECT DISTINCT region FROM coef",
 )
 def distinct_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.demand(spark, sf_dir, inventory=False).select("region").distinct()
+    return ModelStore(spark, sf_dir).plan().select("region").distinct()
 
 
 PAIRS = """
@@ -182,9 +182,9 @@ def synthetic_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM demand CROSS JOIN base CROSS JOIN (SELECT unnest(range(3)) AS copy) GROUP BY ALL""",
 )
 def expanded_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.demand(spark, sf_dir, inventory=False).select("region", "sku", "sku_n", "demand")
-    base = rows.agg(F.max("sku_n")).first()[0] + 1
-    return G.expand(rows.drop("sku_n"), base, 3 * base).groupBy("region", "sku").agg(
+    rows = D.demand(spark, sf_dir, inventory=False).select("region", "sku", "demand")
+    base = ModelStore(spark, sf_dir).profile().agg(F.max("sku_n")).first()[0] + 1
+    return G.expand(rows, base, 3 * base).groupBy("region", "sku").agg(
         F.count("*").alias("row_count"), F.sum("demand").alias("total_demand")
     )
 
@@ -326,13 +326,14 @@ def registered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"{schema_for(spark, sf_dir)}.registered"
     plan = ModelStore(spark, sf_dir).plan()
     done = registration.register(plan, name, fresh_path(spark, "bundle"))
-    rows = tables.read_any(spark, name).agg(F.count("*").alias("telemetry_rows"))
-    models = registration.stored_models(spark, name).agg(F.count("*").alias("bundle_rows"))
-    runs = done.endpoints.agg(F.count("*").alias("endpoint_runs"))
-    one = F.lit(registration.stored_buckets(spark, name)).alias("bucket_count")
-    return (
-        rows.select(one, "telemetry_rows").join(models.select(one, "bundle_rows"), "bucket_count")
-        .join(runs.select(one, "endpoint_runs"), "bucket_count")
+    counts = [
+        tables.read_any(spark, name).agg(F.count("*").alias("telemetry_rows")),
+        registration.stored_models(spark, name).agg(F.count("*").alias("bundle_rows")),
+        done.endpoints.agg(F.count("*").alias("endpoint_runs")),
+    ]
+    parts = counts[0].unionByName(counts[1], allowMissingColumns=True).unionByName(counts[2], allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in ("telemetry_rows", "bundle_rows", "endpoint_runs")]).withColumn(
+        "bucket_count", F.lit(registration.stored_buckets(spark, name))
     )
 
 
