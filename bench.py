@@ -64,6 +64,7 @@ def main() -> None:
     chosen = questions.default_models(telemetry)
     requests = model_queries.requests(spark, sf_dir)
     n_requests = requests.count()
+    n_keys = requests.select("region", "sku").distinct().count()
 
     schema = source_queries.schema_for(spark, sf_dir)
     timed("telemetry_write", lambda: registration.write_telemetry(plan, f"{schema}.bench_telemetry"))
@@ -71,9 +72,18 @@ def main() -> None:
     timed("footer_index", lambda: bundle.row_group_index(spark, path + "/bundle").write.parquet(path + "/index"))
     index = spark.read.parquet(path + "/index")
     models = bundle.read_bundle(spark, path + "/bundle")
-    sku = models.where("region = 'ASIA'").select("sku").first()[0]
-    timed("lookup_one_cold", lambda: lookup.lookup_one(models, "ASIA", sku, buckets).collect())
-    timed("lookup_one_again", lambda: lookup.lookup_one(models, "ASIA", sku, buckets).collect())
+    sample = [r["sku"] for r in lookup.sample_skus(plan.where("region = 'ASIA'"), 20, 42).collect()]
+
+    def look_up(skus: list[str]) -> list[float]:
+        taken = []
+        for sku in skus:
+            began = time.perf_counter()
+            assert lookup.lookup_one(models, "ASIA", sku, buckets).collect()
+            taken.append(1000 * (time.perf_counter() - began))
+        return sorted(taken)
+
+    cold = timed("lookup_20_cold", lambda: look_up(sample))
+    warm = timed("lookup_20_warm", lambda: look_up([s for s in sample[:2] for _ in range(10)]))
     timed("lookup_batch_index", lambda: run(lookup.fetch(lookup.locate(requests, index, buckets))))
     timed("score_requests", lambda: run(lookup.score(requests, plan, chosen)))
     timed("score_stream", lambda: stream_queries.scored_files(spark, sf_dir, plan, chosen))
@@ -105,6 +115,13 @@ def main() -> None:
                 "models_trained_per_sec": round(n_models / seconds["train_and_evaluate"]),
                 "models_registered_per_sec": round(n_models / registration_seconds),
                 "requests": n_requests,
+                "lookup_cold_p50_ms": round(cold[10], 1),
+                "lookup_cold_p95_ms": round(cold[19], 1),
+                "lookup_warm_p50_ms": round(warm[10], 1),
+                "bundle_buckets": buckets,
+                "bundle_files": index.select("file").distinct().count(),
+                "bundle_row_groups": index.count(),
+                "batch_lookups_per_sec": round(n_keys / seconds["lookup_batch_index"]),
                 "requests_scored_per_sec": round(n_requests / seconds["score_requests"]),
             }
         )

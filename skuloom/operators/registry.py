@@ -158,8 +158,13 @@ def shard_experiments(regions: DataFrame, n_shards: int) -> DataFrame:
 
 
 def not_registered(wanted: DataFrame, existing: DataFrame, key: str = "run_id") -> DataFrame:
-    """Find-or-create: the rows still to be created."""
-    return wanted.join(existing.select(key), key, "left_anti")
+    """Find-or-create: the rows still to be created.
+
+    Existing ids are first cut down to the wanted ones: when those are few, Spark sends them to the large side and
+    shuffles nothing of it; when they are many, both joins share one shuffle by id.
+    """
+    known = existing.select(key).join(wanted.select(key), key, "left_semi")
+    return wanted.join(known, key, "left_anti")
 
 
 def run_status(plan: DataFrame) -> DataFrame:

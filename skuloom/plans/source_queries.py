@@ -147,18 +147,19 @@ def run_plan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(keys, table_schema(RunPlanKeyTable))
 
 
-def drawn(first: int, digits: int, choices: int) -> str:
-    return f"CAST(CAST('0x' || substr(h, {first}, {digits}) AS BIGINT) % {choices} AS INTEGER)"
+def drawn(number: str, taken: int, choices: int) -> str:
+    return f"CAST({number} // {taken} % {choices} AS INTEGER)"
 
 
 SYNTHETIC = f"""{PAIRS},
 numbered AS (SELECT region, sku, unnest(range(3)) AS i FROM pairs),
 hashed AS (SELECT region, sku, md5(concat_ws('/', region, sku, CAST(i AS VARCHAR), '7')) AS h FROM numbered),
+halves AS (SELECT region, sku, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 17, 15) AS BIGINT) AS b FROM hashed),
 synthetic AS (
-  SELECT region, sku, DATE '2024-12-31' - {drawn(1, 6, 366)} AS date, printf('PROD_%03d', {drawn(7, 5, 50)} + 1) AS product_id,
-         {drawn(12, 6, 491)} + 10 AS demand, ({drawn(18, 7, 29001)} + 999) / 100.0 AS price,
-         {drawn(25, 4, 100)} < 30 AS promotion, {drawn(29, 4, 951)} + 50 AS inventory
-  FROM hashed
+  SELECT region, sku, DATE '2024-12-31' - {drawn('a', 1, 366)} AS date, printf('PROD_%03d', {drawn('a', 366, 50)} + 1) AS product_id,
+         {drawn('a', 18300, 491)} + 10 AS demand, ({drawn('b', 1, 29001)} + 999) / 100.0 AS price,
+         {drawn('b', 29001, 100)} < 30 AS promotion, {drawn('b', 2900100, 951)} + 50 AS inventory
+  FROM halves
 )"""
 
 

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
@@ -92,6 +93,14 @@ def test_index_finds_every_sku_over_overlapping_buckets(spark, tmp_path):
     assert [r["sku"] for r in lookup.unmatched(asked, plan).collect()] == ["SKU-000900"]
 
 
+def test_row_groups_of_a_file_are_sorted(spark, tmp_path):
+    root = str(tmp_path / "b")
+    bundle.write_bundle(fixture_plan(spark, 300, 1, 2048, ["A", "B"]).repartition(7), root, 2, row_group_bytes=20_000)
+    following = F.lead("sku_min").over(W.partitionBy("file").orderBy("row_group"))
+    groups = bundle.row_group_index(spark, root).withColumn("next_min", following)
+    assert groups.count() > 20 and groups.where("next_min < sku_max").count() == 0
+
+
 def test_row_groups_without_statistics_match_every_sku_of_their_bucket(spark):
     index = spark.createDataFrame(
         [("R", 1, "f", 0, 0, bundle.ANY_SKU, 9), ("R", 1, "g", 0, 1, 3, 9), ("R", 0, "h", 0, 0, bundle.ANY_SKU, 9)], bundle.INDEX_SCHEMA
