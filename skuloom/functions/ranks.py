@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +17,13 @@ SKETCH_ACCURACY = 10_000
 SLICE_ROWS = 1_000_000
 
 
+def join_groups(left: DataFrame, right: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on grouping columns in which NULL is a group like any other."""
+    renamed = right.withColumnsRenamed({g: f"__g_{g}" for g in groups})
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in groups])
+    return left.join(renamed, same, how).drop(*[f"__g_{g}" for g in groups])
+
+
 def nearest_rank(q: float) -> Callable[[Column], Column]:
     """0-based position min(n - 1, floor(q * n))."""
     return lambda n: F.least(n - 1, F.floor(F.lit(q) * n.cast("double")).cast("bigint"))
@@ -49,9 +58,7 @@ def order_statistics(
     hint = broadcast_if(sketch.count() * len(stats) <= BROADCAST_ROWS)
     cuts = [F.get("__cuts", F.lit(i)) for i in range(len(wanted))]
     zone = sum((F.when(F.col("__v") >= c, F.lit(1)).otherwise(F.lit(0)) for c in cuts), F.lit(0))
-    zoned = rows.join(hint(sketch.drop("n")), groups).select(
-        *groups, "__v", zone.alias("__zone")
-    )
+    zoned = join_groups(rows, hint(sketch.drop("n")), groups).select(*groups, "__v", zone.alias("__zone"))
 
     # At most len(wanted) + 1 zones per group, so this window is tiny.
     before = W.partitionBy(*groups).orderBy("__zone").rowsBetween(W.unboundedPreceding, -1)
@@ -71,18 +78,18 @@ def order_statistics(
         ),
     )
     targets = checkpointed(
-        positions.join(zones, groups)
+        join_groups(positions, zones, groups)
         .where((F.col("__pos") >= F.col("__start")) & (F.col("__pos") < F.col("__start") + F.col("__c")))
         .select(*groups, "n", "__stat", "__zone", (F.col("__pos") - F.col("__start")).alias("__pos"))
     )
     near = (
-        zoned.join(hint(targets.select(*groups, "__zone").distinct()), [*groups, "__zone"], "left_semi")
+        join_groups(zoned, hint(targets.select(*groups, "__zone").distinct()), [*groups, "__zone"], "left_semi")
         .groupBy(*groups, "__zone", "__v")
         .agg(F.count("*").alias("__c"))
     )
     upto = W.partitionBy(*groups, "__zone").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     ranked = near.withColumn("__end", F.sum("__c").over(upto))
-    hits = ranked.join(hint(targets), [*groups, "__zone"]).where(
+    hits = join_groups(ranked, hint(targets), [*groups, "__zone"]).where(
         (F.col("__pos") < F.col("__end")) & (F.col("__pos") >= F.col("__end") - F.col("__c"))
     )
     return hits.groupBy(*groups).agg(
@@ -121,9 +128,9 @@ def running_totals(
         *group, "__slice", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset")
     )
     inside = W.partitionBy(*group, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = sliced.withColumn("__before", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
     return (
-        sliced.withColumn("__before", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
-        .join(offsets, [*group, "__slice"])
+        join_groups(summed, offsets, [*group, "__slice"])
         .withColumn(name, F.col("__offset") + F.col("__before"))
         .drop("__slice", "__weight", "__before", "__offset")
     )

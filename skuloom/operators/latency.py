@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuloom.functions.ranks import batch_numbers, nearest_rank, order_statistics
+from skuloom.functions.ranks import batch_numbers, join_groups, nearest_rank, order_statistics
 
 BATCH = 100
 
@@ -30,7 +30,7 @@ def path_stats(samples: DataFrame, groups: list[str], ms: str) -> DataFrame:
         },
     ).withColumn("p50_ms", (F.col("__lo") + F.col("__hi")) / 2)
     means = samples.where(F.col(ms).isNotNull()).groupBy(*groups).agg(F.avg(ms).alias("mean_ms"))
-    return ranks.join(means, groups).select(*groups, "n", "mean_ms", "p50_ms", "p95_ms")
+    return join_groups(ranks, means, groups).select(*groups, "n", "mean_ms", "p50_ms", "p95_ms")
 
 
 def stacked(results: list[DataFrame], unmeasured: DataFrame | None = None) -> DataFrame:
@@ -78,4 +78,4 @@ def final_summary(samples: DataFrame, group: list[str], ms: list[str]) -> DataFr
     long = samples.select(*group, F.inline(phases))
     ranks = order_statistics(long, [*group, "__phase"], "__ms", {"p95": (0.95, nearest_rank(0.95))})
     wide = ranks.groupBy(*group).agg(*[F.max(F.when(F.col("__phase") == c, F.col("p95"))).alias(f"{c}_p95") for c in ms])
-    return totalled.join(wide, group)
+    return join_groups(totalled, wide, group)

@@ -155,6 +155,33 @@ def least_squares_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_models.solve_least_squares(user_models.moments(least_squares_rows(spark, sf_dir)))
 
 
+@query(
+    "least_squares_fit",
+    f"""WITH {DEMAND},
+    x AS (SELECT region, sku, price, CAST(day_of_week AS DOUBLE) AS d, CAST(CAST(promotion AS INTEGER) AS DOUBLE) AS p,
+                 CAST(inventory AS DOUBLE) AS i, CAST(demand AS DOUBLE) AS y FROM demand WHERE NOT holdout)
+    SELECT region, sku, {r('sum(y)', 3)} AS fitted, {r('sum(price * y) / 1000', 3)} AS price_fitted, {r('sum(d * y)', 3)} AS day_fitted,
+           {r('sum(p * y)', 3)} AS promotion_fitted, {r('sum(i * y) / 1000', 3)} AS inventory_fitted
+    FROM x GROUP BY region, sku""",
+)
+def least_squares_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted demand of every key summed against each feature: least squares reproduces the sums of the true demand."""
+    sums = materialize(user_models.moments(least_squares_rows(spark, sf_dir)), fresh_path(spark, "moments"))
+    solved = sums.join(user_models.solve_least_squares(sums).drop("n_rows"), ["region", "sku"])
+    names = ["one", *user_models.FEATURES]
+    weight = {n: F.col("intercept" if n == "one" else f"w_{n}") for n in names}
+
+    def against(a: str, scale: float = 1.0):
+        pairs = [F.col(f"{a}__{b}" if names.index(a) <= names.index(b) else f"{b}__{a}") * weight[b] for b in names]
+        return near(sum(pairs[1:], pairs[0]) / scale, 3)
+
+    return solved.select(
+        "region", "sku", against("one").alias("fitted"), against("price", 1000.0).alias("price_fitted"),
+        against("day_of_week").alias("day_fitted"), against("promotion").alias("promotion_fitted"),
+        against("inventory", 1000.0).alias("inventory_fitted"),
+    )
+
+
 @query(
     "user_trainer",
     f"""WITH {DEMAND}

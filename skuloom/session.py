@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a temporary folder of its own.
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(folder)

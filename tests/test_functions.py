@@ -48,6 +48,15 @@ def test_order_statistics_without_a_broadcast(spark, monkeypatch):
     assert got == {g: nearest(range(g, 1000, 3), 0.5) for g in range(3)}
 
 
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    got = {r["g"]: (r["n"], r["q"]) for r in ranks.quantiles(df, ["g"], "v", {"q": 0.5}).collect()}
+    assert got == {None: (2, 2.0), "a": (1, 2.0)}
+    assert {(r["g"], r["n"], r["p95_ms"]) for r in latency.path_stats(df, ["g"], "v").collect()} == {(None, 2, 3.0), ("a", 1, 2.0)}
+    numbered = ranks.sequence_numbers(df, ["g"], F.floor("v"), ["v"]).collect()
+    assert sorted((r["g"] or "", r["v"], r["rn"]) for r in numbered) == [("", 1.0, 1), ("", 3.0, 2), ("a", 2.0, 1)]
+
+
 def test_sequence_numbers_over_slices(spark):
     df = spark.range(5000).select((F.col("id") % 7 == 0).alias("g"), "id")
     got = ranks.sequence_numbers(df, ["g"], F.floor(F.col("id") / 100), ["id"]).collect()
