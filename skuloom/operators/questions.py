@@ -25,6 +25,10 @@ def comparable(error: Column | str) -> Column:
     return F.floor(error * 1_000_000 + 0.37)
 
 
+def is_good(mape: Column | str = "mape") -> Column:
+    return comparable(mape) < comparable(F.lit(GOOD_MAPE))
+
+
 def skus_per_region(t: DataFrame) -> DataFrame:
     return t.groupBy("region").agg(F.count_distinct("sku").alias("skus"))
 
@@ -101,14 +105,14 @@ def good_share(t: DataFrame) -> DataFrame:
     best = best_models(t)
     return best.agg(
         F.count("*").alias("skus"),
-        F.count_if(F.col("mape") < GOOD_MAPE).alias("good_skus"),
-        F.try_divide(F.count_if(F.col("mape") < GOOD_MAPE), F.count("*")).cast("double").alias("good_share"),
+        F.count_if(is_good()).alias("good_skus"),
+        F.try_divide(F.count_if(is_good()), F.count("*")).cast("double").alias("good_share"),
     )
 
 
 def good_rows(t: DataFrame) -> DataFrame:
     """Rows and skus under the threshold, per region."""
-    good = t.where(F.col("mape") < GOOD_MAPE)
+    good = t.where(is_good())
     return good.groupBy("region").agg(F.count("*").alias("good_rows"), F.count_distinct("sku").alias("good_skus"))
 
 

@@ -99,9 +99,9 @@ measured AS (
          CASE WHEN min(y) < max(y)
               THEN 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) END AS r2,
          sum(abs(y - p)) / count(*) AS mae, sum((y - p) * (y - p)) / count(*) AS mse,
-         count(*) FILTER (abs(y - p) / y <= 0.25) / count(*) AS accuracy,
-         count(*) FILTER (y > 25 AND p > 25) AS tp, count(*) FILTER (y <= 25 AND p > 25) AS fp,
-         count(*) FILTER (y > 25 AND p <= 25) AS fn
+         count(*) FILTER (abs(y - p) / y <= 0.250000001) / count(*) AS accuracy,
+         count(*) FILTER (y > 25 AND p > 25.000000001) AS tp, count(*) FILTER (y <= 25 AND p > 25.000000001) AS fp,
+         count(*) FILTER (y > 25 AND p <= 25.000000001) AS fn
   FROM tried GROUP BY region, sku_n, model_name
 ),
 model_names AS (SELECT unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name),

@@ -224,6 +224,9 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ModelStore(spark, sf_dir).telemetry()
 
 
+GOOD = f"{step('mape')} < {step('0.10')}"
+
+
 def question(name: str, sql: str, digits: int = 6):
     def add(fn):
         query(name, f"WITH {TELEMETRY}\n{sql}")(lambda spark, sf_dir: rounded(fn(telemetry(spark, sf_dir)), digits))
@@ -278,8 +281,8 @@ question(
 
 question(
     "good_share",
-    f"""SELECT count(*) AS skus, count(*) FILTER (mape < 0.10) AS good_skus,
-           {r('count(*) FILTER (mape < 0.10) / count(*)')} AS good_share FROM best""",
+    f"""SELECT count(*) AS skus, count(*) FILTER ({GOOD}) AS good_skus,
+           {r(f'count(*) FILTER ({GOOD}) / count(*)')} AS good_share FROM best""",
 )(questions.good_share)
 
 question(
@@ -301,7 +304,8 @@ question(
 
 question(
     "good_rows",
-    """SELECT region, count(*) AS good_rows, count(DISTINCT sku) AS good_skus FROM telemetry WHERE mape < 0.10 GROUP BY region""",
+    f"""SELECT region, count(*) AS good_rows, count(DISTINCT sku) AS good_skus FROM telemetry
+    WHERE {GOOD} GROUP BY region""",
 )(questions.good_rows)
 
 question(

@@ -349,7 +349,7 @@ def table_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "metric_defaults",
     f"""WITH {TELEMETRY}
-    SELECT region, count(*) FILTER (r2 IS NULL) AS absent, count(*) FILTER (coalesce(r2, 0.0) = 0.0) AS zero_or_absent,
+    SELECT region, count(*) FILTER (r2 IS NULL) AS absent, count(*) FILTER (abs(coalesce(r2, 0.0)) < 0.000001) AS zero_or_absent,
            {r('avg(r2)', 3)} AS mean_known, {r('avg(coalesce(r2, 0.0))', 3)} AS mean_with_default
     FROM telemetry GROUP BY region""",
 )
@@ -360,7 +360,7 @@ def metric_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         ModelStore(spark, sf_dir).plan().groupBy("region").agg(
             F.count_if(value.isNull()).alias("absent"),
-            F.count_if(filled == 0.0).alias("zero_or_absent"),
+            F.count_if(F.abs(filled) < 1e-6).alias("zero_or_absent"),
             F.avg(value).alias("mean_known"),
             F.avg(filled).alias("mean_with_default"),
         ),

@@ -11,7 +11,7 @@ from skuloom.operators import registry
 
 def registered(spark: SparkSession, root: str) -> DataFrame:
     """All committed runs. A batch replayed after a crash rewrites its own directory, so nothing counts twice."""
-    return spark.read.option("basePath", root).parquet(f"{root}/batch=*").drop("batch")
+    return spark.read.parquet(root).drop("batch")
 
 
 def register_batch(root: str):
@@ -30,8 +30,7 @@ def _other_batches(spark: SparkSession, root: str, batch_id: int) -> DataFrame |
     """Runs of earlier batches; later ones cannot exist while this one runs."""
     if batch_id == 0:
         return None
-    earlier = spark.read.option("basePath", root).parquet(f"{root}/batch=*")
-    return earlier.where(F.col("batch") < batch_id)
+    return spark.read.parquet(root).where(F.col("batch") < batch_id)
 
 
 def register_stream(plan: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
