@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skuloom.functions.skus import bucket_count
 from skuloom.operators import bundle, latency, lookup, questions, registry, train, user_models
 from skuloom.plans import model_queries, registration, source_queries, stream_queries
-from skuloom.session import fresh_path
+from skuloom.session import fresh_path, materialize
 from skuloom.sources import demand as D
 from skuloom.sources import generate as G
 from skuloom.sources import tables
@@ -61,7 +61,6 @@ def main() -> None:
     n_models = plan.count()
     buckets = bucket_count(plan.agg(F.count_distinct("sku")).first()[0])
     telemetry = registration.telemetry(plan).drop("logged_at")
-    chosen = questions.default_models(telemetry)
     requests = model_queries.requests(spark, sf_dir)
     n_requests = requests.count()
     n_keys = requests.select("region", "sku").distinct().count()
@@ -85,8 +84,9 @@ def main() -> None:
     cold = timed("lookup_20_cold", lambda: look_up(sample))
     warm = timed("lookup_20_warm", lambda: look_up([s for s in sample[:2] for _ in range(10)]))
     timed("lookup_batch_index", lambda: run(lookup.fetch(lookup.locate(requests, index, buckets))))
-    timed("score_requests", lambda: run(lookup.score(requests, plan, chosen)))
-    timed("score_stream", lambda: stream_queries.scored_files(spark, sf_dir, plan, chosen))
+    served = timed("serving_table", lambda: materialize(lookup.serving(plan, questions.default_models(telemetry)), path + "/served"))
+    timed("score_requests", lambda: run(lookup.score(requests, served)))
+    timed("score_stream", lambda: stream_queries.scored_files(spark, sf_dir, served))
     timed("question_average_rmse", lambda: run(questions.average_rmse(telemetry)))
     timed("question_best_models", lambda: run(questions.best_models(telemetry)))
     timed("question_top_rmse", lambda: run(questions.highest_rmse(telemetry, "ASIA")))

@@ -43,22 +43,24 @@ def unmatched(requests: DataFrame, models: DataFrame) -> DataFrame:
     return requests.join(models.select("region", "sku").distinct(), ["region", "sku"], "left_anti")
 
 
-def score(requests: DataFrame, models: DataFrame, chosen: DataFrame, copies: int = 1) -> DataFrame:
-    """Predict every request with the chosen model of its (region, sku).
+def serving(models: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen model of each (region, sku), decoded once: store it where it is used again and again."""
+    picked = models.join(chosen.select("region", "sku", "model_name"), ["region", "sku", "model_name"])
+    return picked.select("region", "sku", "model_name", train.decoded(F.col("model_blob_bytes")).alias("model"))
 
-    Only the chosen model of each key is joined and it is decoded once, before the join. In a batch, adaptive skew
-    handling splits a hot sku's requests. Where that does not run (streams), ``copies`` of every chosen model let the
-    requests of a sku go to as many tasks; decoded models are small next to the requests they serve.
+
+def score(requests: DataFrame, served: DataFrame, copies: int = 1) -> DataFrame:
+    """Predict every request with the model served for its (region, sku); see :func:`serving`.
+
+    In a batch, adaptive skew handling splits a hot sku's requests. Where that does not run (streams), ``copies`` of
+    every model let the requests of a sku go to as many tasks; decoded models are small next to the requests they serve.
     """
-    serving = models.join(chosen.select("region", "sku", "model_name"), ["region", "sku", "model_name"]).select(
-        "region", "sku", "model_name", train.decoded(F.col("model_blob_bytes")).alias("model")
-    )
     keys = ["region", "sku"]
     if copies > 1:
         requests = requests.withColumn("__copy", F.pmod(F.xxhash64(*requests.columns), F.lit(copies)).cast("int"))
-        serving = serving.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        served = served.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         keys = [*keys, "__copy"]
-    scored = requests.join(serving, keys).withColumn("prediction", train.predict(F.col("model")))
+    scored = requests.join(served, keys).withColumn("prediction", train.predict(F.col("model")))
     return scored.drop("model", "__copy")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
@@ -228,10 +230,13 @@ def duplicate_keys(plan: DataFrame) -> DataFrame:
     return plan.groupBy("region", "sku", "model_name").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def records_of_region(plan: DataFrame, region: str):
-    """Iterate one region's records in (sku, model) order: an export edge, the driver holds one partition at a time."""
-    ordered = plan.where(F.col("region") == region).orderBy("sku", "model_name")
-    return ordered.toLocalIterator(prefetchPartitions=True)
+def export_region(plan: DataFrame, region: str, consume: Callable[[Iterator[Row]], None]) -> None:
+    """Hand one region's records to ``consume`` in (sku, model) order, range by range, on the executors.
+
+    Every range is one call with its records in order; ranges follow each other and no sku's model is in two of them.
+    """
+    ordered = plan.where(F.col("region") == region).repartitionByRange("sku", "model_name")
+    ordered.sortWithinPartitions("sku", "model_name").foreachPartition(consume)
 
 
 def progress_marks(numbered: DataFrame, every: int) -> DataFrame:

@@ -337,9 +337,7 @@ def scored_columns(df: DataFrame) -> DataFrame:
 @query("score_requests", f"WITH {TELEMETRY} {SCORED}")
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every held-out row scored by the model to serve for its key."""
-    store = ModelStore(spark, sf_dir)
-    chosen = questions.default_models(store.telemetry())
-    return scored_columns(lookup.score(requests(spark, sf_dir), store.plan(), chosen))
+    return scored_columns(lookup.score(requests(spark, sf_dir), ModelStore(spark, sf_dir).served()))
 
 
 @query("score_requests_opaque", f"WITH {TELEMETRY} {SCORED}")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.functions.skus import bucket_count
-from skuloom.operators import bundle
+from skuloom.operators import bundle, lookup, questions
 from skuloom.plans import registration
-from skuloom.session import source_tag, work_path
+from skuloom.session import materialize, source_tag, work_path
 from skuloom.sources import demand as D
 from skuloom.sources import tables
 
@@ -44,6 +44,11 @@ class ModelStore:
     def telemetry(self) -> DataFrame:
         return registration.telemetry(self.plan()).drop("logged_at")
 
+    def served(self) -> DataFrame:
+        chosen = questions.default_models(self.telemetry())
+        path = self._stored("served", lambda path: materialize(lookup.serving(self.plan(), chosen), path))
+        return self.spark.read.parquet(path)
+
     def profile(self) -> DataFrame:
         self.plan()
         return self.spark.read.parquet(self._stored("plan", lambda _: None) + "_profile")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skuloom.operators import questions
 from skuloom.plans.catalog import TELEMETRY, query
 from skuloom.plans.model_queries import SCORED, scored_columns
 from skuloom.plans.registry_queries import KEYS, MODEL_RUNS, REGION_RUNS, SKU_RUNS
@@ -14,7 +13,7 @@ from skuloom.sources import demand as D
 from skuloom.streaming import register, score
 
 
-def scored_files(spark: SparkSession, sf_dir: str, models: DataFrame, chosen: DataFrame) -> DataFrame:
+def scored_files(spark: SparkSession, sf_dir: str, served: DataFrame) -> DataFrame:
     """Line items read as a stream of files, turned into requests, scored and appended to files."""
     schema = D.table(spark, sf_dir, "lineitem").schema
     lineitem = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
@@ -22,15 +21,14 @@ def scored_files(spark: SparkSession, sf_dir: str, models: DataFrame, chosen: Da
         "region", "sku", "price", "day_of_week", "promotion"
     )
     out = fresh_path(spark, "scores")
-    scored = score.score_stream(asked, models, chosen)
+    scored = score.score_stream(asked, served)
     score.to_files(scored, out + "/rows", out + "/checkpoint").awaitTermination()
     return spark.read.schema(scored.schema).parquet(out + "/rows")
 
 
 @query("stream_scores", f"WITH {TELEMETRY} {SCORED}")
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = ModelStore(spark, sf_dir)
-    return scored_columns(scored_files(spark, sf_dir, store.plan(), questions.default_models(store.telemetry())))
+    return scored_columns(scored_files(spark, sf_dir, ModelStore(spark, sf_dir).served()))
 
 
 @query("stream_registration", f"WITH {KEYS} {REGION_RUNS} UNION ALL {SKU_RUNS} UNION ALL {MODEL_RUNS}")

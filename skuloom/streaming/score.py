@@ -11,9 +11,12 @@ from skuloom.operators import lookup
 COPIES = 16
 
 
-def score_stream(requests: DataFrame, models: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The batch scoring job on a stream: a stream-static join, so no state is kept."""
-    return lookup.score(requests, models, chosen, copies=COPIES)
+def score_stream(requests: DataFrame, served: DataFrame) -> DataFrame:
+    """The batch scoring job on a stream: a stream-static join, so no state is kept.
+
+    Every micro-batch reads ``served`` anew, so it should be a stored table.
+    """
+    return lookup.score(requests, served, copies=COPIES)
 
 
 def to_files(scored: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

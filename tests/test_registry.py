@@ -1,9 +1,11 @@
 """Run hierarchy and its streaming form."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from skuloom.operators import questions, registry
+from skuloom.operators import lookup, questions, registry
 from skuloom.plans import registration
 from skuloom.sources.generate import fixture_plan
 from skuloom.streaming import register, score
@@ -51,9 +53,23 @@ def test_duplicates_are_reported(plan):
     assert registry.duplicate_keys(plan.unionByName(plan.limit(1))).count() == 1
 
 
-def test_records_of_a_region_in_order(plan):
-    got = [(r["sku"], r["model_name"]) for r in registry.records_of_region(plan, "REGION-01")]
-    assert got == sorted(got) and len(got) == 120
+def test_export_of_a_region_in_order(plan, tmp_path):
+    folder = str(tmp_path)
+
+    def consume(records):
+        import json
+        import uuid
+
+        keys = [(r["sku"], r["model_name"], len(r["model_blob_bytes"])) for r in records]
+        with open(f"{folder}/{uuid.uuid4().hex}.json", "w") as f:
+            json.dump(keys, f)
+
+    registry.export_region(plan, "REGION-01", consume)
+    parts = [[tuple(k) for k in json.loads(p.read_text())] for p in tmp_path.glob("*.json")]
+    parts = sorted(p for p in parts if p)
+    assert all(p == sorted(p) for p in parts)
+    whole = [k for p in parts for k in p]
+    assert whole == sorted(whole) and len(whole) == 120 and {k[2] for k in whole} == {32}
 
 
 def test_shards_cover_every_sku(plan):
@@ -114,6 +130,6 @@ def test_streaming_scores_go_on_where_they_stopped(spark, tmp_path):
     for day in range(2):
         requests.coalesce(1).write.mode("append").parquet(source)
         asked = spark.readStream.schema(requests.schema).parquet(source)
-        score.to_files(score.score_stream(asked, models, chosen), out, str(tmp_path / "at")).awaitTermination()
+        score.to_files(score.score_stream(asked, lookup.serving(models, chosen)), out, str(tmp_path / "at")).awaitTermination()
         got = spark.read.parquet(out).collect()
         assert [r["prediction"] for r in got] == [4.5] * (day + 1)

@@ -131,7 +131,7 @@ def test_untrainable_and_unevaluated_keys(plan):
 def test_scores(demand, plan, rows):
     chosen = questions.default_models(registration.telemetry(plan))
     requests = demand.where("holdout").select("region", "sku", "price", "day_of_week", "order_no")
-    got = {r["order_no"]: r for r in lookup.score(requests, plan, chosen).collect()}
+    got = {r["order_no"]: r for r in lookup.score(requests, lookup.serving(plan, chosen)).collect()}
     assert len(got) == int(rows.holdout.sum()) - 4
     blobs = {(r["region"], r["sku"], r["model_name"]): json.loads(bytes(r["model_blob_bytes"])) for r in plan.collect()}
     for r in got.values():
@@ -148,7 +148,7 @@ def test_scores(demand, plan, rows):
 def test_opaque_scores_are_the_same(demand, plan, rows_per_task):
     chosen = questions.default_models(registration.telemetry(plan))
     requests = demand.where("holdout AND price IS NOT NULL").select("region", "sku", "price", "day_of_week", "order_no")
-    want = {r["order_no"]: r["prediction"] for r in lookup.score(requests, plan, chosen).collect()}
+    want = {r["order_no"]: r["prediction"] for r in lookup.score(requests, lookup.serving(plan, chosen)).collect()}
 
     def apply(model, x):
         if model["kind"] == "price_ols":
@@ -230,5 +230,5 @@ def test_reference_models(demand, rows):
 def test_scores_with_copied_models(demand, plan):
     chosen = questions.default_models(registration.telemetry(plan))
     requests = demand.where("holdout").select("region", "sku", "price", "day_of_week", "order_no")
-    plain, copied = (lookup.score(requests, plan, chosen, copies=c) for c in (1, 16))
+    plain, copied = (lookup.score(requests, lookup.serving(plan, chosen), copies=c) for c in (1, 16))
     assert plain.columns == copied.columns and plain.exceptAll(copied).count() == 0 and plain.count() == copied.count()
