@@ -14,7 +14,15 @@ from skuloom.session import fresh_path, source_tag, work_path
 from skuloom.sources import demand as D
 from skuloom.sources import generate as G
 from skuloom.sources import tables
-from skuloom.sources.schema import DemandTable, RunPlanKeyTable, conform, null_violations, table_schema
+from skuloom.sources.schema import (
+    DemandTable,
+    RunPlanKeyTable,
+    TelemetryTable,
+    column_comments,
+    conform,
+    null_violations,
+    table_schema,
+)
 
 # A price is a two-digit amount over a quantity up to 50: eight digits never end in a rounding tie.
 PRICE_DIGITS = 8
@@ -338,7 +346,18 @@ def registered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("table_definition")
+TELEMETRY_TYPES = {
+    **{c: "string" for c in ("region", "sku", "model_name")}, **{c: "double" for c in ("rmse", "mape", "r2")},
+    "params": "map<string,string>", "metrics": "map<string,double>", "logged_at": "timestamp",
+}
+
+
+@query(
+    "table_definition",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{c}', '{t}', '{column_comments(TelemetryTable)[c]}')" for c, t in TELEMETRY_TYPES.items())
+    + ") AS t(col_name, data_type, comment)",
+)
 def table_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns, types and comments of the telemetry table after its rows were replaced."""
     name = f"{schema_for(spark, sf_dir)}.telemetry"
