@@ -15,6 +15,8 @@ from skuloom.session import checkpointed
 
 SKETCH_ACCURACY = 10_000
 SLICE_ROWS = 1_000_000
+# Groups known to be no larger than this are ranked by a plain window.
+WINDOW_ROWS = 1_000_000
 
 
 def join_groups(left: DataFrame, right: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
@@ -40,8 +42,8 @@ def order_statistics(
     ``stats`` maps a name to (quantile the position is near, n -> 0-based position). A quantile sketch
     only proposes cut points around each wanted quantile; positions are then counted exactly, so a poor
     sketch costs balance and never the answer. Only the few rows between the cut points around
-    a wanted position are sorted, and equal values are counted together before they move. ``df`` is read three
-    times: store it first when it is expensive.
+    a wanted position are sorted, and equal values are counted together before they move. Where the counts show that all
+    groups are small, a window ranks them. ``df`` is read up to three times: store it first when it is expensive.
     """
     margin = 2.0 / SKETCH_ACCURACY
     wanted = sorted({min(1.0, max(0.0, q + d)) for q, _ in stats.values() for d in (-margin, margin)})
@@ -54,17 +56,9 @@ def order_statistics(
             F.percentile_approx("__v", F.array(*[F.lit(q) for q in wanted]), F.lit(SKETCH_ACCURACY)).alias("__cuts"),
         )
     )
+    groups_found, largest = sketch.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     # Everything broadcast below has at most one row per group and stat.
-    hint = broadcast_if(sketch.count() * len(stats) <= BROADCAST_ROWS)
-    cuts = [F.get("__cuts", F.lit(i)) for i in range(len(wanted))]
-    zone = sum((F.when(F.col("__v") >= c, F.lit(1)).otherwise(F.lit(0)) for c in cuts), F.lit(0))
-    zoned = join_groups(rows, hint(sketch.drop("n")), groups).select(*groups, "__v", zone.alias("__zone"))
-
-    # At most len(wanted) + 1 zones per group, so this window is tiny.
-    before = W.partitionBy(*groups).orderBy("__zone").rowsBetween(W.unboundedPreceding, -1)
-    zones = zoned.groupBy(*groups, "__zone").agg(F.count("*").alias("__c")).withColumn(
-        "__start", F.coalesce(F.sum("__c").over(before), F.lit(0))
-    )
+    hint = broadcast_if(groups_found * len(stats) <= BROADCAST_ROWS)
     positions = sketch.select(
         *groups,
         "n",
@@ -77,6 +71,19 @@ def order_statistics(
             )
         ),
     )
+    if largest <= WINDOW_ROWS:
+        place = F.row_number().over(W.partitionBy(*groups).orderBy("__v")) - 1
+        ranked = rows.withColumn("__pos", place.cast("bigint"))
+        return _one_row_per_group(join_groups(ranked, hint(positions), [*groups, "__pos"]), groups, stats)
+    cuts = [F.get("__cuts", F.lit(i)) for i in range(len(wanted))]
+    zone = sum((F.when(F.col("__v") >= c, F.lit(1)).otherwise(F.lit(0)) for c in cuts), F.lit(0))
+    zoned = join_groups(rows, hint(sketch.drop("n")), groups).select(*groups, "__v", zone.alias("__zone"))
+
+    # At most len(wanted) + 1 zones per group, so this window is tiny.
+    before = W.partitionBy(*groups).orderBy("__zone").rowsBetween(W.unboundedPreceding, -1)
+    zones = zoned.groupBy(*groups, "__zone").agg(F.count("*").alias("__c")).withColumn(
+        "__start", F.coalesce(F.sum("__c").over(before), F.lit(0))
+    )
     targets = checkpointed(
         join_groups(positions, zones, groups)
         .where((F.col("__pos") >= F.col("__start")) & (F.col("__pos") < F.col("__start") + F.col("__c")))
@@ -92,6 +99,10 @@ def order_statistics(
     hits = join_groups(ranked, hint(targets), [*groups, "__zone"]).where(
         (F.col("__pos") < F.col("__end")) & (F.col("__pos") >= F.col("__end") - F.col("__c"))
     )
+    return _one_row_per_group(hits, groups, stats)
+
+
+def _one_row_per_group(hits: DataFrame, groups: list[str], stats: dict) -> DataFrame:
     return hits.groupBy(*groups).agg(
         F.max("n").alias("n"),
         *[F.max(F.when(F.col("__stat") == name, F.col("__v"))).alias(name) for name in stats],

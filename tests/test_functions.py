@@ -18,8 +18,14 @@ def nearest(values, q):
     return s[min(len(s) - 1, int(q * len(s)))]
 
 
+@pytest.fixture(params=[0, ranks.WINDOW_ROWS], ids=["sketch", "window"])
+def way(request, monkeypatch):
+    """Both ways of ranking: by cut points from a sketch, and by a window when all groups are small."""
+    monkeypatch.setattr(ranks, "WINDOW_ROWS", request.param)
+
+
 @pytest.mark.parametrize("n", [1, 2, 99, 100, 101])
-def test_nearest_rank(spark, n):
+def test_nearest_rank(spark, n, way):
     values = [float((i * 7919) % n) for i in range(n)]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
     got = ranks.order_statistics(df, ["g"], "v", {f"p{q}": (q / 100, nearest_rank(q / 100)) for q in (5, 50, 95)}).first()
@@ -27,7 +33,7 @@ def test_nearest_rank(spark, n):
     assert [got[f"p{q}"] for q in (5, 50, 95)] == [nearest(values, q / 100) for q in (5, 50, 95)]
 
 
-def test_order_statistics_with_a_hot_group_and_copies(spark, monkeypatch):
+def test_order_statistics_with_a_hot_group_and_copies(spark, monkeypatch, way):
     """One group holds most rows and one value a third of them; a crude sketch must not change any result."""
     monkeypatch.setattr(ranks, "SKETCH_ACCURACY", 20)
     rng = random.Random(3)
@@ -41,14 +47,14 @@ def test_order_statistics_with_a_hot_group_and_copies(spark, monkeypatch):
             assert math.isclose(got[g][name], float(np.quantile(vs, q)), rel_tol=1e-12, abs_tol=1e-12)
 
 
-def test_order_statistics_without_a_broadcast(spark, monkeypatch):
+def test_order_statistics_without_a_broadcast(spark, monkeypatch, way):
     monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
     got = {r["g"]: r["m"] for r in ranks.order_statistics(df, ["g"], "v", {"m": (0.5, nearest_rank(0.5))}).collect()}
     assert got == {g: nearest(range(g, 1000, 3), 0.5) for g in range(3)}
 
 
-def test_null_is_a_group(spark):
+def test_null_is_a_group(spark, way):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
     got = {r["g"]: (r["n"], r["q"]) for r in ranks.quantiles(df, ["g"], "v", {"q": 0.5}).collect()}
     assert got == {None: (2, 2.0), "a": (1, 2.0)}
