@@ -153,7 +153,7 @@ def bundle_files(spark: SparkSession, root: str) -> DataFrame:
 
     def in_path(name: str) -> Column:
         # Directory values are percent-escaped; a plus sign in them is a plus sign.
-        value = F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+        value = F.regexp_extract("path", f"^.*/{name}=([^/]*)/", 1)
         return F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
 
     return listed.select(
