@@ -100,19 +100,22 @@ def score_opaque(
     tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(tasks, *keys, "chunk").sortWithinPartitions(*keys, "chunk", "__turn")
 
+    marks = [*keys, "chunk", "__turn"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, model = None, None
         for batch in batches:
-            marks = [*keys, "chunk", "__turn"]
             starts = np.flatnonzero((batch[marks] != batch[marks].shift()).any(axis=1).to_numpy())
-            for first, last in zip(starts, [*starts[1:], len(batch)]):
-                head = batch.iloc[first]
-                key = tuple(head[c] for c in [*keys, "chunk"])
-                if head["__turn"] == 0:
-                    current, model = key, load(bytes(head[blob]))
+            heads = list(batch[marks].iloc[starts].itertuples(index=False, name=None))
+            x = batch[features].to_numpy(dtype=float)
+            predicted, scored = np.empty(len(batch)), np.zeros(len(batch), dtype=bool)
+            for first, last, (*key, turn) in zip(starts, [*starts[1:], len(batch)], heads):
+                if turn == 0:
+                    current, model = key, load(bytes(batch[blob].iloc[first]))
                 elif key == current:
-                    part = batch.iloc[first:last]
-                    yield part[columns].assign(prediction=apply(model, part[features].to_numpy(dtype=float)))
+                    predicted[first:last] = apply(model, x[first:last])
+                    scored[first:last] = True
+            yield batch.loc[scored, columns].assign(prediction=predicted[scored])
 
     columns = [*keys, *rest]
     fields = [requests.schema[c] for c in columns]

