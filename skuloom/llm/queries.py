@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.llm import decontaminate, token_store
+from skuloom.llm import decontaminate, slots, token_store
 from skuloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token_store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, BYTE_BPE)
     return token_store.read_store(spark, path, with_ids=False).withColumnRenamed("key", "doc_id")
+
+
+SHARDS = 16
+
+
+@query
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = slots.shard(table(spark, sf_dir, "documents"), SHARDS, fresh_path(spark, "slot_map"))
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
