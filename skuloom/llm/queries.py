@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.llm import decontaminate, slots, token_store
+from skuloom.llm import decontaminate, slots, tag_paths, token_store
 from skuloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ SHARDS = 16
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = slots.shard(table(spark, sf_dir, "documents"), SHARDS, fresh_path(spark, "slot_map"))
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query
+def op9_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tag_paths.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
