@@ -19,6 +19,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skuloom.llm.suffixes import search, suffix_array
 from skuloom.llm.text import LOWER, WORD_BYTES, flat, pieces, positions, span_hashes, spans
 
 WINDOW = 13
@@ -75,61 +76,6 @@ class Suffixes:
         self.place = self.of.first[self.text][self.item] + self.at if len(sizes) else np.empty(0, np.int64)
 
 
-def suffix_array(hashes: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarray:
-    """Positions lo..hi-1 in the order of the ``depth`` words from there on; the order of words is that of their hashes."""
-    part = hashes[lo : hi + depth]
-    _, rank = np.unique(part, return_inverse=True)
-    bits = max(1, int(rank.max()).bit_length())
-    per = max(1, 63 // bits)
-    rank = np.concatenate([rank.astype(np.int64), np.zeros(per, np.int64)])
-    key = np.zeros(len(part), np.int64)
-    for k in range(per):
-        key = (key << bits) | rank[k : k + len(part)]
-    key = np.concatenate([key, np.zeros(depth + per, np.int64)])
-    n = hi - lo
-    order = np.argsort(key[:n])
-    fresh = np.ones(n, bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
-    done = per
-    while done < depth:
-        tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        group, own = np.cumsum(fresh)[at], order[at]
-        later = key[own + done]
-        by = np.lexsort((later, group))
-        order[at] = own[by]
-        group, later = group[by], later[by]
-        new = np.ones(len(at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (later[1:] != later[:-1])
-        fresh[at] = new
-        done += per
-    return order + lo
-
-
-def _bound(array: np.ndarray, hashes: np.ndarray, of: Suffixes, after: bool) -> np.ndarray:
-    """For each benchmark suffix: how many suffixes of the array are below its window, or not above it."""
-    n = len(of.place)
-    low, high = np.zeros(n, np.int64), np.full(n, len(array), np.int64)
-    while (open_ := np.flatnonzero(low < high)).size:
-        mid = (low[open_] + high[open_]) >> 1
-        doc, item, need = array[mid], of.place[open_], of.need[open_]
-        right = np.full(len(open_), after)  # what an equal window means
-        same = np.arange(len(open_))
-        for k in range(of.window):
-            a, b = hashes[doc[same] + k], of.of.hashes[item[same] + k]
-            right[same[a < b]] = True
-            right[same[a > b]] = False
-            same = same[(a == b) & (need[same] > k + 1)]
-            if not len(same):
-                break
-        low[open_[right]] = mid[right] + 1
-        high[open_[~right]] = mid[~right]
-    return low
-
-
 def matches(words: Words, of: Suffixes) -> list[tuple[int, int, int, int, int]]:
     """(text, its word, words matched, item, word of the item) of every longest verbatim match of a window or more."""
     found = []
@@ -138,7 +84,7 @@ def matches(words: Words, of: Suffixes) -> list[tuple[int, int, int, int, int]]:
     total, hashes = len(words.hashes) - of.window, words.hashes
     for lo in range(0, total, SHARD_WORDS):
         array = suffix_array(hashes, lo, min(lo + SHARD_WORDS, total), of.window)
-        low, high = _bound(array, hashes, of, False), _bound(array, hashes, of, True)
+        low, high = search(array, hashes, of.of.hashes, of.place, of.need)
         counts = high - low
         which = np.repeat(np.arange(len(counts)), counts)
         doc = array[positions(low, counts)]
