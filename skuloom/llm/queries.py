@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.llm import decontaminate, slots, tag_paths, token_store
+from skuloom.llm import decontaminate, sentence_pieces, slots, tag_paths, token_store
 from skuloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,15 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentence_pieces.encode(docs, PIECE_BPE)
+    back = sentence_pieces.decoded(spark, F.col("ids"), PIECE_BPE)
+    same = back == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
+
+
 @query
 def op9_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tag_paths.extract(table(spark, sf_dir, "pages"))

@@ -253,7 +253,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, lines: bool) -> tuple[np.ndarr
     return data, offsets, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
-_encoders: dict[int, ChunkEncoder] = {}
+_encoders: dict[str, ChunkEncoder] = {}
 
 
 def _encode_texts(coder: ChunkEncoder, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids") ->
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _encoders.get(shared.id) or _encoders.setdefault(shared.id, ChunkEncoder(shared.value))
+        coder = _encoders.get(name) or _encoders.setdefault(name, ChunkEncoder(shared.value))
         for texts in batches:
             out, cuts, total = [], [np.zeros(1, np.int64)], 0
             for own, before in _encode_texts(coder, texts):
