@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.llm import decontaminate, sentence_pieces, slots, tag_paths, token_store
+from skuloom.llm import attention_mil, decontaminate, sentence_pieces, slots, tag_paths, token_store
 from skuloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,19 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = attention_mil.train(docs, table(spark, sf_dir, "labels"))
+    score = F.col("score")
+    return attention_mil.scored(docs, model).select(
+        "doc_id",
+        attention_mil.is_held_out("doc_id").alias("held_out"),
+        "score",
+        F.when(score >= attention_mil.PREDICTED_FROM, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
