@@ -13,8 +13,8 @@ from tokenizers import Tokenizer
 
 from skuloom.llm.text import distinct_spans, flat, pieces, positions, pre_tokens
 
-PIECE_BYTES = 8 << 20
-CACHE_WORDS = 1_000_000
+PIECE_BYTES = 4 << 20
+CACHE_WORDS = 300_000
 
 
 class BatchEncoder:
