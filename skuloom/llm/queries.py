@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.llm import attention_mil, decontaminate, lsh_forest, sentence_pieces, slots, tag_paths, token_store
+from skuloom.llm import attention_mil, collinear_chains, decontaminate, lsh_forest, sentence_pieces, slots, tag_paths, token_store
 from skuloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,11 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tag_paths.extract(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op10_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collinear_chains.repeated_passages(table(spark, sf_dir, "documents"))
+    names = {"id": "doc_id", "other": "other_id", "begin": "begin_word", "size": "n_words"}
+    names |= {"other_begin": "other_begin_word", "other_size": "other_n_words"}
+    return found.withColumnsRenamed(names).withColumn("similarity", F.round("similarity", 6))
