@@ -53,23 +53,28 @@ class BatchEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _piece(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts of pre-tokens, pre-tokens before each text, entry of each, texts for the library) of texts with pre-tokens."""
         starts, ends, before, odd = pre_tokens(data, offsets)
-        if not len(starts):
-            return [np.empty(0, np.uint32)] * (len(offsets) - 1)
         first, codes = distinct_spans(data, starts, ends)
         raw = data.tobytes()
         entry = self._entries([raw[starts[i] : ends[i]] for i in first])[codes]
-        sizes = self.size[entry]
-        ids = self.pool[positions(self.at[entry], sizes)]
-        cuts = np.concatenate([[0], np.cumsum(sizes)])[before]
         for s in self.special:
             at = raw.find(s.encode())
             while at >= 0:
                 odd[np.searchsorted(offsets, at, "right") - 1] = True
                 at = raw.find(s.encode(), at + 1)
+        return starts, before, entry, odd
+
+    def _piece(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        if not len(data):
+            return [np.empty(0, np.uint32)] * (len(offsets) - 1)
+        _, before, entry, odd = self.tokens(data, offsets)
+        sizes = self.size[entry]
+        ids = self.pool[positions(self.at[entry], sizes)]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[before]
         return [
-            self.whole(raw[offsets[i] : offsets[i + 1]].decode()) if odd[i] else ids[cuts[i] : cuts[i + 1]]
+            self.whole(data[offsets[i] : offsets[i + 1]].tobytes().decode()) if odd[i] else ids[cuts[i] : cuts[i + 1]]
             for i in range(len(offsets) - 1)
         ]
 

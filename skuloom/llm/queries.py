@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.llm import attention_mil, collinear_chains, decontaminate, lsh_forest, sentence_pieces, slots, tag_paths, token_store
+from skuloom.llm import attention_mil, collinear_chains, decontaminate, edit_counts, lsh_forest, sentence_pieces, slots, tag_paths, token_store
 from skuloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,22 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
 
 
+@query
+def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after its personal data is replaced by marks."""
+    docs = edit_counts.redactions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    trees = edit_counts.counted(docs, BYTE_BPE).withColumn("n_tokens", edit_counts.total("tree"))
+    after = edit_counts.applied(trees, BYTE_BPE)
+    return after.select(
+        "doc_id",
+        "n_tokens",
+        F.size("edits").cast("bigint").alias("n_edits"),
+        edit_counts.total("tree").alias("n_tokens_after"),
+        "reencoded_bytes",
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
 @query
 def op9_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tag_paths.extract(table(spark, sf_dir, "pages"))
