@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.llm import attention_mil, collinear_chains, decontaminate, edit_counts, lsh_forest, sentence_pieces, slots, tag_paths, token_store
+from skuloom.llm import attention_mil, collinear_chains, decontaminate, edit_counts, lsh_forest, rp_forest, sentence_pieces, slots, tag_paths, token_store
 from skuloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,27 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rp_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+ORACLES["op5_projection_forest"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reached(vec_id, node) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT vec_id, b FROM reached JOIN links ON node = a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(node) AS component_id, min(node) = vec_id AS kept
+FROM reached LEFT JOIN counted USING (vec_id) GROUP BY vec_id
+"""
+
+
 @query
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), words=2)
