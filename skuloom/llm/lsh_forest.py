@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skuloom.llm.components import components
@@ -261,8 +262,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return of.select(key, "n_shingles", alone.alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without those whose component has a smaller id; columns as before."""
-    found = near_duplicates(docs, key, **options)
-    gone = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key].cast("bigint") == F.col("__gone"), "left_anti")
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without those whose component has a smaller id; of rows that share an id one stays. Columns as before."""
+    found = materialize(near_duplicates(docs, key, text, **options), fresh_path(docs.sparkSession, "near_duplicates"))
+    gone = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("__id")).distinct()
+    same = docs[key].cast("bigint") == F.col("__id")
+    kept = docs.join(gone, same, "left_anti")
+    again = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__id")).count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return kept
+    first = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text)))
+    one = kept.join(again, same, "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
+    return kept.join(again, same, "left_anti").unionByName(one)
