@@ -12,21 +12,18 @@ from pyspark.sql import functions as F
 from skuloom.functions.ranks import quantiles
 
 GOOD_MAPE = 0.10
-# Sorts after every known error.
-LAST = 2**63 - 1
 
 
-def comparable(error: Column | str) -> Column:
-    """Errors in steps of a millionth: the order in which a sum was taken must not decide between equal models.
-
-    The steps are shifted, since errors of small whole numbers often lie exactly on a round value.
-    """
+def known(error: Column | str) -> Column:
+    """Whether an error can be compared: neither NULL nor NaN."""
     error = F.col(error) if isinstance(error, str) else error
-    return F.floor(error * 1_000_000 + 0.37)
+    return error.isNotNull() & ~F.isnan(error)
 
 
 def is_good(mape: Column | str = "mape") -> Column:
-    return comparable(mape) < comparable(F.lit(GOOD_MAPE))
+    """NULL and NaN are not good."""
+    mape = F.col(mape) if isinstance(mape, str) else mape
+    return mape < GOOD_MAPE
 
 
 def skus_per_region(t: DataFrame) -> DataFrame:
@@ -34,19 +31,19 @@ def skus_per_region(t: DataFrame) -> DataFrame:
 
 
 def highest_rmse(t: DataFrame, region: str, k: int = 10) -> DataFrame:
-    known = t.where((F.col("region") == region) & F.col("rmse").isNotNull())
-    return known.orderBy(F.desc(comparable("rmse")), "sku", "model_name").select("sku", "model_name", "rmse").limit(k)
+    rows = t.where((F.col("region") == region) & known("rmse"))
+    return rows.orderBy(F.desc("rmse"), "sku", "model_name").select("sku", "model_name", "rmse").limit(k)
 
 
 def lowest_rmse(t: DataFrame, region: str, k: int = 10) -> DataFrame:
-    known = t.where((F.col("region") == region) & F.col("rmse").isNotNull())
-    return known.orderBy(comparable("rmse"), "sku", "model_name").select("sku", "model_name", "rmse").limit(k)
+    rows = t.where((F.col("region") == region) & known("rmse"))
+    return rows.orderBy("rmse", "sku", "model_name").select("sku", "model_name", "rmse").limit(k)
 
 
 def best_skus(t: DataFrame, region: str, k: int = 20) -> DataFrame:
     """Each sku by its best model."""
     best = best_models(t.where(F.col("region") == region))
-    return best.orderBy(comparable("rmse"), "sku").select("sku", "model_name", "rmse").limit(k)
+    return best.orderBy("rmse", "sku").select("sku", "model_name", "rmse").limit(k)
 
 
 def average_mape(t: DataFrame) -> DataFrame:
@@ -58,14 +55,13 @@ def average_rmse(t: DataFrame) -> DataFrame:
 
 
 def worst_r2(t: DataFrame, k: int = 10) -> DataFrame:
-    known = t.where(F.col("r2").isNotNull())
-    return known.orderBy("r2", "region", "sku", "model_name").select("region", "sku", "model_name", "r2").limit(k)
+    return t.where(known("r2")).orderBy("r2", "region", "sku", "model_name").select("region", "sku", "model_name", "r2").limit(k)
 
 
 def rmse_distributions(t: DataFrame, regions: list[str]) -> DataFrame:
-    known = t.where(F.col("region").isin(regions) & F.col("rmse").isNotNull()).select("region", "rmse")
-    ranks = quantiles(known, ["region"], "rmse", {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95})
-    moments = known.groupBy("region").agg(
+    rows = t.where(F.col("region").isin(regions) & known("rmse")).select("region", "rmse")
+    ranks = quantiles(rows, ["region"], "rmse", {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95})
+    moments = rows.groupBy("region").agg(
         F.count("*").alias("models"),
         F.min("rmse").alias("min_rmse"),
         F.max("rmse").alias("max_rmse"),
@@ -83,20 +79,25 @@ def best_model_overall(t: DataFrame) -> DataFrame:
     return model_means(t).where(F.col("mean_rmse").isNotNull()).orderBy("mean_rmse", "model_name").limit(1)
 
 
+def _rank(error: str) -> Column:
+    """Errors in ascending order with those that cannot be compared last; NaN sorts after every number."""
+    return F.when(known(error), F.col(error)).otherwise(F.lit(float("nan")))
+
+
 def best_models(t: DataFrame) -> DataFrame:
     """Best evaluated model per (region, sku): lowest rmse, then mape, then name.
 
     A minimum over a struct combines before the shuffle; a ranking window would move and sort every row.
     """
-    order = F.struct(comparable("rmse").alias("a"), F.coalesce(comparable("mape"), F.lit(LAST)).alias("b"), "model_name", "rmse", "mape", "r2")
-    return t.where(F.col("rmse").isNotNull()).groupBy("region", "sku").agg(F.min(order).alias("b")).select(
+    order = F.struct(F.col("rmse").alias("a"), _rank("mape").alias("b"), "model_name", "rmse", "mape", "r2")
+    return t.where(known("rmse")).groupBy("region", "sku").agg(F.min(order).alias("b")).select(
         "region", "sku", "b.model_name", "b.rmse", "b.mape", "b.r2"
     )
 
 
 def default_models(t: DataFrame) -> DataFrame:
     """The model to serve per (region, sku): the best evaluated one, or the first by name where none was evaluated."""
-    order = F.struct(F.coalesce(comparable("rmse"), F.lit(LAST)).alias("a"), F.coalesce(comparable("mape"), F.lit(LAST)).alias("b"), "model_name")
+    order = F.struct(_rank("rmse").alias("a"), _rank("mape").alias("b"), "model_name")
     return t.groupBy("region", "sku").agg(F.min(order)["model_name"].alias("model_name"))
 
 

@@ -13,8 +13,9 @@ METRIC_NAMES = ["rmse", "mape", "r2", "mae", "mse", "accuracy", "precision", "re
 # Fixed values of our metric definitions.
 HIT_TOLERANCE = 0.25
 HIGH_DEMAND = 25
-# Predictions often lie exactly on these bounds, so the last bit of a sum must not decide.
-SLACK = 1e-9
+# Predictions carry six decimals, and errors are summed as decimals: metrics do not depend on the order of rows.
+PREDICTION_DIGITS = 6
+ERROR_TYPE, SHARE_TYPE = "decimal(30,8)", "decimal(30,12)"
 
 # Columns that tell rows of a key apart, used where present to spread a hot key.
 ROW_MARKS = ["row_no", "order_no", "date"]
@@ -64,11 +65,17 @@ def coefficients(profiles: DataFrame) -> DataFrame:
 
 def predictions(mean: Column, intercept: Column, slope: Column, weekday: Column) -> dict[str, Column]:
     """Prediction of each model for a row with ``price`` and ``day_of_week``."""
-    return {
+    raw = {
         "mean": mean,
         "price_ols": F.coalesce(intercept + slope * F.col("price"), mean),
         "weekday_mean": F.coalesce(F.get(weekday, F.col("day_of_week")), mean),
     }
+    return {m: F.round(p, PREDICTION_DIGITS) for m, p in raw.items()}
+
+
+def exact_sum(value: Column, kind: str = ERROR_TYPE) -> Column:
+    """Sum that is the same in any order of rows."""
+    return F.sum(value.cast(kind)).cast("double")
 
 
 def evaluate(demand: DataFrame, coefs: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -82,23 +89,23 @@ def evaluate(demand: DataFrame, coefs: DataFrame, rows_per_task: int = ROWS_PER_
         "region", "sku_n", F.col("demand").cast("double").alias("y"), *[g.alias(f"p_{m}") for m, g in guesses.items()]
     )
     y = F.col("y")
-    sums = [F.count(y).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), (F.min(y) < F.max(y)).alias("varied")]
+    # The central moment: sum(y * y) - sum(y)^2 / n would cancel where demand is large.
+    sums = [F.count(y).alias("n"), (F.var_pop(y) * F.count(y)).alias("spread"), (F.min(y) < F.max(y)).alias("varied")]
     for m in MODEL_NAMES:
         p = F.col(f"p_{m}")
         off = F.abs(y - p)
         share = F.try_divide(off, y)
-        high, called = y > HIGH_DEMAND, p > HIGH_DEMAND + SLACK
+        high, called = y > HIGH_DEMAND, p > HIGH_DEMAND
         sums += [
-            F.sum(off * off).alias(f"sse_{m}"),
-            F.sum(off).alias(f"sae_{m}"),
-            F.avg(share).alias(f"mape_{m}"),
-            F.count_if(share <= HIT_TOLERANCE + SLACK).alias(f"hit_{m}"),
+            exact_sum(off * off).alias(f"sse_{m}"),
+            exact_sum(off).alias(f"sae_{m}"),
+            (exact_sum(share, SHARE_TYPE) / F.count(share)).alias(f"mape_{m}"),
+            F.count_if(share <= HIT_TOLERANCE).alias(f"hit_{m}"),
             F.count_if(high & called).alias(f"tp_{m}"),
             F.count_if(~high & called).alias(f"fp_{m}"),
             F.count_if(high & ~called).alias(f"fn_{m}"),
         ]
     n = F.col("n")
-    spread = F.col("syy") - F.col("sy") * F.col("sy") / n
 
     def metrics(m: str) -> Column:
         sse, tp = F.col(f"sse_{m}"), F.col(f"tp_{m}")
@@ -106,7 +113,7 @@ def evaluate(demand: DataFrame, coefs: DataFrame, rows_per_task: int = ROWS_PER_
         values = {
             "rmse": F.sqrt(sse / n),
             "mape": F.col(f"mape_{m}"),
-            "r2": F.when(F.col("varied"), 1 - F.try_divide(sse, spread)),
+            "r2": F.when(F.col("varied"), 1 - F.try_divide(sse, F.col("spread"))),
             "mae": F.col(f"sae_{m}") / n,
             "mse": sse / n,
             "accuracy": F.col(f"hit_{m}") / n,
@@ -128,7 +135,7 @@ def _text(value: Column) -> Column:
 def run_plan(coefs: DataFrame, evaluated: DataFrame) -> DataFrame:
     """Run-plan rows: key, serialised model, settings and metrics; metrics that are undefined have no map entry.
 
-    Both sides are already distributed by key, so the join adds no shuffle of its own.
+    The metrics come distributed by key; the coefficients, one row per key, are shuffled to them where they were stored.
     """
     def row(m: str) -> Column:
         keep_line, keep_days = m == "price_ols", m == "weekday_mean"

@@ -48,11 +48,6 @@ def r(expression: str, digits: int = DIGITS) -> str:
     return f"(round(CAST({expression} AS DOUBLE) + CAST({off_edge(digits)!r} AS DOUBLE), {digits}) + 0.0)"
 
 
-def step(expression: str) -> str:
-    """SQL form of ``questions.comparable``."""
-    return f"floor({expression} * 1000000 + 0.37)"
-
-
 DEMAND = """
 demand AS (
   SELECT r_name AS region, printf('SKU-%06d', l_partkey) AS sku, l_partkey AS sku_n,
@@ -81,7 +76,8 @@ weekday AS (
 ),
 guess AS (
   SELECT d.region, d.sku_n, d.sku, d.price, d.day_of_week, d.promotion, d.inventory, d.holdout, CAST(d.demand AS DOUBLE) AS y,
-         c.mean AS p_mean, c.intercept + c.slope * d.price AS p_ols, coalesce(w.day_mean, c.mean) AS p_day
+         round(c.mean, 6) AS p_mean, round(c.intercept + c.slope * d.price, 6) AS p_ols,
+         round(coalesce(w.day_mean, c.mean), 6) AS p_day
   FROM demand d JOIN coef c ON d.region = c.region AND d.sku_n = c.sku_n
   LEFT JOIN weekday w ON d.region = w.region AND d.sku_n = w.sku_n AND d.day_of_week = w.day_of_week
   WHERE d.holdout
@@ -94,15 +90,17 @@ tried AS (
   UNION ALL SELECT region, sku_n, 'weekday_mean', y, p_day FROM guess
 ),
 measured AS (
-  SELECT region, sku_n, model_name, count(*) AS n,
-         sqrt(sum((y - p) * (y - p)) / count(*)) AS rmse, avg(abs(y - p) / y) AS mape,
-         CASE WHEN min(y) < max(y)
-              THEN 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) END AS r2,
-         sum(abs(y - p)) / count(*) AS mae, sum((y - p) * (y - p)) / count(*) AS mse,
-         count(*) FILTER (abs(y - p) / y <= 0.250000001) / count(*) AS accuracy,
-         count(*) FILTER (y > 25 AND p > 25.000000001) AS tp, count(*) FILTER (y <= 25 AND p > 25.000000001) AS fp,
-         count(*) FILTER (y > 25 AND p <= 25.000000001) AS fn
-  FROM tried GROUP BY region, sku_n, model_name
+  SELECT region, sku_n, model_name, n,
+         sqrt(sse / n) AS rmse, share / n AS mape, CASE WHEN varied THEN 1 - sse / spread END AS r2,
+         sae / n AS mae, sse / n AS mse, hits / n AS accuracy, tp, fp, fn
+  FROM (
+    SELECT region, sku_n, model_name, count(*) AS n, var_pop(y) * count(*) AS spread, min(y) < max(y) AS varied,
+           CAST(sum(CAST((y - p) * (y - p) AS DECIMAL(30, 8))) AS DOUBLE) AS sse,
+           CAST(sum(CAST(abs(y - p) AS DECIMAL(30, 8))) AS DOUBLE) AS sae,
+           CAST(sum(CAST(abs(y - p) / y AS DECIMAL(30, 12))) AS DOUBLE) AS share,
+           count(*) FILTER (abs(y - p) / y <= CAST(0.25 AS DOUBLE)) AS hits, count(*) FILTER (y > 25 AND p > 25) AS tp,
+           count(*) FILTER (y <= 25 AND p > 25) AS fp, count(*) FILTER (y > 25 AND p <= 25) AS fn
+    FROM tried GROUP BY region, sku_n, model_name)
 ),
 model_names AS (SELECT unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name),
 telemetry AS (
@@ -116,13 +114,12 @@ telemetry AS (
 ),
 best AS (
   SELECT * FROM telemetry WHERE rmse IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY region, sku
-                             ORDER BY floor(rmse * 1000000 + 0.37), floor(mape * 1000000 + 0.37) NULLS LAST, model_name) = 1
+  QUALIFY row_number() OVER (PARTITION BY region, sku ORDER BY rmse, mape NULLS LAST, model_name) = 1
 ),
 served AS (
   SELECT region, sku, sku_n, model_name FROM telemetry
   QUALIFY row_number() OVER (PARTITION BY region, sku
-    ORDER BY floor(rmse * 1000000 + 0.37) NULLS LAST, floor(mape * 1000000 + 0.37) NULLS LAST, model_name) = 1
+    ORDER BY rmse NULLS LAST, mape NULLS LAST, model_name) = 1
 )"""
 
 

@@ -9,19 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.operators import lookup, questions, train, user_models
-from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, rounded, step
+from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, rounded
 from skuloom.plans.store import ModelStore
 from skuloom.session import fresh_path, materialize
 from skuloom.sources import demand as D
 from skuloom.sources import tables
 
+DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
 
 @query(
     "trained_models",
     f"""WITH {COEFS}
     SELECT c.region, printf('SKU-%06d', c.sku_n) AS sku, c.n_train, {r('c.mean')} AS mean, {r('c.intercept', 3)} AS intercept,
-           {r('c.slope')} AS slope, {r('coalesce(w.day_mean, c.mean)')} AS monday
-    FROM coef c LEFT JOIN weekday w ON c.region = w.region AND c.sku_n = w.sku_n AND w.day_of_week = 0""",
+           {r('c.slope')} AS slope, {', '.join(f"{r(f'coalesce(w.d{d}, c.mean)')} AS {day}" for d, day in enumerate(DAYS))}
+    FROM coef c LEFT JOIN (
+      SELECT region, sku_n, {', '.join(f'max(day_mean) FILTER (day_of_week = {d}) AS d{d}' for d in range(7))}
+      FROM weekday GROUP BY region, sku_n) w ON c.region = w.region AND c.sku_n = w.sku_n""",
 )
 def trained_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All built-in models trained from the raw tables."""
@@ -33,15 +37,15 @@ def trained_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         near("mean", 6).alias("mean"),
         near("intercept", 3).alias("intercept"),
         near("slope", 6).alias("slope"),
-        near(F.get("weekday", F.lit(0)), 6).alias("monday"),
+        *[near(F.get("weekday", F.lit(d)), 6).alias(day) for d, day in enumerate(DAYS)],
     )
 
 
 @query(
     "evaluation",
     f"""WITH {TELEMETRY}
-    SELECT region, sku, model_name, {r('rmse', 4)} AS rmse, {r('mape', 4)} AS mape, {r('mae', 4)} AS mae,
-           {r('accuracy')} AS accuracy, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1
+    SELECT region, sku, model_name, {r('rmse', 4)} AS rmse, {r('mape', 4)} AS mape, {r('r2', 4)} AS r2,
+           {r('mae', 4)} AS mae, {r('mse', 4)} AS mse, {r('accuracy')} AS accuracy, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1
     FROM telemetry""",
 )
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.demand(spark, sf_dir, inventory=False)
     coefs = train.coefficients(materialize(train.profile(rows), fresh_path(spark, "profile")))
     long = train.evaluation_long(train.run_plan(coefs, train.evaluate(rows, coefs)))
-    four = [near(c, 4).alias(c) for c in ("rmse", "mape", "mae")]
+    four = [near(c, 4).alias(c) for c in train.METRIC_NAMES[:5]]
     return long.select("region", "sku", "model_name", *four, *[near(c, 6).alias(c) for c in train.METRIC_NAMES[5:]])
 
 
@@ -58,7 +62,7 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {TELEMETRY}
     SELECT region, model_name, count(*) AS models, count(rmse) AS evaluated, {r('avg(rmse)')} AS avg_rmse,
            {r('avg(mape)')} AS avg_mape, {r('avg(mae)')} AS avg_mae, {r('avg(sqrt(mse))')} AS avg_root_mse,
-           {r('avg(CASE WHEN r2 IS NOT NULL THEN greatest(r2, -1.0) END)')} AS avg_r2_floored, {r('avg(accuracy)')} AS avg_accuracy
+           {r('avg(r2)', 4)} AS avg_r2, {r('avg(accuracy)')} AS avg_accuracy
     FROM telemetry GROUP BY region, model_name""",
 )
 def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +75,9 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.avg(m["mape"]).alias("avg_mape"),
             F.avg(m["mae"]).alias("avg_mae"),
             F.avg(F.sqrt(m["mse"])).alias("avg_root_mse"),
-            F.avg(F.when(m["r2"].isNotNull(), F.greatest(m["r2"], F.lit(-1.0)))).alias("avg_r2_floored"),
+            F.avg(m["r2"]).alias("avg_r2"),
             F.avg(m["accuracy"]).alias("avg_accuracy"),
-        )
+        ).withColumn("avg_r2", near("avg_r2", 4))
     )
 
 
@@ -228,7 +232,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ModelStore(spark, sf_dir).telemetry()
 
 
-GOOD = f"{step('mape')} < {step('0.10')}"
+GOOD = "mape < CAST(0.10 AS DOUBLE)"
 
 
 def question(name: str, sql: str, digits: int = 6):
@@ -244,16 +248,16 @@ question("skus_per_region", "SELECT region, count(DISTINCT sku) AS skus FROM tel
 question(
     "highest_rmse_skus",
     f"""SELECT sku, model_name, {r('rmse', 3)} AS rmse FROM telemetry WHERE region = 'ASIA' AND rmse IS NOT NULL
-    ORDER BY {step('telemetry.rmse')} DESC, sku, model_name LIMIT 10""", 3,
+    ORDER BY telemetry.rmse DESC, sku, model_name LIMIT 10""", 3,
 )(lambda t: questions.highest_rmse(t, "ASIA"))
 
 question("average_mape", f"SELECT region, {r('avg(mape)')} AS avg_mape FROM telemetry GROUP BY region")(questions.average_mape)
 
 question(
     "worst_r2",
-    f"""SELECT region, sku, model_name, {r('r2 / 1000', 0)} AS r2_thousands FROM telemetry WHERE r2 IS NOT NULL
-    ORDER BY telemetry.r2, region, sku, model_name LIMIT 10""", 0,
-)(lambda t: questions.worst_r2(t).select("region", "sku", "model_name", (F.col("r2") / 1000).alias("r2_thousands")))
+    f"""SELECT region, sku, model_name, {r('r2', 4)} AS r2 FROM telemetry WHERE r2 IS NOT NULL
+    ORDER BY telemetry.r2, region, sku, model_name LIMIT 10""", 4,
+)(questions.worst_r2)
 
 question(
     "rmse_distributions",
@@ -275,13 +279,13 @@ question(
 
 question(
     "best_skus",
-    f"SELECT sku, model_name, {r('rmse')} AS rmse FROM best WHERE region = 'EUROPE' ORDER BY {step('best.rmse')}, sku LIMIT 20",
+    f"SELECT sku, model_name, {r('rmse')} AS rmse FROM best WHERE region = 'EUROPE' ORDER BY best.rmse, sku LIMIT 20",
 )(lambda t: questions.best_skus(t, "EUROPE"))
 
 question(
     "best_models",
-    f"""SELECT region, sku, {r('rmse', 4)} AS rmse, {r('mape', 4)} AS mape FROM best""", 4,
-)(lambda t: questions.best_models(t).select("region", "sku", "rmse", "mape"))
+    f"""SELECT region, sku, model_name, {r('rmse', 4)} AS rmse, {r('mape', 4)} AS mape, {r('r2', 4)} AS r2 FROM best""", 4,
+)(questions.best_models)
 
 question(
     "good_share",
@@ -303,7 +307,7 @@ question(
 question(
     "lowest_rmse_skus",
     f"""SELECT sku, model_name, {r('rmse')} AS rmse FROM telemetry WHERE region = 'EUROPE' AND rmse IS NOT NULL
-    ORDER BY {step('telemetry.rmse')}, sku, model_name LIMIT 10""",
+    ORDER BY telemetry.rmse, sku, model_name LIMIT 10""",
 )(lambda t: questions.lowest_rmse(t, "EUROPE"))
 
 question(
