@@ -15,8 +15,9 @@ from skuloom.session import checkpointed
 
 SKETCH_ACCURACY = 10_000
 SLICE_ROWS = 1_000_000
-# Groups known to be no larger than this are ranked by a plain window.
+# Groups and zones known to be no larger than this are ranked by a plain window.
 WINDOW_ROWS = 1_000_000
+SUBZONES = 100
 
 
 def join_groups(left: DataFrame, right: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
@@ -36,12 +37,13 @@ def order_statistics(
     groups: list[str],
     value: str,
     stats: dict[str, tuple[float, Callable[[Column], Column]]],
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Value at given sorted positions per group: one row per group with ``n`` and one column per stat.
 
     ``stats`` maps a name to (quantile the position is near, n -> 0-based position). A quantile sketch
     only proposes cut points around each wanted quantile; positions are then counted exactly, so a poor
-    sketch costs balance and never the answer. Only the few rows between the cut points around
+    sketch costs balance and never the answer; zones that are still large are cut again. Only the few rows between the cut points around
     a wanted position are sorted, and equal values are counted together before they move. Where the counts show that all
     groups are small, a window ranks them. ``df`` is read up to three times: store it first when it is expensive.
     """
@@ -71,7 +73,7 @@ def order_statistics(
             )
         ),
     )
-    if largest <= WINDOW_ROWS:
+    if largest <= (window_rows or WINDOW_ROWS):
         place = F.row_number().over(W.partitionBy(*groups).orderBy("__v")) - 1
         ranked = rows.withColumn("__pos", place.cast("bigint"))
         return _one_row_per_group(join_groups(ranked, hint(positions), [*groups, "__pos"]), groups, stats)
@@ -87,8 +89,9 @@ def order_statistics(
     targets = checkpointed(
         join_groups(positions, zones, groups)
         .where((F.col("__pos") >= F.col("__start")) & (F.col("__pos") < F.col("__start") + F.col("__c")))
-        .select(*groups, "n", "__stat", "__zone", (F.col("__pos") - F.col("__start")).alias("__pos"))
+        .select(*groups, "n", "__stat", "__zone", (F.col("__pos") - F.col("__start")).alias("__pos"), "__c")
     )
+    zoned, targets = _split_zones(zoned, targets, groups, max(window_rows or WINDOW_ROWS, 10 * SUBZONES))
     near = (
         join_groups(zoned, hint(targets.select(*groups, "__zone").distinct()), [*groups, "__zone"], "left_semi")
         .groupBy(*groups, "__zone", "__v")
@@ -96,12 +99,44 @@ def order_statistics(
     )
     upto = W.partitionBy(*groups, "__zone").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     ranked = near.withColumn("__end", F.sum("__c").over(upto))
-    hits = join_groups(ranked, hint(targets), [*groups, "__zone"]).where(
+    hits = join_groups(ranked, hint(targets.drop("__c")), [*groups, "__zone"]).where(
         (F.col("__pos") < F.col("__end")) & (F.col("__pos") >= F.col("__end") - F.col("__c"))
     )
     return _one_row_per_group(hits, groups, stats)
 
 
+def _split_zones(zoned: DataFrame, targets: DataFrame, groups: list[str], bound: int) -> tuple[DataFrame, DataFrame]:
+    """Cut the zones that hold a target and more than ``bound`` rows at their hundredths, until none is left.
+
+    A zone of equal values cannot be cut; its one distinct value is a single row when zones are ranked.
+    """
+    keys = [*groups, "__zone"]
+    shares = F.array(*[F.lit(k / SUBZONES) for k in range(1, SUBZONES)])
+    while True:
+        large = targets.where(F.col("__c") > bound)
+        if large.isEmpty():
+            return zoned, targets
+        wide = checkpointed(join_groups(zoned, large.select(*keys).distinct(), keys, "left_semi"))
+        cuts = wide.groupBy(*keys).agg(F.percentile_approx("__v", shares, F.lit(SKETCH_ACCURACY)).alias("__cuts"))
+        finer = join_groups(wide, cuts, keys)
+        # Numbers of a level lie above those of all levels before.
+        finer_zone = (F.col("__zone").cast("bigint") + 1000) * SUBZONES + F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))
+        finer = finer.select(*groups, "__v", F.col("__zone").alias("__old"), finer_zone.alias("__zone"))
+        # SUBZONES rows in a window at most.
+        before = W.partitionBy(*groups, "__old").orderBy("__zone").rowsBetween(W.unboundedPreceding, -1)
+        zones = finer.groupBy(*groups, "__old", "__zone").agg(F.count("*").alias("__n"))
+        zones = zones.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        old = large.withColumnRenamed("__zone", "__old")
+        found = join_groups(old, zones, [*groups, "__old"]).where("__pos >= __start and __pos < __start + __n")
+        # A zone that came through whole holds equal values, or nearly so: it counts as done.
+        left = F.when(F.col("__n") < F.col("__c"), F.col("__n")).otherwise(F.lit(0)).alias("__c")
+        found = found.select(*groups, "n", "__stat", "__zone", (F.col("__pos") - F.col("__start")).alias("__pos"), left)
+        rest = targets.where(F.col("__c") <= bound)
+        keep = join_groups(zoned, rest.select(*keys).distinct(), keys, "left_semi").select(*groups, "__v", "__zone")
+        targets = checkpointed(rest.select(*found.columns).unionByName(found))
+        zoned = keep.unionByName(finer.select(*groups, "__v", "__zone"))
+
+
 def _one_row_per_group(hits: DataFrame, groups: list[str], stats: dict) -> DataFrame:
     return hits.groupBy(*groups).agg(
         F.max("n").alias("n"),

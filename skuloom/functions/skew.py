@@ -51,7 +51,8 @@ def _pieces(rows: Column, rows_per_piece: int) -> Column:
 
 def _salted(fact: DataFrame, sized: DataFrame, keys: list[str], spread: list[str], name: str) -> DataFrame:
     hot = sized.where(F.col("__salts") > 1)
-    return fact.join(F.broadcast(hot), keys, "left").withColumn(
+    hint = broadcast_if(hot.count() <= BROADCAST_ROWS)
+    return fact.join(hint(hot), keys, "left").withColumn(
         name, F.pmod(F.xxhash64(*spread), F.coalesce(F.col("__salts"), F.lit(1))).cast("int")
     )
 

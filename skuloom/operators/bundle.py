@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import quote
-
-import pandas as pd
-import pyarrow.fs
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,80 +21,71 @@ FLAT_METRICS = ["rmse", "mape", "r2"]
 FLAT_ROW_GROUP_ROWS = 200
 # Narrow rows, one or two per write task: a million of them describe two petabytes of 2 GB tasks.
 BROADCAST_PIECES = 1_000_000
-# Upper bound given to row groups whose sku range is unknown.
-ANY_SKU = 2**62
-INDEX_SCHEMA = "region string, bucket int, file string, row_group int, sku_min bigint, sku_max bigint, n_rows bigint"
-
-
-def stored_bytes_per_row(plan: DataFrame) -> float:
-    """Stored size of a row of a table on disk, from file sizes and row counts: no column is read."""
-    files = plan.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
-    one = files.groupBy("f").agg(F.first("b").alias("b"), F.count("*").alias("n")).agg(F.sum("b"), F.sum("n")).first()
-    return (one[0] or 0) / max(1, one[1] or 0)
+# What a row weighs besides its blob.
+ROW_BYTES = 512
 
 
-def blob_bytes_per_row(plan: DataFrame) -> float:
-    """Mean blob size, measured: reads the blob column once."""
-    return float(plan.agg(F.avg(F.octet_length("model_blob_bytes"))).first()[0] or 0.0)
+def row_bytes(plan: DataFrame) -> Column:
+    """Bytes a plan row puts into the bundle. A stored ``blob_bytes`` column saves reading the blobs for it."""
+    blob = F.col("blob_bytes") if "blob_bytes" in plan.columns else F.octet_length("model_blob_bytes")
+    return F.coalesce(blob, F.lit(0)).cast("bigint") + ROW_BYTES
 
 
 def bucketed(plan: DataFrame, buckets: int) -> DataFrame:
     return plan.withColumn("sku_n", S.sku_number("sku")).withColumn("bucket", S.sku_bucket("sku", buckets))
 
 
-def write_pieces(counts: DataFrame, rows_per_piece: int) -> DataFrame:
-    """Cut the (region, bucket, sku) order into pieces of about ``rows_per_piece`` rows.
+def write_pieces(counts: DataFrame, bytes_per_piece: int) -> DataFrame:
+    """Cut the (region, bucket, sku) order into pieces of about ``bytes_per_piece`` bytes.
 
-    From ``counts`` (region, bucket, sku_n, rows): one row per piece and bucket with the sku range it covers there.
+    From ``counts`` (region, bucket, sku_n, bytes): one row per piece and bucket with the sku range it covers there.
     The only window over a whole table runs over (region, bucket) totals: at most 512 rows per region.
     """
-    totals = counts.groupBy("region", "bucket").agg(F.sum("rows").alias("rows"))
+    totals = counts.groupBy("region", "bucket").agg(F.sum("bytes").alias("bytes"))
     earlier = W.orderBy("region", "bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("region", "bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    starts = totals.select("region", "bucket", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"))
     inside = running_totals(
-        counts, ["region", "bucket"], F.floor(F.col("sku_n") / SLICE_ROWS), ["sku_n"], F.col("rows"), "before"
+        counts, ["region", "bucket"], F.floor(F.col("sku_n") / SLICE_ROWS), ["sku_n"], F.col("bytes"), "before"
     )
-    piece = F.floor((F.col("start") + F.col("before")) / F.lit(rows_per_piece)).alias("piece")
+    piece = F.floor((F.col("start") + F.col("before")) / F.lit(bytes_per_piece)).alias("piece")
     return inside.join(starts, ["region", "bucket"]).groupBy("region", "bucket", piece).agg(
         F.min("sku_n").alias("sku_from"), F.max("sku_n").alias("sku_to")
     )
 
 
 def write_bundle(
-    plan: DataFrame,
-    root: str,
-    buckets: int,
-    bytes_per_row: float | None = None,
-    task_bytes: int = S.TASK_BYTES,
-    row_group_bytes: int = S.ROW_GROUP_BYTES,
+    plan: DataFrame, root: str, buckets: int, task_bytes: int = S.TASK_BYTES, row_group_bytes: int = S.ROW_GROUP_BYTES
 ) -> int:
-    """Write the models of all regions in one job; returns the number of write partitions.
+    """Write the models of the regions at hand in one job; returns the number of write partitions.
 
-    Each task gets one run of the (region, bucket, sku) order, sized to ``task_bytes``, so every file of a bucket has
-    its own sku range; the local sort gives every row group its own. The runs are counted from the key columns and
-    rows are sent to them by number: the blobs are read and shuffled once, with no sampling pass over them.
+    Each task gets one run of the (region, bucket, sku) order, cut at ``task_bytes`` by the bytes of its blobs, so every
+    file of a bucket has its own sku range; the local sort gives every row group its own. The runs are counted from the key
+    columns and blob sizes, and rows are sent to them by number: the blobs are shuffled once, with no sampling pass.
     A sku that alone exceeds a task is spread over several by model, any other sku stays in one.
+
+    Other regions in ``root`` stay. Directories of the regions at hand are replaced, and those left from another
+    layout are removed once the new ones are complete.
     """
-    size = blob_bytes_per_row(plan) if bytes_per_row is None else bytes_per_row
     counts = materialize(
-        bucketed(plan.select("region", "sku"), buckets).groupBy("region", "bucket", "sku_n").agg(F.count("*").alias("rows")),
+        bucketed(plan.select("region", "sku", row_bytes(plan).alias("bytes")), buckets)
+        .groupBy("region", "bucket", "sku_n").agg(F.sum("bytes").alias("bytes")),
         fresh_path(plan.sparkSession, "bundle-counts"),
     )
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    partitions = S.write_partitions(buckets, total, size, task_bytes)
-    rows_per_piece = max(1, -(-total // partitions))
-    pieces = checkpointed(write_pieces(counts, rows_per_piece))
+    total = counts.agg(F.sum("bytes")).first()[0] or 0
+    partitions = S.write_partitions(buckets, total, 1, task_bytes)
+    bytes_per_piece = max(1, -(-total // partitions))
+    pieces = checkpointed(write_pieces(counts, bytes_per_piece))
     hint = broadcast_if(pieces.count() <= BROADCAST_PIECES)
-    # At most total / rows_per_piece skus, i.e. no more than there are write partitions, exceed a piece.
-    hot = counts.where(F.col("rows") > rows_per_piece).select(
-        "region", "bucket", "sku_n", F.ceil(F.col("rows") / F.lit(rows_per_piece)).alias("spread")
+    # At most total / bytes_per_piece skus, i.e. no more than there are write partitions, exceed a piece.
+    hot = counts.where(F.col("bytes") > bytes_per_piece).select(
+        "region", "bucket", "sku_n", F.ceil(F.col("bytes") / F.lit(bytes_per_piece)).alias("spread")
     )
     part = F.when(
         F.col("spread").isNotNull(), F.pmod(F.xxhash64("model_name", "model_blob_bytes"), F.col("spread"))
     ).otherwise(F.lit(0))
     placed = range_join(
         bucketed(plan, buckets), pieces, ["region", "bucket"], "sku_n", "sku_from", "sku_to", how="left", hint=hint
-    ).join(F.broadcast(hot), ["region", "bucket", "sku_n"], "left")
+    ).join(broadcast_if(hot.count() <= BROADCAST_PIECES)(hot), ["region", "bucket", "sku_n"], "left")
     (
         placed.withColumn("part", part)
         .withColumn("piece", (F.col("piece") + F.col("part")).cast("int"))
@@ -109,7 +94,7 @@ def write_bundle(
         .drop("piece")
         .sortWithinPartitions("region", "bucket", "sku_n", "model_name")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("region", "bucket")
         .option("parquet.block.size", str(row_group_bytes))
         # Without a check at every row, a row group never closes before its 100th row, however big the blobs.
@@ -117,9 +102,21 @@ def write_bundle(
         .option("parquet.page.size.row.check.max", "100")
         .parquet(root)
     )
+    _remove_stale(counts, root)
     return partitions
 
 
+def _remove_stale(counts: DataFrame, root: str) -> None:
+    """Remove directories of the regions of ``counts`` whose bucket it does not fill: at most 512 for each region."""
+    spark = counts.sparkSession
+    held = bundle_files(spark, root).select("region", "bucket", F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("folder")).distinct()
+    own = held.join(counts.select("region").distinct(), "region", "left_semi")
+    stale = own.join(counts.select("region", "bucket").distinct(), ["region", "bucket"], "left_anti")
+    for (folder,) in stale.select("folder").distinct().collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_bundle(spark: SparkSession, root: str) -> DataFrame:
     """All models of a bundle; region and bucket come from the directory names, typed as declared."""
     return spark.read.schema(BUNDLE_SCHEMA).option("basePath", root).parquet(root)
@@ -162,38 +159,6 @@ def bundle_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def open_parquet(file: str) -> pq.ParquetFile:
-    """Open a file by the path Spark lists for it, in whatever file system it lies."""
-    scheme, _, rest = file.partition(":")
-    if not rest or scheme == "file":
-        return pq.ParquetFile("/" + (rest or file).lstrip("/"))
-    fs, path = pyarrow.fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + quote(rest))
-    return pq.ParquetFile(fs.open_input_file(path))
-
-
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = []
-        for region, bucket, file in zip(batch["region"], batch["bucket"], batch["file"]):
-            with open_parquet(file) as parquet:
-                at = parquet.schema_arrow.get_field_index("sku_n")
-                for i in range(parquet.metadata.num_row_groups):
-                    group = parquet.metadata.row_group(i)
-                    sku = group.column(at).statistics
-                    # A group without statistics may hold any sku, so it must match every lookup.
-                    known = sku is not None and sku.has_min_max
-                    low, high = (sku.min, sku.max) if known else (0, ANY_SKU)
-                    found.append((region, bucket, file, i, low, high, group.num_rows))
-        yield pd.DataFrame(found, columns=["region", "bucket", "file", "row_group", "sku_min", "sku_max", "n_rows"])
-
-
-def row_group_index(spark: SparkSession, root: str, files_per_task: int = 64) -> DataFrame:
-    """(region, bucket, file, row group) with its sku range, from the file footers only, read in parallel."""
-    files = bundle_files(spark, root).select("region", "bucket", "file")
-    tasks = max(1, -(-files.count() // files_per_task))
-    return files.repartition(tasks, "file").mapInPandas(_footers, INDEX_SCHEMA)
-
-
 def file_ranges(spark: SparkSession, root: str) -> DataFrame:
     """Rows and sku range per bundle file, from the data."""
     return read_bundle(spark, root).groupBy("region", "bucket", F.col("_metadata.file_path").alias("file")).agg(

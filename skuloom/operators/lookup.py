@@ -11,12 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skuloom.functions import skus as S
-from skuloom.functions.ranges import range_join
-from skuloom.functions.skew import ROWS_PER_TASK, chunked
-from skuloom.operators import train
-from skuloom.operators.bundle import ANY_SKU, open_parquet
-
-MODEL_KEY = ["region", "sku_n", "model_name"]
+from skuloom.functions.skew import BROADCAST_ROWS, ROWS_PER_TASK, broadcast_if, chunked
+from skuloom.operators import questions, train
 
 
 def with_bucket(requests: DataFrame, buckets: int) -> DataFrame:
@@ -49,16 +45,21 @@ def serving(models: DataFrame, chosen: DataFrame) -> DataFrame:
     return picked.select("region", "sku", "model_name", train.decoded(F.col("model_blob_bytes")).alias("model"))
 
 
-def score(requests: DataFrame, served: DataFrame, copies: int = 1) -> DataFrame:
+def score(requests: DataFrame, served: DataFrame, counts: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Predict every request with the model served for its (region, sku); see :func:`serving`.
 
-    In a batch, adaptive skew handling splits a hot sku's requests. Where that does not run (streams), ``copies`` of
-    every model let the requests of a sku go to as many tasks; decoded models are small next to the requests they serve.
+    In a batch, adaptive skew handling splits a hot sku's requests. Where that does not run (streams), ``counts`` (region, sku,
+    rows), stored from earlier requests, says which keys are hot: their models alone are copied, once per task they need.
     """
     keys = ["region", "sku"]
-    if copies > 1:
-        requests = requests.withColumn("__copy", F.pmod(F.xxhash64(*requests.columns), F.lit(copies)).cast("int"))
-        served = served.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    if counts is not None:
+        copies = F.ceil(F.col("rows") / F.lit(rows_per_task)).cast("int")
+        hot = counts.where(F.col("rows") > rows_per_task).select(*keys, copies.alias("__copies"))
+        hot = broadcast_if(hot.count() <= BROADCAST_ROWS)(hot)
+        one = F.coalesce("__copies", F.lit(1))
+        spread = F.pmod(F.xxhash64(*requests.columns), one).cast("int")
+        requests = requests.join(hot, keys, "left").withColumn("__copy", spread).drop("__copies")
+        served = served.join(hot, keys, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), one - 1))).drop("__copies")
         keys = [*keys, "__copy"]
     scored = requests.join(served, keys).withColumn("prediction", train.predict(F.col("model")))
     return scored.drop("model", "__copy")
@@ -96,8 +97,9 @@ def score_opaque(
     ).unionByName(
         asked.select(*keys, "chunk", F.lit(1).alias("__turn"), F.lit(None).cast("binary").alias(blob), *rest)
     )
-    # A fixed number of partitions: adaptive splitting could part a model from its requests.
-    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number of partitions counted from the rows: adaptive splitting could part a model from its requests.
+    total = counts.agg(F.sum("__rows")).first()[0] or 0
+    tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_task))
     ordered = rows.repartition(tasks, *keys, "chunk").sortWithinPartitions(*keys, "chunk", "__turn")
 
     marks = [*keys, "chunk", "__turn"]
@@ -123,45 +125,22 @@ def score_opaque(
     return ordered.mapInPandas(run, schema)
 
 
-def locate(requests: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """(region, sku, file, row_group) of every row group that may hold a requested sku: all matches.
+def lookup_many(models: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:
+    """All models of the requested skus: the distinct keys joined with the bundle.
 
-    The bucket is part of the key, because sku ranges of different buckets overlap. Requested keys are made distinct
-    first. ``index`` should be a stored table.
+    The bucket is part of the key, so few requests prune the bundle to their directories, and many share one shuffle.
     """
     keys = with_bucket(requests.select("region", "sku").distinct(), buckets)
-    columns = ["region", "sku", "sku_n", "bucket", "file", "row_group"]
-    known, unknown = index.where(F.col("sku_max") < ANY_SKU), index.where(F.col("sku_max") == ANY_SKU)
-    hits = range_join(keys, known, ["region", "bucket"], "sku_n", "sku_min", "sku_max").select(*columns)
-    if unknown.isEmpty():
-        return hits
-    # Row groups without statistics may hold any sku of their bucket.
-    return hits.unionByName(keys.join(unknown, ["region", "bucket"]).select(*columns))
-
-
-def fetch(located: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Read the located rows: each row group is opened once, whatever number of keys it serves.
+    return models.join(keys, ["region", "bucket", "sku_n", "sku"])
 
-    (file, row group) is the shuffle key; a row group is at most a few blobs wide by the way it was written.
-    """
-    columns = columns or ["model_blob_bytes"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, table = None, None
-        for batch in batches:
-            for (file, group), part in batch.groupby(["file", "row_group"], sort=False):
-                if at != (file, group):
-                    with open_parquet(file) as parquet:
-                        table = parquet.read_row_group(group, columns=["sku_n", "sku", "model_name", *columns])
-                    at = (file, group)
-                hit = np.isin(table.column("sku_n").to_numpy(), part["sku_n"].to_numpy())
-                rows = table.filter(hit).to_pandas()
-                yield rows.assign(region=part["region"].iloc[0])[["region", "sku", "sku_n", "model_name", *columns]]
-
-    types = {"model_blob_bytes": "binary", "params": "map<string,string>", "metrics": "map<string,double>"}
-    schema = "region string, sku string, sku_n bigint, model_name string, " + ", ".join(f"{c} {types[c]}" for c in columns)
-    spread = located.hint("rebalance", "file", "row_group").sortWithinPartitions("file", "row_group", "sku_n")
-    return spread.mapInPandas(read, schema)
+def score_from_bundle(requests: DataFrame, models: DataFrame, buckets: int) -> DataFrame:
+    """Predict (region, sku) requests straight from the bundle, each by the best evaluated model of its key."""
+    found = lookup_many(models, requests, buckets)
+    ranked = found.select(
+        "region", "sku", "model_name", "model_blob_bytes", *[F.col("metrics")[m].alias(m) for m in ("rmse", "mape", "r2")]
+    )
+    return score(requests, serving(ranked, questions.default_models(ranked)))
 
 
 def sample_skus(skus: DataFrame, n: int, seed: int) -> DataFrame:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
 
-RUN_COLUMNS = ["run_id", "parent_id", "layer", "run_name", "experiment", "tags"]
-
 
 def _tags(**values: Column | str) -> Column:
     return F.create_map(
@@ -66,7 +64,26 @@ def collapsed_runs(plan: DataFrame, n_shards: int = 1) -> DataFrame:
 
 
 def nested_runs(plan: DataFrame) -> DataFrame:
-    return region_runs(plan).unionByName(sku_runs(plan, count_models=False)).unionByName(model_runs(plan))
+    """Region, sku and model runs. One grouping gives both lower levels; the regions need one column of another scan."""
+    region, sku = F.col("region"), F.col("sku")
+    columns = ["run_id", "parent_id", "layer", "run_name", "experiment", "tags"]
+
+    def run(name: str, *values: Column) -> Column:
+        return F.struct(*[v.alias(c) for c, v in zip(columns, [*values[:2], F.lit(name), *values[2:]], strict=True)])
+
+    per_sku = plan.groupBy("region", "sku").agg(F.collect_set("model_name").alias("models"))
+    own = run(
+        "sku", S.run_id("sku", region, sku), S.run_id("region", region), S.sku_run_name(sku), S.experiment_name(region),
+        _tags(layer="sku", region=region, sku=sku),
+    )
+    below = F.transform(
+        "models",
+        lambda m: run(
+            "model", S.run_id("model", region, sku, m), S.run_id("sku", region, sku), S.model_run_name(sku, m),
+            S.experiment_name(region), _tags(layer="model", region=region, sku=sku, model_name=m),
+        ),
+    )
+    return region_runs(plan).unionByName(per_sku.select(F.inline(F.concat(F.array(own), below))))
 
 
 def endpoint_runs(

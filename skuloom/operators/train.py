@@ -24,6 +24,12 @@ REFERENCE_BYTES = 64 * 1024 * 1024
 BLOB_SCHEMA = "kind string, mean double, intercept double, slope double, weekday array<double>"
 
 
+def narrow(demand: DataFrame) -> DataFrame:
+    """The columns that training and evaluation read."""
+    marks = [c for c in ROW_MARKS if c in demand.columns]
+    return demand.select("region", "sku_n", "demand", "price", "day_of_week", "holdout", *marks)
+
+
 def profile(demand: DataFrame) -> DataFrame:
     """One row per (region, sku) with all sums the built-in models need; training rows are those not held out.
 
@@ -167,6 +173,7 @@ def run_plan(coefs: DataFrame, evaluated: DataFrame) -> DataFrame:
         return F.struct(
             F.lit(m).alias("model_name"),
             blob.alias("model_blob_bytes"),
+            F.octet_length(blob).alias("blob_bytes"),
             F.create_map(*pairs).alias("params"),
             metrics.alias("metrics"),
         )

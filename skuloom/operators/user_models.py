@@ -1,8 +1,9 @@
-"""Seam for users' own trainers: Python code per key or per bounded chunk of rows."""
+"""Seam for users' own trainers: Python code per key, in mergeable chunks of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,119 +12,162 @@ from pyspark.sql import functions as F
 
 from skuloom.functions.skew import chunked
 
+# The model inputs, in order.
 FEATURES = ["price", "day_of_week", "promotion", "inventory"]
 ROWS_PER_CHUNK = 1_000_000
-FIT_SCHEMA = "region string, sku string, chunk int, n_chunks int, n_rows bigint, model_blob_bytes binary"
+STATES_PER_MERGE = 100
+FIT_SCHEMA = "region string, sku string, n_rows bigint, model_blob_bytes binary"
+_STATE_SCHEMA = "region string, sku string, chunk int, n_rows bigint, state binary"
 
 
-def fit_groups(
-    rows: DataFrame,
-    fit: Callable[[pd.DataFrame], bytes],
-    spread: list[str],
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-    counts: DataFrame | None = None,
-) -> DataFrame:
-    """``fit`` every (region, sku) on its rows in Python, one blob per chunk of at most about ``rows_per_chunk`` rows.
+@dataclass(frozen=True)
+class Trainer:
+    """A trainer that sees its key's rows in chunks: a state per chunk, states merged, the model from the last state.
 
-    A key within the bound is fitted whole (one chunk). A busier key is split by a hash of ``spread`` and gets one
-    sub-model per chunk; its prediction is the mean of theirs, weighted by ``n_rows``, as in bagging.
-    Every row is used, and no task holds more than a chunk. ``counts`` (region, sku, rows) saves counting the rows
-    per key when that is known already.
+    ``merge`` must not care about the order of states, so that the model depends on the rows alone.
     """
-    if counts is None:
-        counts = rows.groupBy("region", "sku").agg(F.count("*").alias("rows"))
-    split = chunked(rows, counts, ["region", "sku"], "rows", spread, rows_per_chunk)
 
-    marks = ["region", "sku", "chunk"]
-    # Sorted runs of whole groups, sliced batch by batch: far cheaper per group than a grouped map.
-    # A fixed number of partitions, because fitting costs far more than the size of its rows suggests.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = split.repartition(tasks, *marks).sortWithinPartitions(*marks)
+    update: Callable[[pd.DataFrame], bytes]
+    merge: Callable[[list[bytes]], bytes]
+    finish: Callable[[bytes], bytes]
+
 
-    def fitted(group: pd.DataFrame) -> tuple:
-        first = group.iloc[0]
-        return (*(first[c] for c in marks), first["n_chunks"], len(group), fit(group))
+def _runs(keys: list[str], per_run: Callable[[pd.DataFrame], tuple], columns: list[str]):
+    """Apply ``per_run`` to each run of equal ``keys`` of sorted rows; runs may cross batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*marks, "n_chunks", "n_rows", "model_blob_bytes"]
         pending: list[pd.DataFrame] = []
         for batch in batches:
-            keys = batch[marks]
-            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-            if pending and tuple(pending[0].iloc[0][marks]) == tuple(keys.iloc[0]):
+            marks = batch[keys]
+            starts = np.flatnonzero((marks != marks.shift()).any(axis=1).to_numpy())
+            if pending and tuple(pending[0].iloc[0][keys]) == tuple(marks.iloc[0]):
                 starts = starts[1:]
             out = []
             if pending and len(starts) and starts[0] == 0:
-                out.append(fitted(pd.concat(pending)))
+                out.append(per_run(pd.concat(pending)))
                 pending = []
             edges = [0, *starts[starts > 0], len(batch)]
             for first, last in zip(edges, edges[1:]):
                 pending.append(batch.iloc[first:last])
                 if last < len(batch):
-                    out.append(fitted(pd.concat(pending) if len(pending) > 1 else pending[0]))
+                    out.append(per_run(pd.concat(pending) if len(pending) > 1 else pending[0]))
                     pending = []
             if out:
                 yield pd.DataFrame(out, columns=columns)
         if pending:
-            yield pd.DataFrame([fitted(pd.concat(pending))], columns=columns)
+            yield pd.DataFrame([per_run(pd.concat(pending))], columns=columns)
+
+    return run
 
-    return ordered.mapInPandas(run, FIT_SCHEMA)
+
+def fit_groups(
+    rows: DataFrame,
+    trainer: Trainer | Callable[[pd.DataFrame], bytes],
+    spread: list[str],
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """One model for every (region, sku), fitted in Python; no task holds more than about ``rows_per_chunk`` rows.
+
+    Keys beyond the bound are split by a hash of ``spread`` and their states merged, STATES_PER_MERGE at a time, so the
+    model is the same for any bound. A plain function cannot be split: it raises where a key exceeds the bound.
+    ``counts`` (region, sku, rows) saves counting the rows per key when that is known already.
+    """
+    if counts is None:
+        counts = rows.groupBy("region", "sku").agg(F.count("*").alias("rows"))
+    most, total = counts.agg(F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    if not isinstance(trainer, Trainer):
+        if most > rows_per_chunk:
+            raise ValueError(f"a key has {most} rows, more than {rows_per_chunk}: give a Trainer that can merge")
+        trainer = Trainer(trainer, lambda states: states[0], lambda state: state)
+    split = chunked(rows, counts, ["region", "sku"], "rows", spread, rows_per_chunk).drop("n_chunks")
+
+    marks = ["region", "sku", "chunk"]
+    # Sorted runs of whole groups, sliced batch by batch: far cheaper per group than a grouped map. The number of
+    # partitions is counted from the rows, because fitting costs more than the size of its rows suggests.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_chunk))
+
+    def first_state(group: pd.DataFrame) -> tuple:
+        return (*(group.iloc[0][c] for c in marks), len(group), trainer.update(group.drop(columns="chunk")))
+
+    def merged(group: pd.DataFrame) -> tuple:
+        states = [bytes(x) for x in group["state"]]
+        state = trainer.merge(states) if len(states) > 1 else states[0]
+        return (*(group.iloc[0][c] for c in marks), int(group["n_rows"].sum()), state)
+
+    columns = [*marks, "n_rows", "state"]
+    ordered = split.repartition(tasks, *marks).sortWithinPartitions(*marks)
+    states = ordered.mapInPandas(_runs(marks, first_state, columns), _STATE_SCHEMA)
+    chunks = -(-most // rows_per_chunk)
+    while chunks > 1:
+        joined = states.withColumn("chunk", F.floor(F.col("chunk") / STATES_PER_MERGE).cast("int"))
+        joined = joined.repartition(tasks, *marks).sortWithinPartitions(*marks)
+        states = joined.mapInPandas(_runs(marks, merged, columns), _STATE_SCHEMA)
+        chunks = -(-chunks // STATES_PER_MERGE)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            models = [trainer.finish(bytes(x)) for x in batch["state"]]
+            yield batch[["region", "sku", "n_rows"]].assign(model_blob_bytes=models)
+
+    return states.mapInPandas(finish, FIT_SCHEMA)
 
 
 def moments(rows: DataFrame) -> DataFrame:
-    """Cross products of (1, features, demand) per key, summed in the JVM: all that least squares needs.
+    """Count, means and centred cross products of (features, demand) per key, summed in the JVM: all that least squares needs.
 
-    The sums combine before the shuffle, so a key with a third of all rows costs one row per map task.
+    The sums combine before the shuffle, so a key with a third of all rows costs one row per map task. Centred sums
+    (``a__b`` is the sum of (a - mean a)(b - mean b)) do not cancel where values are large.
     """
-    terms = {"one": F.lit(1.0), **{c: F.col(c) for c in FEATURES}, "demand": F.col("demand")}
-    names = list(terms)
-    complete = rows.dropna(subset=[*FEATURES, "demand"])
+    names = [*FEATURES, "demand"]
+    complete = rows.dropna(subset=names)
+    n = F.count("*")
     return complete.groupBy("region", "sku").agg(
-        *[
-            F.sum(terms[a] * terms[b]).alias(f"{a}__{b}")
-            for i, a in enumerate(names)
-            for b in names[i:]
-        ]
+        n.alias("n_rows"),
+        *[F.avg(a).alias(f"mean_{a}") for a in names],
+        *[(F.covar_pop(a, b) * n).alias(f"{a}__{b}") for i, a in enumerate(names) for b in names[i:]],
     )
 
 
-def solve_least_squares(sums: DataFrame) -> DataFrame:
-    """Four-feature least squares per key from its moments: minimum-norm solution, batch by batch."""
-    names = ["one", *FEATURES]
+def solve_least_squares(sums: DataFrame, negligible: float = 1e-9) -> DataFrame:
+    """Four-feature least squares with intercept per key, from its centred moments, batch by batch.
+
+    A feature that does not vary within the key tells nothing and gets the weight 0; among weights that fit equally well
+    the smallest in units of the features' deviations are taken.
+    """
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            a = np.empty((len(batch), len(names), len(names)))
-            b = np.empty((len(batch), len(names)))
-            for i, left in enumerate(names):
+            k = len(FEATURES)
+            a, b = np.empty((len(batch), k, k)), np.empty((len(batch), k))
+            means = batch[[f"mean_{c}" for c in FEATURES]].to_numpy(float)
+            for i, left in enumerate(FEATURES):
                 b[:, i] = batch[f"{left}__demand"]
-                for j in range(i, len(names)):
-                    a[:, i, j] = a[:, j, i] = batch[f"{left}__{names[j]}"]
-            # Scale to unit diagonal first: features differ by orders of magnitude.
-            scale = 1.0 / np.sqrt(np.maximum(np.einsum("kii->ki", a), 1e-300))
-            scale[np.einsum("kii->ki", a) <= 0] = 0.0
+                for j in range(i, k):
+                    a[:, i, j] = a[:, j, i] = batch[f"{left}__{FEATURES[j]}"]
+            spread = np.sqrt(np.maximum(np.einsum("kii->ki", a), 0))
+            varies = spread > negligible * np.sqrt(batch["n_rows"].to_numpy(float))[:, None] * np.maximum(np.abs(means), 1e-300)
+            scale = np.where(varies, 1.0 / np.where(varies, spread, 1.0), 0.0)
             inverse = np.linalg.pinv(a * scale[:, :, None] * scale[:, None, :], rcond=1e-10, hermitian=True)
             w = np.einsum("kij,kj->ki", inverse, b * scale) * scale
-            out = pd.DataFrame({"region": batch["region"], "sku": batch["sku"], "n_rows": batch["one__one"].astype("int64")})
-            for i, name in enumerate(names):
-                out["intercept" if name == "one" else f"w_{name}"] = w[:, i]
+            out = batch[["region", "sku", "n_rows"]].copy()
+            out["intercept"] = batch["mean_demand"] - (w * means).sum(1)
+            for i, name in enumerate(FEATURES):
+                out[f"w_{name}"] = w[:, i]
             yield out
 
     schema = "region string, sku string, n_rows bigint, intercept double, " + ", ".join(f"w_{c} double" for c in FEATURES)
     return sums.mapInPandas(solve, schema)
 
 
-def train_keys(
-    keys: DataFrame, train: Callable[[str, str, str], bytes], chunk_rows: int = 100
-) -> DataFrame:
-    """Call ``train(region, sku, model_name)`` for every run-plan key, handing on ``chunk_rows`` blobs at a time."""
+def train_keys(keys: DataFrame, train: Callable[[pd.DataFrame], Sequence[bytes]], chunk_rows: int = 100) -> DataFrame:
+    """Call ``train`` on run-plan keys (region, sku, model_name), ``chunk_rows`` at a time; it returns one blob per key."""
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), chunk_rows):
                 part = batch.iloc[start : start + chunk_rows]
-                yield part.assign(
-                    model_blob_bytes=[train(r, s, m) for r, s, m in zip(part["region"], part["sku"], part["model_name"])]
-                )
+                yield part.assign(model_blob_bytes=list(train(part)))
 
     return keys.select("region", "sku", "model_name").mapInPandas(
         emit, "region string, sku string, model_name string, model_blob_bytes binary"

@@ -6,25 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.operators import bundle, lookup, questions, train
-from skuloom.plans.catalog import COEFS, TELEMETRY, near, query, r, rounded
-from skuloom.plans.model_queries import requests
+from skuloom.plans.catalog import COEFS, TELEMETRY, near, query, r
+from skuloom.plans.model_queries import SCORED, requests, scored_columns
 from skuloom.plans.store import ModelStore
 
 LAYOUT = f"""{COEFS},
 buckets AS (SELECT least(512, greatest(64, count(DISTINCT sku_n) // 156)) AS n FROM coef),
-placed AS (SELECT region, sku_n, printf('SKU-%06d', sku_n) AS sku, CAST(sku_n % n AS INTEGER) AS bucket, mean, slope FROM coef CROSS JOIN buckets)"""
+days AS (SELECT region, sku_n, {', '.join(f'max(day_mean) FILTER (day_of_week = {d}) AS d{d}' for d in range(7))} FROM weekday GROUP BY region, sku_n),
+placed AS (
+  SELECT region, sku_n, printf('SKU-%06d', sku_n) AS sku, CAST(sku_n % n AS INTEGER) AS bucket, n_train, mean, intercept, slope,
+         {', '.join(f'coalesce(d{d}, mean) AS d{d}' for d in range(7))}
+  FROM coef LEFT JOIN days USING (region, sku_n) CROSS JOIN buckets),
+names AS (SELECT unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name)"""
+
+# All that a stored model holds.
+CONTENTS = f"""model_name, {r('mean')} AS mean, CASE WHEN model_name = 'price_ols' THEN {r('intercept', 3)} END AS intercept,
+    CASE WHEN model_name = 'price_ols' THEN {r('slope')} END AS slope, CAST(n_train AS VARCHAR) AS n_train,
+    {', '.join(f"CASE WHEN model_name = 'weekday_mean' THEN {r(f'd{d}')} END AS d{d}" for d in range(7))}"""
+
+
+def contents(models: DataFrame, *keys: str) -> DataFrame:
+    """Every coefficient out of the stored bytes, and a setting out of the params."""
+    m = F.col("__m")
+    return models.withColumn("__m", train.decoded(F.col("model_blob_bytes"))).select(
+        *keys,
+        "model_name",
+        near(m["mean"], 6).alias("mean"),
+        near(m["intercept"], 3).alias("intercept"),
+        near(m["slope"], 6).alias("slope"),
+        F.col("params")["n_train"].alias("n_train"),
+        *[near(F.get(m["weekday"], F.lit(d)), 6).alias(f"d{d}") for d in range(7)],
+    )
 
 
 @query(
     "bundle_rows",
     f"""WITH {LAYOUT}
-    SELECT region, bucket, sku, sku_n, unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name, {r('mean')} AS mean FROM placed""",
+    SELECT region, bucket, sku, sku_n, {CONTENTS} FROM placed CROSS JOIN names""",
 )
 def bundle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole bundle read back, region and bucket from its directory names, models decoded."""
-    models = ModelStore(spark, sf_dir).bundle()
-    mean = train.decoded(F.col("model_blob_bytes"))["mean"]
-    return models.select("region", "bucket", "sku", "sku_n", "model_name", near(mean, 6).alias("mean"))
+    return contents(ModelStore(spark, sf_dir).bundle(), "region", "bucket", "sku", "sku_n")
 
 
 @query(
@@ -52,74 +74,49 @@ def bundle_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "row_group_index",
-    f"""WITH {LAYOUT}
-    SELECT region, bucket, 3 * count(*) AS n_rows, min(sku_n) AS sku_min, max(sku_n) AS sku_max FROM placed GROUP BY region, bucket""",
-)
-def row_group_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The footer index summed up per bucket: it covers every row and sku."""
-    return ModelStore(spark, sf_dir).index().groupBy("region", "bucket").agg(
-        F.sum("n_rows").alias("n_rows"), F.min("sku_min").alias("sku_min"), F.max("sku_max").alias("sku_max")
-    )
-
-
-@query(
-    "index_ranges",
+    "bundle_lookup",
     f"""WITH {LAYOUT},
-    asked AS (SELECT DISTINCT region, sku, sku_n FROM demand WHERE holdout)
-    SELECT a.region, a.sku, p.bucket, true AS located FROM asked a JOIN placed p ON a.region = p.region AND a.sku_n = p.sku_n""",
+    asked AS (SELECT DISTINCT region, sku_n FROM demand WHERE holdout)
+    SELECT p.region, p.bucket, p.sku, {CONTENTS} FROM asked a JOIN placed p ON a.region = p.region AND a.sku_n = p.sku_n
+    CROSS JOIN names""",
 )
-def index_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row groups that may hold each requested sku, narrowed to requests that have a model."""
+def bundle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of all requested skus: one join of the distinct keys with the bundle."""
     store = ModelStore(spark, sf_dir)
-    asked = requests(spark, sf_dir).join(store.plan().select("region", "sku").distinct(), ["region", "sku"], "left_semi")
-    located = lookup.locate(asked, store.index(), store.buckets())
-    return located.groupBy("region", "sku", "bucket").agg((F.count("*") > 0).alias("located"))
+    return contents(lookup.lookup_many(store.bundle(), requests(spark, sf_dir), store.buckets()), "region", "bucket", "sku")
 
 
-@query(
-    "index_lookup",
-    f"""WITH {LAYOUT},
-    asked AS (SELECT DISTINCT region, sku_n FROM demand WHERE holdout)
-    SELECT p.region, p.sku, unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name, {r('p.mean')} AS mean
-    FROM asked a JOIN placed p ON a.region = p.region AND a.sku_n = p.sku_n""",
-)
-def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models of all requested skus, read through the index: only the row groups that hold them are opened."""
+@query("score_from_bundle", f"WITH {TELEMETRY} {SCORED}")
+def score_from_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every held-out row predicted straight from the bundle, without a serving table."""
     store = ModelStore(spark, sf_dir)
-    found = lookup.fetch(lookup.locate(requests(spark, sf_dir), store.index(), store.buckets()))
-    mean = train.decoded(F.col("model_blob_bytes"))["mean"]
-    return found.select("region", "sku", "model_name", near(mean, 6).alias("mean"))
+    return scored_columns(lookup.score_from_bundle(requests(spark, sf_dir), store.bundle(), store.buckets()))
 
 
 @query(
     "bundle_point_lookup",
     f"""WITH {LAYOUT},
     target AS (SELECT max(sku_n) AS sku_n FROM placed WHERE region = 'ASIA')
-    SELECT region, bucket, sku, unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name, {r('mean')} AS mean
-    FROM placed JOIN target USING (sku_n) WHERE region = 'ASIA'""",
+    SELECT region, bucket, sku, {CONTENTS} FROM placed JOIN target USING (sku_n) CROSS JOIN names WHERE region = 'ASIA'""",
 )
 def bundle_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All models of one sku (the largest id in ASIA) by bucket pruning and row-group skipping."""
     store = ModelStore(spark, sf_dir)
     sku = store.bundle().where(F.col("region") == "ASIA").orderBy(F.desc("sku_n")).select("sku").first()[0]
-    found = lookup.lookup_one(store.bundle(), "ASIA", sku, store.buckets())
-    mean = train.decoded(F.col("model_blob_bytes"))["mean"]
-    return found.select("region", "bucket", "sku", "model_name", near(mean, 6).alias("mean"))
+    return contents(lookup.lookup_one(store.bundle(), "ASIA", sku, store.buckets()), "region", "bucket", "sku")
 
 
 @query(
     "default_model_lookup",
-    f"""WITH {TELEMETRY}
-    SELECT s.region, s.sku, s.model_name, {r('t.mean')} AS mean
-    FROM served s JOIN telemetry t ON s.region = t.region AND s.sku = t.sku AND s.model_name = t.model_name""",
+    f"""WITH {LAYOUT.replace(COEFS, TELEMETRY)}
+    SELECT s.region, s.sku, {CONTENTS.replace('model_name', 's.model_name').replace('AS s.model_name', 'AS model_name')}
+    FROM served s JOIN placed p ON s.region = p.region AND s.sku = p.sku""",
 )
 def default_model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly one model per (region, sku), whatever the number stored: the batch form of a point lookup."""
     store = ModelStore(spark, sf_dir)
     chosen = questions.default_models(store.telemetry())
-    found = store.bundle().join(chosen, ["region", "sku", "model_name"])
-    return rounded(found.select("region", "sku", "model_name", train.decoded(F.col("model_blob_bytes"))["mean"].alias("mean")))
+    return contents(store.bundle().join(chosen, ["region", "sku", "model_name"]), "region", "sku")
 
 
 @query(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,85 +136,118 @@ def least_squares_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.features(D.demand(spark, sf_dir).where(~F.col("holdout")))
 
 
+NUMBERS = f"""{DEMAND},
+    x AS (SELECT region, sku, price, CAST(day_of_week AS DOUBLE) AS day_of_week, CAST(CAST(promotion AS INTEGER) AS DOUBLE) AS promotion,
+                 CAST(inventory AS DOUBLE) AS inventory, CAST(demand AS DOUBLE) AS demand FROM demand WHERE NOT holdout)"""
+TERMS = [*user_models.FEATURES, "demand"]
+CROSS = [(a, b) for i, a in enumerate(TERMS) for b in TERMS[i:]]
+
+
 @query(
     "least_squares_moments",
-    f"""WITH {DEMAND},
-    x AS (SELECT region, sku, price, CAST(day_of_week AS DOUBLE) AS d, CAST(CAST(promotion AS INTEGER) AS DOUBLE) AS p,
-                 CAST(inventory AS DOUBLE) AS i, CAST(demand AS DOUBLE) AS y FROM demand WHERE NOT holdout)
-    SELECT region, sku, {r('count(*)')} AS n, {r('sum(price)', 2)} AS sum_price, {r('sum(price * price)', 1)} AS sum_price_price,
-           {r('sum(d * y)')} AS sum_day_demand, {r('sum(p * i)')} AS sum_promotion_inventory, {r('sum(y * i)')} AS sum_inventory_demand
+    f"""WITH {NUMBERS}
+    SELECT region, sku, count(*) AS n_rows, {', '.join(f"{r(f'avg({a})', 4)} AS mean_{a}" for a in TERMS)},
+           {', '.join(f"{r(f'covar_pop({a}, {b}) * count(*)', 2)} AS {a}__{b}" for a, b in CROSS)}
     FROM x GROUP BY region, sku""",
 )
 def least_squares_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a four-feature fit needs per key: means and centred cross products."""
     m = user_models.moments(least_squares_rows(spark, sf_dir))
     return m.select(
-        "region",
-        "sku",
-        near("one__one", 6).alias("n"),
-        near("one__price", 2).alias("sum_price"),
-        near("price__price", 1).alias("sum_price_price"),
-        near("day_of_week__demand", 6).alias("sum_day_demand"),
-        near("promotion__inventory", 6).alias("sum_promotion_inventory"),
-        near("inventory__demand", 6).alias("sum_inventory_demand"),
+        "region", "sku", "n_rows", *[near(f"mean_{a}", 4).alias(f"mean_{a}") for a in TERMS],
+        *[near(f"{a}__{b}", 2).alias(f"{a}__{b}") for a, b in CROSS],
     )
 
 
-@query("least_squares_models")
+def cross(a: str, b: str):
+    return F.col(f"{a}__{b}" if TERMS.index(a) <= TERMS.index(b) else f"{b}__{a}")
+
+
+@query(
+    "least_squares_models",
+    f"""WITH {NUMBERS}
+    SELECT region, sku, count(*) AS n_rows, {r('avg(demand)', 4)} AS fitted_at_means, true AS normal_equations_hold,
+           {', '.join(f"min({c}) < max({c}) AS uses_{c}" for c in ('price',))}
+    FROM x GROUP BY region, sku""",
+)
 def least_squares_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four-feature least squares for every key: sums in the JVM, a small solve per key in numpy."""
-    return user_models.solve_least_squares(user_models.moments(least_squares_rows(spark, sf_dir)))
+    """Four-feature least squares for every key: sums in the JVM, a small solve per key in numpy.
+
+    A fit is one of least squares exactly if its line goes through the means and its errors are uncorrelated with every feature.
+    """
+    sums = materialize(user_models.moments(least_squares_rows(spark, sf_dir)), fresh_path(spark, "moments"))
+    solved = sums.join(user_models.solve_least_squares(sums).drop("n_rows"), ["region", "sku"])
+    names = user_models.FEATURES
+    through = sum((F.col(f"w_{c}") * F.col(f"mean_{c}") for c in names), F.col("intercept"))
+
+    def holds(a: str):
+        left = sum((cross(a, b) * F.col(f"w_{b}") for b in names[1:]), cross(a, names[0]) * F.col(f"w_{names[0]}"))
+        size = F.sqrt(F.abs(cross(a, a) * cross("demand", "demand")))
+        return F.abs(left - cross(a, "demand")) <= 1e-6 * size + 1e-6
+
+    return solved.select(
+        "region", "sku", "n_rows", near(through, 4).alias("fitted_at_means"),
+        reduce(and_, [holds(a) for a in names]).alias("normal_equations_hold"),
+        ((F.col("w_price") != 0) | (F.abs(cross("price", "price")) > 1e-9 * F.col("n_rows") * F.col("mean_price") ** 2)).alias("uses_price"),
+    )
 
 
 @query(
     "least_squares_fit",
-    f"""WITH {DEMAND}
-    SELECT region, sku, count(*) AS n_rows, {r('sum(demand)', 1)} AS fitted, true AS normal_equations_hold
-    FROM demand WHERE NOT holdout GROUP BY region, sku""",
+    f"""WITH {NUMBERS} SELECT region, sku, count(*) AS n_rows, {r('var_pop(demand) * count(*)', 2)} AS total_squares, true AS explained_in_bounds
+    FROM x GROUP BY region, sku""",
 )
 def least_squares_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted demand of every key summed against each feature: least squares reproduces the sums of the true demand."""
+    """The squares a key's fit explains never exceed the squares there are."""
     sums = materialize(user_models.moments(least_squares_rows(spark, sf_dir)), fresh_path(spark, "moments"))
     solved = sums.join(user_models.solve_least_squares(sums).drop("n_rows"), ["region", "sku"])
-    names = ["one", *user_models.FEATURES]
-    weight = {n: F.col("intercept" if n == "one" else f"w_{n}") for n in names}
+    explained = sum((F.col(f"w_{c}") * cross(c, "demand") for c in user_models.FEATURES), F.lit(0.0))
+    squares = cross("demand", "demand")
+    return solved.select(
+        "region", "sku", "n_rows", near(squares, 2).alias("total_squares"),
+        ((explained >= -1e-6 * (squares + 1)) & (explained <= squares + 1e-6 * (squares + 1))).alias("explained_in_bounds"),
+    )
 
-    def moment(a: str, b: str):
-        return F.col(f"{a}__{b}" if names.index(a) <= names.index(b) else f"{b}__{a}")
 
-    def fitted(a: str):
-        terms = [moment(a, b) * weight[b] for b in names]
-        return sum(terms[1:], terms[0])
+def _counted(values: dict[float, int]) -> bytes:
+    return json.dumps(sorted(values.items())).encode()
+
+
+def _middle(state: bytes) -> bytes:
+    """Largest and middle value of a state that counts values."""
+    values, counts = (np.array(x) for x in zip(*json.loads(state), strict=True))
+    ends, n = np.cumsum(counts), int(counts.sum())
+    low, high = (values[np.searchsorted(ends, k, "right")] for k in ((n - 1) // 2, n // 2))
+    return f"{values[-1]};{(low + high) / 2}".encode()
 
-    # Solving from sums costs half the digits of a double where features nearly coincide.
-    holds = [F.abs(fitted(a) - F.col(f"{a}__demand")) <= 1e-4 * (1 + F.abs(F.col(f"{a}__demand"))) for a in names]
-    return solved.select(
-        "region", "sku", F.col("one__one").cast("bigint").alias("n_rows"), near(fitted("one"), 1).alias("fitted"),
-        reduce(and_, holds).alias("normal_equations_hold"),
-    )
+
+def _merged(states: list[bytes]) -> bytes:
+    out: Counter = Counter()
+    for state in states:
+        out.update({v: n for v, n in json.loads(state)})
+    return _counted(out)
+
+
+#: Counts of distinct values are enough for the largest and the middle one, and they add up over chunks.
+DEMAND_TRAINER = user_models.Trainer(lambda group: _counted(Counter(group["demand"].astype(float).tolist())), _merged, _middle)
 
 
 @query(
     "user_trainer",
     f"""WITH {DEMAND}
-    SELECT region, sku, CAST(0 AS INTEGER) AS chunk, CAST(1 AS INTEGER) AS n_chunks, count(*) AS n_rows,
-           {r('max(demand)')} AS model_max, {r('median(demand)')} AS model_median
+    SELECT region, sku, count(*) AS n_rows, {r('max(demand)')} AS model_max, {r('median(demand)')} AS model_median
     FROM demand WHERE NOT holdout GROUP BY region, sku""",
 )
 def user_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's Python trainer run on every key's rows; its model keeps the largest and the middle demand."""
     rows = D.demand(spark, sf_dir, inventory=False).where(~F.col("holdout")).select("region", "sku", "demand", "order_no", "row_no")
-
-    def fit(group):
-        return f"{group['demand'].max()};{group['demand'].median()}".encode()
-
     counts = ModelStore(spark, sf_dir).profile().select(
         "region", train.sku_id(F.col("sku_n")).alias("sku"), F.col("n_train").alias("rows")
     )
-    fitted = user_models.fit_groups(rows, fit, ["row_no", "order_no"], counts=counts)
+    fitted = user_models.fit_groups(rows, DEMAND_TRAINER, ["row_no", "order_no"], counts=counts)
     text = F.split(F.col("model_blob_bytes").cast("string"), ";")
     return fitted.select(
-        "region", "sku", "chunk", "n_chunks", "n_rows",
-        text[0].cast("double").alias("model_max"), text[1].cast("double").alias("model_median"),
+        "region", "sku", "n_rows", text[0].cast("double").alias("model_max"), text[1].cast("double").alias("model_median")
     )
 
 
@@ -223,8 +259,12 @@ def user_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM coef CROSS JOIN (SELECT unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name)""",
 )
 def trainer_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``train(region, sku, model_name) -> bytes`` called for every run-plan key."""
-    fitted = user_models.train_keys(ModelStore(spark, sf_dir).plan(), lambda *key: "/".join(key).encode())
+    """``train(keys) -> blobs`` called for the run-plan keys, a hundred at a time."""
+
+    def blobs(keys):
+        return (keys["region"] + "/" + keys["sku"] + "/" + keys["model_name"]).str.encode("utf-8")
+
+    fitted = user_models.train_keys(ModelStore(spark, sf_dir).plan(), blobs)
     return fitted.select("region", "sku", "model_name", F.col("model_blob_bytes").cast("string").alias("model"))
 
 
@@ -351,8 +391,6 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score_requests_opaque", f"WITH {TELEMETRY} {SCORED}")
 def score_requests_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scores through Python-decoded models."""
-    import json
-
     store = ModelStore(spark, sf_dir)
     # Small, stored once: the model to serve per key and its number of requests.
     chosen = materialize(
@@ -366,10 +404,12 @@ def score_requests_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
     def apply(model: dict, x):
         price, day = x[:, 0], x[:, 1].astype(int)
         if model["kind"] == "price_ols":
-            return model["intercept"] + model["slope"] * price
-        if model["kind"] == "weekday_mean":
-            return [model["weekday"][d] for d in day]
-        return [model["mean"]] * len(x)
+            found = model["intercept"] + model["slope"] * price
+        elif model["kind"] == "weekday_mean":
+            found = np.array(model["weekday"])[day]
+        else:
+            found = np.full(len(x), model["mean"])
+        return np.round(found, train.PREDICTION_DIGITS)
 
     scored = lookup.score_opaque(named, store.plan(), json.loads, apply, ["price", "day_of_week"], counts=chosen)
     return scored_columns(scored)

@@ -10,23 +10,23 @@ from pyspark.sql import functions as F
 
 from skuloom.functions.skus import bucket_count
 from skuloom.operators import bundle, registry, train
-from skuloom.session import fresh_path, materialize
-from skuloom.sources import generate as G
-from skuloom.sources import tables
-from skuloom.sources.schema import TelemetryTable, table_schema
+from skuloom.session import materialize
+from skuloom.sources import schema, tables
 
 BUCKETS_PROPERTY = "bucket_count"
 BUNDLE_PROPERTY = "model_bundle_uri"
-TELEMETRY_COMMENT = (
-    "Training telemetry per (region, sku, model_name). Model bytes are not here but in the bundle named by the "
-    "model_bundle_uri property."
-)
+TELEMETRY_COMMENT = "One row per trained model: settings and holdout metrics. The table properties name the bundle that holds the models."
 
 
 def train_plan(demand: DataFrame, profile_path: str) -> DataFrame:
-    """Run plan of the built-in models. The training sums are stored once; three later reads share them."""
-    coefs = train.coefficients(materialize(train.profile(demand), profile_path))
-    return train.run_plan(coefs, train.evaluate(demand, coefs))
+    """Run plan of the built-in models.
+
+    The star join runs once: its narrow rows are stored, clustered by key, and both passes over them read that. The training
+    sums are stored too; three later reads share them.
+    """
+    rows = materialize(train.narrow(demand).hint("rebalance", "region", "sku_n"), profile_path + "_rows")
+    coefs = train.coefficients(materialize(train.profile(rows), profile_path))
+    return train.run_plan(coefs, train.evaluate(rows, coefs))
 
 
 def telemetry(plan: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def telemetry(plan: DataFrame) -> DataFrame:
 
 def write_telemetry(plan: DataFrame, name: str) -> None:
     spark = plan.sparkSession
-    tables.ensure_table(spark, name, table_schema(TelemetryTable), ["region"], TELEMETRY_COMMENT)
+    tables.ensure_table(spark, name, schema.TELEMETRY, ["region"], TELEMETRY_COMMENT)
     tables.replace_rows(tables.spread_by(telemetry(plan), "region"), name)
 
 
@@ -58,7 +58,7 @@ class Registration:
 
 
 def register(
-    plan: DataFrame, telemetry_table: str, bundle_root: str, n_endpoints: int = 3, bytes_per_row: float | None = None
+    plan: DataFrame, telemetry_table: str, bundle_root: str, n_endpoints: int = 3
 ) -> Registration:
     """Table-backed registration of a stored run plan: one telemetry write, one bundle write, few endpoint runs.
 
@@ -70,8 +70,7 @@ def register(
     write_telemetry(plan, telemetry_table)
     n_skus = plan.agg(F.count_distinct("sku")).first()[0]
     buckets = bucket_count(n_skus)
-    size = bundle.stored_bytes_per_row(plan) if bytes_per_row is None else bytes_per_row
-    bundle.write_bundle(plan, bundle_root, buckets, size)
+    bundle.write_bundle(plan, bundle_root, buckets)
     tables.set_property(spark, telemetry_table, BUCKETS_PROPERTY, str(buckets))
     tables.set_property(spark, telemetry_table, BUNDLE_PROPERTY, bundle_root)
     endpoints = registry.endpoint_runs(plan.select("region").distinct(), n_endpoints, telemetry_table, bundle_root)
@@ -87,22 +86,3 @@ def stored_buckets(spark: SparkSession, telemetry_table: str) -> int:
 
 def stored_models(spark: SparkSession, telemetry_table: str) -> DataFrame:
     return bundle.read_bundle(spark, tables.get_property(spark, telemetry_table, BUNDLE_PROPERTY))
-
-
-def register_synthetic(
-    spark: SparkSession, spec: G.GenerationSpec, schema: str, bundle_root: str, n_endpoints: int = 3, seed: int = 0
-) -> Registration:
-    """The whole chain for a synthetic table of the given size; demand and run plan are reused or grown when stored."""
-    demand_table, plan_table = f"{schema}.demand", f"{schema}.run_plan"
-    keys = len(spec.regions) * spec.n_skus
-    G.bring_to_scale(
-        spark, demand_table, spec.n_rows, spec.n_skus,
-        lambda: tables.spread_by(G.synthetic_demand(G.key_pairs(spark, spec), spec.rows_per_sku, seed), "region"),
-        partition_by=["region"],
-    )
-    demand = train.prepared(tables.read_any(spark, demand_table))
-    G.bring_to_scale(
-        spark, plan_table, keys * len(train.MODEL_NAMES), spec.n_skus,
-        lambda: tables.spread_by(train_plan(demand, fresh_path(spark, "profile")), "region", "sku"),
-    )
-    return register(tables.read_any(spark, plan_table), f"{schema}.telemetry", bundle_root, n_endpoints)

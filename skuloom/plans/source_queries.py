@@ -12,17 +12,10 @@ from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, roun
 from skuloom.plans.store import ModelStore
 from skuloom.session import fresh_path, source_tag, work_path
 from skuloom.sources import demand as D
-from skuloom.sources import generate as G
+from skuloom.sources import scaling as G
+from skuloom.sources import schema as schemas
 from skuloom.sources import tables
-from skuloom.sources.schema import (
-    DemandTable,
-    RunPlanKeyTable,
-    TelemetryTable,
-    column_comments,
-    conform,
-    null_violations,
-    table_schema,
-)
+from skuloom.sources.schema import conform, null_violations
 
 # A price is a two-digit amount over a quantity up to 50: eight digits never end in a rounding tie.
 PRICE_DIGITS = 8
@@ -59,7 +52,7 @@ def demand_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demand_region_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demand written as a table partitioned by region, then one region read back (one directory)."""
     name = f"{schema_for(spark, sf_dir)}.demand"
-    tables.persist_demand(conform(D.demand(spark, sf_dir), table_schema(DemandTable)), name)
+    tables.persist_demand(conform(D.demand(spark, sf_dir), schemas.DEMAND), name)
     return (
         tables.read_any(spark, name)
         .where(F.col("region") == "ASIA")
@@ -106,8 +99,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNPIVOT counts ON COLUMNS(*) INTO NAME column_name VALUE violations""",
 )
 def demand_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table_schema(DemandTable)
-    return null_violations(conform(D.demand(spark, sf_dir), schema), schema)
+    return null_violations(conform(D.demand(spark, sf_dir), schemas.DEMAND), schemas.DEMAND)
 
 
 @query(
@@ -134,10 +126,9 @@ pairs AS (SELECT r_name AS region, printf('SKU-%06d', p_partkey) AS sku FROM par
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = D.table(spark, sf_dir, "region")
+    regions = [r[0] for r in D.table(spark, sf_dir, "region").select("r_name").distinct().collect()]
     skus = D.table(spark, sf_dir, "part").select(S.sku_id(F.col("p_partkey")).alias("sku"))
-    numbered = regions.select(F.col("r_regionkey").alias("region_no"), F.col("r_name").alias("region"))
-    return G.paired(skus, numbered, regions.count()).select("region", "sku")
+    return G.paired(skus, regions).select("region", "sku")
 
 
 @query("key_pairs", f"WITH {PAIRS} SELECT region, sku FROM pairs")
@@ -152,34 +143,7 @@ def key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_plan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = G.plan_keys(part_pairs(spark, sf_dir), ["AutoArima", "Prophet", "RandomForest"])
-    return conform(keys, table_schema(RunPlanKeyTable))
-
-
-def drawn(number: str, taken: int, choices: int) -> str:
-    return f"CAST({number} // {taken} % {choices} AS INTEGER)"
-
-
-SYNTHETIC = f"""{PAIRS},
-numbered AS (SELECT region, sku, unnest(range(3)) AS i FROM pairs),
-hashed AS (SELECT region, sku, md5(concat_ws('/', region, sku, CAST(i AS VARCHAR), '7')) AS h FROM numbered),
-halves AS (SELECT region, sku, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS a, CAST('0x' || substr(h, 17, 15) AS BIGINT) AS b FROM hashed),
-synthetic AS (
-  SELECT region, sku, DATE '2024-12-31' - {drawn('a', 1, 366)} AS date, printf('PROD_%03d', {drawn('a', 366, 50)} + 1) AS product_id,
-         {drawn('a', 18300, 491)} + 10 AS demand, ({drawn('b', 1, 29001)} + 999) / 100.0 AS price,
-         {drawn('b', 29001, 100)} < 30 AS promotion, {drawn('b', 2900100, 951)} + 50 AS inventory
-  FROM halves
-)"""
-
-
-@query(
-    "synthetic_demand",
-    f"""WITH {SYNTHETIC}
-    SELECT region, sku, CAST(date AS VARCHAR) AS date, product_id, demand, {r('price', 2)} AS price,
-           CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, promotion, inventory FROM synthetic""",
-)
-def synthetic_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three reproducible rows for every region and part."""
-    return rounded(as_text(G.synthetic_demand(part_pairs(spark, sf_dir), 3, seed=7), "date"), 2)
+    return conform(keys, schemas.RUN_PLAN_KEYS)
 
 
 @query(
@@ -206,37 +170,55 @@ def expanded_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM telemetry CROSS JOIN base CROSS JOIN (SELECT unnest(range(2)) AS copy) GROUP BY region, model_name""",
 )
 def expanded_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored run plan replaced by its own doubled copy."""
+    """A stored run plan doubled by appending its shifted copy."""
     name = f"{schema_for(spark, sf_dir)}.plan_to_double"
     tables.persist_run_plan(ModelStore(spark, sf_dir).plan(), name)
     stored = tables.read_any(spark, name)
     base = stored.agg(F.max(S.sku_number("sku"))).first()[0] + 1
-    tables.replace_from_itself(G.expand(stored, base, 2 * base), name)
+    tables.append_any(G.further_copies(stored, base, 2 * base), name)
     return tables.read_any(spark, name).groupBy("region", "model_name").agg(
         F.count("*").alias("row_count"), F.count_distinct("sku").alias("skus")
     )
 
 
+@query(
+    "plan_replaced_from_itself",
+    f"""WITH {TELEMETRY} SELECT region, model_name, count(*) AS row_count, 'kept' AS note FROM telemetry
+    WHERE model_name <> 'mean' GROUP BY region, model_name""",
+)
+def plan_replaced_from_itself(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table overwritten with a selection of its own rows; its properties stay."""
+    name = f"{schema_for(spark, sf_dir)}.plan_to_cut"
+    tables.persist_run_plan(ModelStore(spark, sf_dir).plan(), name)
+    tables.set_property(spark, name, "note", "kept")
+    tables.replace_from_itself(tables.read_any(spark, name).where("model_name <> 'mean'"), name)
+    counts = tables.read_any(spark, name).groupBy("region", "model_name").agg(F.count("*").alias("row_count"))
+    return counts.withColumn("note", F.lit(tables.get_property(spark, name, "note")))
+
+
 @query(
     "scale_decision",
     f"""WITH {COEFS},
     size AS (SELECT count(*) * 3 AS existing_rows, count(DISTINCT sku_n) AS existing_skus FROM coef),
-    wanted AS (SELECT *, unnest([1.0, 2.0, 3.0, 0.5, 1.5]) AS times FROM size),
-    sized AS (SELECT existing_rows, existing_skus, CAST(floor(existing_skus * times) AS BIGINT) AS target_skus,
-                     CAST(floor(existing_rows * times) AS BIGINT) AS expected_rows FROM wanted)
-    SELECT *, CASE WHEN existing_rows = expected_rows THEN 'reuse'
-                   WHEN target_skus > existing_skus AND target_skus % existing_skus = 0 THEN 'expand'
+    wanted AS (SELECT *, unnest([1.0, 2.0, 3.0, 0.5, 1.5, 2.0, 1.0]) AS skus_times, unnest([1.0, 2.0, 3.0, 0.5, 1.5, 1.0, 2.0]) AS rows_times FROM size),
+    sized AS (SELECT existing_rows, existing_skus, CAST(floor(existing_skus * skus_times) AS BIGINT) AS target_skus,
+                     CAST(floor(existing_rows * rows_times) AS BIGINT) AS expected_rows FROM wanted)
+    SELECT *, CASE WHEN existing_rows = expected_rows AND existing_skus = target_skus THEN 'reuse'
+                   WHEN target_skus > existing_skus AND target_skus % existing_skus = 0
+                     AND existing_rows * (target_skus / existing_skus) = expected_rows THEN 'expand'
                    ELSE 'rebuild' END AS action FROM sized""",
 )
 def scale_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to do with the stored plan for wanted sizes of 1, 2, 3, a half and one and a half times its skus."""
+    """What to do with the stored plan for 1, 2, 3, a half and one and a half times its size, and where only skus or rows differ."""
     size = G.existing_size(ModelStore(spark, sf_dir).plan())
-    wanted = size.withColumn("times", F.explode(F.array(*[F.lit(t) for t in (1.0, 2.0, 3.0, 0.5, 1.5)])))
+    cases = [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (0.5, 0.5), (1.5, 1.5), (2.0, 1.0), (1.0, 2.0)]
+    pairs = F.array(*[F.struct(F.lit(s).alias("skus_times"), F.lit(n).alias("rows_times")) for s, n in cases])
+    wanted = size.select("*", F.inline(pairs))
     return wanted.select(
         "existing_rows",
         "existing_skus",
-        F.floor(F.col("existing_skus") * F.col("times")).alias("target_skus"),
-        F.floor(F.col("existing_rows") * F.col("times")).alias("expected_rows"),
+        F.floor(F.col("existing_skus") * F.col("skus_times")).alias("target_skus"),
+        F.floor(F.col("existing_rows") * F.col("rows_times")).alias("expected_rows"),
     ).withColumn(
         "action",
         G.scale_action(F.col("existing_rows"), F.col("existing_skus"), F.col("expected_rows"), F.col("target_skus")),
@@ -256,7 +238,7 @@ def sku_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sku",
         S.sku_bucket("sku", 64).alias("bucket_64"),
         S.sku_bucket("sku", 512).alias("bucket_512"),
-        F.expr("cast(substring(sku, 5, 10) as int) % 64").alias("bucket_by_position"),
+        S.position_bucket("sku", 64).alias("bucket_by_position"),
         S.rekeyed("sku", F.lit(1_000_000)).alias("rekeyed"),
     )
 
@@ -346,23 +328,67 @@ def registered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TELEMETRY_TYPES = {
-    **{c: "string" for c in ("region", "sku", "model_name")}, **{c: "double" for c in ("rmse", "mape", "r2")},
+COLUMNS = {
+    "region": "string", "sku": "string", "model_name": "string", "rmse": "double", "mape": "double", "r2": "double",
     "params": "map<string,string>", "metrics": "map<string,double>", "logged_at": "timestamp",
 }
 
 
 @query(
     "table_definition",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{c}', '{t}', '{column_comments(TelemetryTable)[c]}')" for c, t in TELEMETRY_TYPES.items())
-    + ") AS t(col_name, data_type, comment)",
+    f"WITH {TELEMETRY} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS col_name, '{t}' AS data_type, true AS commented,
+            {f'count({c})' if c not in ('params', 'metrics', 'logged_at') else 'count(*)'} AS known FROM telemetry"""
+        for c, t in COLUMNS.items()
+    ),
 )
 def table_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns, types and comments of the telemetry table after its rows were replaced."""
+    """Columns and types of the telemetry table after its rows were replaced, each with its number of known values."""
+    name = f"{schema_for(spark, sf_dir)}.telemetry"
+    registration.write_telemetry(ModelStore(spark, sf_dir).plan(), name)
+    stored = spark.read.table(name)
+    known = stored.agg(*[F.count(c).alias(c) for c in stored.columns])
+    known = known.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("known")) for c in stored.columns])))
+    described = spark.sql(f"DESCRIBE TABLE {name}").where("col_name NOT LIKE '#%'").distinct()
+    commented = (F.length("comment") > 0).alias("commented")
+    return described.join(known, "col_name").select("col_name", "data_type", commented, "known")
+
+
+@query(
+    "table_comment",
+    f"WITH {COEFS} SELECT 'One row per trained model' AS subject, 3 * count(*) AS row_count FROM coef",
+)
+def table_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comment of the telemetry table, read back after its rows were replaced."""
     name = f"{schema_for(spark, sf_dir)}.telemetry"
     registration.write_telemetry(ModelStore(spark, sf_dir).plan(), name)
-    return spark.sql(f"DESCRIBE TABLE {name}").where("col_name NOT LIKE '#%'").distinct()
+    comment = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Comment'").select("data_type").first()[0]
+    rows = spark.read.table(name).agg(F.count("*").alias("row_count"))
+    return rows.select(F.substring_index(F.lit(comment), ":", 1).alias("subject"), "row_count")
+
+
+@query(
+    "load_times",
+    f"""WITH {COEFS} SELECT unnest([1, 2]) AS load, 3 * count(*) AS row_count, CAST(0 AS BIGINT) AS unstamped, CAST(1 AS BIGINT) AS stamps,
+    true AS later_than_before FROM coef""",
+)
+def load_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of the telemetry: every row is stamped, a load has one stamp, the second a later one."""
+    name = f"{schema_for(spark, sf_dir)}.load_times"
+    plan, loads = ModelStore(spark, sf_dir).plan(), []
+    for load in (1, 2):
+        registration.write_telemetry(plan, name)
+        rows = spark.read.table(name).agg(
+            F.count("*").alias("row_count"), F.count_if(F.col("logged_at").isNull()).alias("unstamped"),
+            F.count_distinct("logged_at").alias("stamps"), F.max("logged_at").alias("at"),
+        )
+        loads.append(rows.first())
+    frame = spark.createDataFrame(
+        [(k + 1, r["row_count"], r["unstamped"], r["stamps"], not k or r["at"] > loads[k - 1]["at"]) for k, r in enumerate(loads)],
+        "load int, row_count bigint, unstamped bigint, stamps bigint, later_than_before boolean",
+    )
+    return frame
 
 
 @query(

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skuloom.functions.skus import bucket_count
 from skuloom.operators import bundle, lookup, questions
@@ -14,6 +15,8 @@ from skuloom.session import materialize, source_tag, work_path
 from skuloom.sources import demand as D
 from skuloom.sources import tables
 
+# The tables that demand is made of.
+SOURCES = ["region", "nation", "customer", "orders", "lineitem", "part"]
 _built: dict[tuple[str, str, str], str] = {}
 
 
@@ -22,11 +25,21 @@ class ModelStore:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self.state = self._state()
+
+    def _state(self) -> str:
+        """Names, sizes and times of the source files: when one changes, everything is built anew."""
+        found = []
+        for table in SOURCES:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+            fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            found += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(path)]
+        return source_tag("\n".join(sorted(found)))
 
     def _stored(self, name: str, build: Callable[[str], None]) -> str:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.state, name)
         if key not in _built:
-            path = work_path(self.spark, source_tag(self.sf_dir), name)
+            path = work_path(self.spark, self.state, name)
             build(path)
             _built[key] = path
         return _built[key]
@@ -56,19 +69,13 @@ class ModelStore:
     def buckets(self) -> int:
         return bucket_count(self.plan().agg(F.count_distinct("sku")).first()[0])
 
+    def plan_path(self) -> tuple[str, T.StructType]:
+        schema = self.plan().schema
+        return self._stored("plan", lambda _: None), schema
+
     def bundle_root(self) -> str:
         plan = self.plan()
-        return self._stored(
-            "bundle",
-            lambda path: bundle.write_bundle(plan, path, self.buckets(), bundle.stored_bytes_per_row(plan)),
-        )
+        return self._stored("bundle", lambda path: bundle.write_bundle(plan, path, self.buckets()))
 
     def bundle(self) -> DataFrame:
         return bundle.read_bundle(self.spark, self.bundle_root())
-
-    def index(self) -> DataFrame:
-        root = self.bundle_root()
-        stored = self._stored(
-            "index", lambda path: bundle.row_group_index(self.spark, root).write.mode("overwrite").parquet(path)
-        )
-        return self.spark.read.parquet(stored)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skuloom.functions.skus import sku_id
 from skuloom.plans.catalog import TELEMETRY, query
 from skuloom.plans.model_queries import SCORED, scored_columns
 from skuloom.plans.registry_queries import KEYS, MODEL_RUNS, REGION_RUNS, SKU_RUNS
@@ -13,7 +15,7 @@ from skuloom.sources import demand as D
 from skuloom.streaming import register, score
 
 
-def scored_files(spark: SparkSession, sf_dir: str, served: DataFrame) -> DataFrame:
+def scored_files(spark: SparkSession, sf_dir: str, served: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Line items read as a stream of files, turned into requests, scored and appended to files."""
     schema = D.table(spark, sf_dir, "lineitem").schema
     lineitem = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
@@ -21,22 +23,23 @@ def scored_files(spark: SparkSession, sf_dir: str, served: DataFrame) -> DataFra
         "region", "sku", "price", "day_of_week", "promotion"
     )
     out = fresh_path(spark, "scores")
-    scored = score.score_stream(asked, served)
+    scored = score.score_stream(asked, served, counts)
     score.to_files(scored, out + "/rows", out + "/checkpoint").awaitTermination()
     return spark.read.schema(scored.schema).parquet(out + "/rows")
 
 
 @query("stream_scores", f"WITH {TELEMETRY} {SCORED}")
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_columns(scored_files(spark, sf_dir, ModelStore(spark, sf_dir).served()))
+    store = ModelStore(spark, sf_dir)
+    counts = store.profile().select("region", sku_id(F.col("sku_n")).alias("sku"), F.col("n_holdout").alias("rows"))
+    return scored_columns(scored_files(spark, sf_dir, store.served(), counts))
 
 
 @query("stream_registration", f"WITH {KEYS} {REGION_RUNS} UNION ALL {SKU_RUNS} UNION ALL {MODEL_RUNS}")
 def stream_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run plan registered file by file as it arrives; every run exists once at the end."""
-    store = ModelStore(spark, sf_dir)
-    plan = store.plan()
-    arriving = spark.readStream.schema(plan.schema).option("maxFilesPerTrigger", 1).parquet(plan.inputFiles()[0].rsplit("/", 1)[0])
+    """The run plan registered as its files arrive; every run exists once at the end."""
+    path, schema = ModelStore(spark, sf_dir).plan_path()
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
     out = fresh_path(spark, "runs")
     register.register_stream(arriving, out + "/runs", out + "/checkpoint").awaitTermination()
     return register.registered(spark, out + "/runs").drop("tags")

@@ -1,119 +1,43 @@
-"""Table declarations: a dataclass per table, turned into a Spark schema with comments."""
+"""Table definitions as DDL, and putting rows into their shape."""
 
 from __future__ import annotations
 
-import datetime
-import typing
-from dataclasses import dataclass, fields, is_dataclass
-from typing import Annotated
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPARK_TYPES = {
-    int: T.IntegerType(),
-    float: T.DoubleType(),
-    bool: T.BooleanType(),
-    str: T.StringType(),
-    bytes: T.BinaryType(),
-    datetime.date: T.DateType(),
-    datetime.datetime: T.TimestampType(),
-}
-
-
-def _declared(cls: type) -> list[tuple[str, object, str | None]]:
-    if not is_dataclass(cls):
-        raise TypeError(f"{cls!r} is not a dataclass")
-    hints = typing.get_type_hints(cls, include_extras=True)
-    out = []
-    for name in (f.name for f in fields(cls)):
-        hint, comment = hints[name], None
-        if typing.get_origin(hint) is Annotated:
-            texts = [m for m in hint.__metadata__ if isinstance(m, str)]
-            hint, comment = hint.__origin__, (texts[0] if texts else None)
-        out.append((name, hint, comment))
-    return out
-
+DEMAND = """
+region STRING NOT NULL, sku STRING NOT NULL, date DATE NOT NULL, product_id STRING NOT NULL, demand INT NOT NULL,
+price DOUBLE NOT NULL, day_of_week INT NOT NULL, promotion BOOLEAN NOT NULL, inventory INT NOT NULL
+"""
 
-def spark_type(hint: object, where: str) -> T.DataType:
-    if typing.get_origin(hint) is Annotated:
-        hint = hint.__origin__
-    if typing.get_origin(hint) is dict:
-        key, value = typing.get_args(hint)
-        return T.MapType(spark_type(key, where + " key"), spark_type(value, where + " value"), False)
-    if isinstance(hint, type) and hint in SPARK_TYPES:
-        return SPARK_TYPES[hint]
-    raise TypeError(f"{where}: {hint!r} has no column type")
+RUN_PLAN_KEYS = "region STRING NOT NULL, sku STRING NOT NULL, model_name STRING NOT NULL"
 
+TELEMETRY = """
+region STRING COMMENT 'Sales region',
+sku STRING COMMENT 'Article number',
+model_name STRING COMMENT 'Which of the models of the article',
+rmse DOUBLE COMMENT 'Root of the mean squared holdout error; empty without holdout rows',
+mape DOUBLE COMMENT 'Mean holdout error as a share of demand',
+r2 DOUBLE COMMENT 'Explained share of the holdout variance; empty where demand does not vary',
+params MAP<STRING, STRING> COMMENT 'Settings and coefficients by name',
+metrics MAP<STRING, DOUBLE> COMMENT 'Every metric by name',
+logged_at TIMESTAMP COMMENT 'Start of the load that wrote the row'
+"""
 
-def table_schema(cls: type) -> T.StructType:
-    """Columns in declaration order, all required; the first text of an ``Annotated`` is the comment."""
-    return T.StructType(
-        [
-            T.StructField(name, spark_type(hint, f"{cls.__name__}.{name}"), False, {"comment": text} if text else {})
-            for name, hint, text in _declared(cls)
-        ]
-    )
 
+def columns_of(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
 
-def column_comments(cls: type) -> dict[str, str]:
-    return {name: text for name, _, text in _declared(cls) if text}
 
-
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, ddl: str) -> DataFrame:
     """Declared columns, in declared order, cast to their declared types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns_of(ddl)])
 
 
-def null_violations(df: DataFrame, schema: T.StructType) -> DataFrame:
+def null_violations(df: DataFrame, ddl: str) -> DataFrame:
     """One row per required column with the number of rows that miss it: one pass, no row leaves its task."""
-    counts = df.agg(*[F.count_if(F.col(f.name).isNull()).alias(f.name) for f in schema if not f.nullable])
-    return counts.select(
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("violations")) for c in counts.columns])
-        )
-    )
-
-
-@dataclass
-class DemandTable:
-    region: str
-    sku: str
-    date: datetime.date
-    product_id: str
-    demand: int
-    price: float
-    day_of_week: int
-    promotion: bool
-    inventory: int
-
-
-@dataclass
-class RunPlanKeyTable:
-    region: str
-    sku: str
-    model_name: str
-
-
-@dataclass
-class RunPlanTable:
-    region: str
-    sku: str
-    model_name: str
-    model_blob_bytes: bytes
-    params: dict[str, str]
-    metrics: dict[str, float]
-
-
-@dataclass
-class TelemetryTable:
-    region: Annotated[str, "Region the model was trained for."]
-    sku: Annotated[str, "Stock-keeping unit; one model per model_name and region."]
-    model_name: Annotated[str, "Kind of model."]
-    rmse: Annotated[float, "Root mean squared error on holdout rows, lower is better."]
-    mape: Annotated[float, "Mean absolute percentage error, lower is better, comparable across SKUs."]
-    r2: Annotated[float, "Share of variance explained, higher is better, may be negative."]
-    params: Annotated[dict[str, str], "All training settings."]
-    metrics: Annotated[dict[str, float], "All evaluation metrics; rmse, mape and r2 are repeated as columns."]
-    logged_at: Annotated[datetime.datetime, "When the row was written."]
+    required = [f.name for f in columns_of(ddl) if not f.nullable]
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("violations")) for c in required]
+    return counts.select(F.inline(F.array(*pairs)))

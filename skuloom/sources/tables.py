@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from skuloom.session import fresh_path, materialize
 
 
 def is_table_name(target: str) -> bool:
@@ -26,6 +26,15 @@ def write_any(df: DataFrame, target: str, partition_by: list[str] | None = None,
     writer.saveAsTable(target) if is_table_name(target) else writer.parquet(target)
 
 
+def append_any(df: DataFrame, target: str, partition_by: list[str] | None = None) -> None:
+    """Add rows to a stored table; they may be computed from it, as its present files are listed first."""
+    if is_table_name(target):
+        df.select(*df.sparkSession.read.table(target).columns).write.insertInto(target)
+        return
+    writer = df.write.mode("append")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
+
+
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle by key for the write; adaptive execution splits partitions a hot key makes too big."""
     return df.hint("rebalance", *keys)
@@ -86,48 +95,35 @@ def get_property(spark: SparkSession, name: str, key: str) -> str | None:
     return hits[0][0] if hits else None
 
 
-def ensure_table(
-    spark: SparkSession, name: str, schema: T.StructType, partition_by: list[str], comment: str | None = None
-) -> bool:
+def ensure_table(spark: SparkSession, name: str, ddl: str, partition_by: list[str], comment: str = "") -> bool:
     """Create an empty table unless one of that name exists; an existing one is left as it is."""
     if spark.catalog.tableExists(name):
         return False
-    spark.createDataFrame([], schema).write.mode("errorifexists").partitionBy(*partition_by).saveAsTable(name)
-    if comment:
-        comment_table(spark, name, comment)
-    # The write already carries the comments; Spark cannot alter a partition column.
-    plain = [f for f in schema if f.name not in partition_by]
-    comment_columns(spark, name, {f.name: f.metadata["comment"] for f in plain if f.metadata.get("comment")})
+    escaped = comment.replace("\\", "\\\\").replace("'", "\\'")
+    parts = ", ".join(partition_by)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet PARTITIONED BY ({parts}) COMMENT '{escaped}'")
     return True
 
 
 def replace_rows(df: DataFrame, name: str) -> None:
-    """Swap all rows of a table, keeping its columns, comments and properties."""
-    spark = df.sparkSession
-    columns = spark.read.table(name).columns
-    spark.sql(f"TRUNCATE TABLE {name}")
-    df.select(*columns).write.insertInto(name, overwrite=False)
+    """Swap all rows of a table by one overwriting insert, keeping its columns, comments and properties."""
+    df.select(*df.sparkSession.read.table(name).columns).write.insertInto(name, overwrite=True)
 
 
 def replace_from_itself(df: DataFrame, target: str, partition_by: list[str] | None = None) -> None:
     """Overwrite ``target`` with a result computed from it: the whole result is staged before the old rows go.
 
-    An unpartitioned table is then renamed into place. Partitions keep their place when a table is renamed, so a
-    partitioned table is copied from the staging table, as a path is.
+    A table is filled by an overwriting insert, so it exists at all times and keeps its definition.
     """
     spark = df.sparkSession
-    staging = f"{target}__staging_{uuid.uuid4().hex[:8]}"
-    write_any(df, staging, partition_by)
-    if is_table_name(target) and not partition_by:
-        spark.sql(f"DROP TABLE {target}")
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {target}")
-        return
-    write_any(read_any(spark, staging), target, partition_by)
+    staging = fresh_path(spark, "staging")
+    staged = materialize(df, staging)
     if is_table_name(target):
-        spark.sql(f"DROP TABLE {staging}")
+        replace_rows(staged, target)
     else:
-        path = spark._jvm.org.apache.hadoop.fs.Path(staging)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        write_any(staged, target, partition_by)
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def append_outcome(outcome: DataFrame, target: str) -> None:

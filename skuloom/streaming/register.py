@@ -7,32 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skuloom.operators import registry
+from skuloom.session import fresh_path, materialize
+from skuloom.sources import tables
+
+RUNS = "run_id string, parent_id string, layer string, run_name string, experiment string, tags map<string,string>"
+LAYOUT = "prefix string, source string, batch bigint"
 
 
 def registered(spark: SparkSession, root: str) -> DataFrame:
-    """All committed runs. A batch replayed after a crash rewrites its own directory, so nothing counts twice."""
-    return spark.read.parquet(root).drop("batch")
+    """All committed runs. A batch replayed after a crash rewrites its own directories, so nothing counts twice."""
+    return spark.read.schema(f"{RUNS}, {LAYOUT}").parquet(root).drop("prefix", "source", "batch")
 
 
 def register_batch(root: str):
+    """Runs are stored by a prefix of their id, the query that found them and its batch.
+
+    A batch looks only into the prefixes of its own runs, reads nothing but ids there, and leaves out what it wrote itself
+    before a crash. A query started on a new checkpoint has an id of its own and so never overwrites another's batches.
+    """
+
     def register(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        wanted = registry.nested_runs(batch)
-        others = _other_batches(spark, root, batch_id)
-        if others is not None:
-            wanted = registry.not_registered(wanted, others)
-        wanted.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        source = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        wanted = materialize(registry.nested_runs(batch).withColumn("prefix", F.substring("run_id", 1, 2)), fresh_path(spark, "wanted"))
+        if tables.exists(spark, root):
+            prefixes = [r[0] for r in wanted.select("prefix").distinct().collect()]  # 256 at most
+            known = spark.read.schema(f"run_id string, {LAYOUT}").parquet(root).where(F.col("prefix").isin(prefixes))
+            known = known.where((F.col("source") != source) | (F.col("batch") != batch_id))
+            wanted = registry.not_registered(wanted, known.select("run_id"))
+        rows = wanted.withColumns({"source": F.lit(source), "batch": F.lit(batch_id).cast("bigint")})
+        writer = rows.hint("rebalance", "prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("prefix", "source", "batch").parquet(root)
 
     return register
 
 
-def _other_batches(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """Runs of earlier batches; later ones cannot exist while this one runs."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(root).where(F.col("batch") < batch_id)
-
-
 def register_stream(plan: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Register every run-plan row of a stream once: find-or-create by the deterministic run id.
 

@@ -7,16 +7,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skuloom.operators import lookup
 
-# Streams run without adaptive skew handling: each chosen model is copied so that a hot sku uses several tasks.
-COPIES = 16
 
-
-def score_stream(requests: DataFrame, served: DataFrame) -> DataFrame:
+def score_stream(requests: DataFrame, served: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The batch scoring job on a stream: a stream-static join, so no state is kept.
 
-    Every micro-batch reads ``served`` anew, so it should be a stored table.
+    Every micro-batch reads ``served`` anew, so it should be a stored table. Streams run without adaptive skew handling:
+    ``counts``, stored request counts per key, name the hot keys whose models are copied.
     """
-    return lookup.score(requests, served, copies=COPIES)
+    return lookup.score(requests, served, counts)
 
 
 def to_files(scored: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -47,6 +47,26 @@ def test_order_statistics_with_a_hot_group_and_copies(spark, monkeypatch, way):
             assert math.isclose(got[g][name], float(np.quantile(vs, q)), rel_tol=1e-12, abs_tol=1e-12)
 
 
+def test_no_zone_of_a_hot_group_is_ranked_whole(spark, monkeypatch):
+    """However crude the sketch, rows are ranked in zones within the bound, unless they are equal."""
+    monkeypatch.setattr(ranks, "SKETCH_ACCURACY", 10)
+    seen, split = [], ranks._split_zones
+
+    def watched(zoned, targets, groups, bound):
+        zoned, targets = split(zoned, targets, groups, bound)
+        keys = [*groups, "__zone"]
+        seen.append(ranks.join_groups(zoned, targets.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count_distinct("__v").alias("n")).agg(F.max("n")).first()[0])
+        return zoned, targets
+
+    monkeypatch.setattr(ranks, "_split_zones", watched)
+    rng = random.Random(5)
+    values = [rng.expovariate(1) for _ in range(30_000)] + [0.5] * 10_000
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    got = ranks.order_statistics(df, ["g"], "v", {f"p{q}": (q / 100, nearest_rank(q / 100)) for q in (5, 50, 95)}, window_rows=500).first()
+    assert [got[f"p{q}"] for q in (5, 50, 95)] == [nearest(values, q / 100) for q in (5, 50, 95)]
+    assert seen[0] <= 1_000
+
+
 def test_order_statistics_without_a_broadcast(spark, monkeypatch, way):
     monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))

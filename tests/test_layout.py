@@ -5,12 +5,11 @@ import zlib
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
-from pyspark.sql import Window as W
+from plan_cases import fixture_plan, row_groups
 from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
 from skuloom.operators import bundle, lookup
-from skuloom.sources.generate import fixture_plan
 
 
 @pytest.fixture(scope="module")
@@ -69,45 +68,42 @@ def test_rewrite_leaves_nothing_stale(spark, tmp_path):
     root = str(tmp_path / "b")
     bundle.write_bundle(fixture_plan(spark, 100, 2, 64, ["A"]), root, 16)
     bundle.write_bundle(fixture_plan(spark, 20, 1, 64, ["A"]), root, 4)
-    found = bundle.read_bundle(spark, root).agg(F.count("*"), F.max("bucket"), F.count_distinct("region")).first()
-    assert tuple(found) == (20, 3, 1)
+    found = bundle.read_bundle(spark, root).groupBy("region").agg(F.count("*"), F.max("bucket")).orderBy("region").collect()
+    assert [tuple(r) for r in found] == [("REGION-00", 20, 3), ("REGION-01", 100, 15)]
 
 
-def test_index_finds_every_sku_over_overlapping_buckets(spark, tmp_path):
-    """Buckets share the whole id range, so an index search must know the bucket, and skus may span row groups."""
+def test_many_lookups_find_every_sku_and_no_other(spark, tmp_path):
     plan = fixture_plan(spark, 500, 2, 2048, ["A", "B", "C"])
     root = str(tmp_path / "b")
     bundle.write_bundle(plan, root, 8, task_bytes=200_000, row_group_bytes=20_000)
-    index = bundle.row_group_index(spark, root)
-    index.write.parquet(str(tmp_path / "index"))
-    index = spark.read.parquet(str(tmp_path / "index"))
-    assert index.agg(F.sum("n_rows")).first()[0] == 3000
-    assert index.count() > 60
-    found = lookup.fetch(lookup.locate(plan, index, 8))
-    same = found.join(plan.withColumnRenamed("model_blob_bytes", "want"), ["region", "sku", "model_name"])
+    models = bundle.read_bundle(spark, root)
+    found = lookup.lookup_many(models, plan, 8)
+    same = found.join(plan.select("region", "sku", "model_name", F.col("model_blob_bytes").alias("want")), ["region", "sku", "model_name"])
     assert found.count() == 3000
     assert same.where(F.col("want") == F.col("model_blob_bytes")).count() == 3000
-    missing = spark.createDataFrame([("REGION-00", "SKU-000900")], "region string, sku string")
-    assert lookup.fetch(lookup.locate(missing, index, 8)).count() == 0
+    # A number alone is not a sku.
+    missing = spark.createDataFrame([("REGION-00", "SKU-000900"), ("REGION-00", "ALT-000003")], "region string, sku string")
+    assert lookup.lookup_many(models, missing, 8).count() == 0
     asked = missing.unionByName(plan.select("region", "sku").limit(1))
-    assert [r["sku"] for r in lookup.unmatched(asked, plan).collect()] == ["SKU-000900"]
+    assert sorted(r["sku"] for r in lookup.unmatched(asked, plan).collect()) == ["ALT-000003", "SKU-000900"]
 
 
 def test_row_groups_of_a_file_are_sorted(spark, tmp_path):
-    root = str(tmp_path / "b")
-    bundle.write_bundle(fixture_plan(spark, 300, 1, 2048, ["A", "B"]).repartition(7), root, 2, row_group_bytes=20_000)
-    following = F.lead("sku_min").over(W.partitionBy("file").orderBy("row_group"))
-    groups = bundle.row_group_index(spark, root).withColumn("next_min", following)
-    assert groups.count() > 20 and groups.where("next_min < sku_max").count() == 0
-
-
-def test_row_groups_without_statistics_match_every_sku_of_their_bucket(spark):
-    index = spark.createDataFrame(
-        [("R", 1, "f", 0, 0, bundle.ANY_SKU, 9), ("R", 1, "g", 0, 1, 3, 9), ("R", 0, "h", 0, 0, bundle.ANY_SKU, 9)], bundle.INDEX_SCHEMA
+    bundle.write_bundle(fixture_plan(spark, 300, 1, 2048, ["A", "B"]).repartition(7), str(tmp_path / "b"), 2, row_group_bytes=20_000)
+    groups = row_groups(tmp_path / "b")
+    assert len(groups) > 20
+    assert all(a[4] <= b[3] for a, b in zip(groups, groups[1:]) if a[0] == b[0])
+
+
+def test_pieces_go_by_bytes(spark, tmp_path):
+    """One region's blobs are fifty times larger: no file may exceed the bound by more than a sku."""
+    small = fixture_plan(spark, 200, 1, 400, ["A"])
+    large = fixture_plan(spark, 200, 2, 20_000, ["A"]).where("region = 'REGION-01'")
+    bundle.write_bundle(small.unionByName(large), str(tmp_path / "b"), 2, task_bytes=200_000)
+    sizes = bundle.read_bundle(spark, str(tmp_path / "b")).groupBy(F.col("_metadata.file_path")).agg(
+        F.sum(F.octet_length("model_blob_bytes") + bundle.ROW_BYTES).alias("b")
     )
-    asked = spark.createDataFrame([("R", "SKU-000001"), ("R", "SKU-000005")], "region string, sku string")
-    got = sorted((r["sku"], r["file"]) for r in lookup.locate(asked, index, 2).collect())
-    assert got == [("SKU-000001", "f"), ("SKU-000001", "g"), ("SKU-000005", "f")]
+    assert sizes.agg(F.max("b")).first()[0] <= 200_000 + 21_000
 
 
 def test_row_groups_keep_to_their_bytes(spark, tmp_path):
@@ -115,8 +111,7 @@ def test_row_groups_keep_to_their_bytes(spark, tmp_path):
     plan = fixture_plan(spark, 60, 1, 20_000, ["A", "B", "C"])
     root = str(tmp_path / "b")
     bundle.write_bundle(plan, root, 2, row_group_bytes=80_000)
-    index = bundle.row_group_index(spark, root)
-    assert index.agg(F.max("n_rows")).first()[0] <= 8
+    assert max(g[2] for g in row_groups(tmp_path / "b")) <= 8
 
 
 def test_real_size_blobs(spark, tmp_path):
@@ -132,7 +127,7 @@ def test_real_size_blobs(spark, tmp_path):
     plan = spark.read.parquet(str(tmp_path / "plan"))
     root = str(tmp_path / "b")
     assert bundle.write_bundle(plan, root, 4, task_bytes=20 * 1024 * 1024) >= 7
-    assert bundle.row_group_index(spark, root).agg(F.max("n_rows")).first()[0] <= 5
+    assert max(g[2] for g in row_groups(tmp_path / "b")) <= 5
     got = lookup.lookup_one(bundle.read_bundle(spark, root), "REGION-00", "SKU-000007", 4).select("model_name", F.md5("model_blob_bytes"))
     want = plan.where("sku = 'SKU-000007'").select("model_name", F.md5("model_blob_bytes"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -146,10 +141,8 @@ def test_ids_beyond_six_digits(spark, tmp_path):
         F.create_map(F.lit("a"), F.lit("b")).alias("params"), F.create_map(F.lit("rmse"), F.lit(0.1)).alias("metrics"),
     )
     root = str(tmp_path / "b")
-    bundle.write_bundle(plan, root, 4, bytes_per_row=100.0, task_bytes=500)
-    index = bundle.row_group_index(spark, root)
-    index.write.parquet(str(tmp_path / "i"))
-    found = lookup.fetch(lookup.locate(plan, spark.read.parquet(str(tmp_path / "i")), 4))
+    bundle.write_bundle(plan, root, 4, task_bytes=5_000)
+    found = lookup.lookup_many(bundle.read_bundle(spark, root), plan, 4)
     assert found.where(F.col("model_blob_bytes").cast("string") == F.col("sku")).count() == 40
 
 
@@ -185,7 +178,7 @@ def test_region_names_are_kept_as_text(spark, tmp_path):
     )
     bundle.write_bundle(plan, root, 2)
     assert {r[0] for r in bundle.read_bundle(spark, root).select("region").distinct().collect()} == set(names)
-    assert {r[0] for r in bundle.row_group_index(spark, root).select("region").distinct().collect()} == set(names)
+    assert {r[0] for r in bundle.bundle_files(spark, root).select("region").distinct().collect()} == set(names)
 
 
 @pytest.mark.parametrize("n, want", [(1_000, 64), (10_000, 64), (20_000, 128), (100_000, 512), (1_500_000, 512)])

@@ -3,11 +3,11 @@
 import json
 
 import pytest
+from plan_cases import fixture_plan
 from pyspark.sql import functions as F
 
 from skuloom.operators import lookup, questions, registry
 from skuloom.plans import registration
-from skuloom.sources.generate import fixture_plan
 from skuloom.streaming import register, score
 
 

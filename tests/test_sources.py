@@ -1,83 +1,30 @@
-"""Schemas, tables, generator and scaling."""
-
-import datetime
-from dataclasses import dataclass
-from typing import Annotated, Optional
+"""Schemas, tables and scaling."""
 
 import pytest
+from plan_cases import fixture_plan
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skuloom.functions import skus as S
 from skuloom.plans import registration
-from skuloom.sources import generate as G
-from skuloom.sources import tables
-from skuloom.sources.schema import DemandTable, TelemetryTable, column_comments, conform, null_violations, table_schema
-
-
-def test_schema_from_declaration():
-    schema = table_schema(TelemetryTable)
-    assert [f.name for f in schema][:4] == ["region", "sku", "model_name", "rmse"]
-    assert schema["rmse"].dataType == T.DoubleType() and not schema["rmse"].nullable
-    assert schema["metrics"].dataType == T.MapType(T.StringType(), T.DoubleType(), False)
-    assert schema["logged_at"].dataType == T.TimestampType()
-    assert schema["rmse"].metadata["comment"] == column_comments(TelemetryTable)["rmse"]
-    assert table_schema(DemandTable)["date"].dataType == T.DateType()
-
-
-def test_unsupported_types_name_the_field():
-    @dataclass
-    class Bad:
-        a: int
-        b: Optional[str]
+from skuloom.sources import scaling as G
+from skuloom.sources import schema, tables
 
-    @dataclass
-    class BadMap:
-        c: Annotated[dict[str, list], "text"]
 
-    with pytest.raises(TypeError, match="Bad.b"):
-        table_schema(Bad)
-    with pytest.raises(TypeError, match="BadMap.c value"):
-        table_schema(BadMap)
-    with pytest.raises(TypeError, match="not a dataclass"):
-        table_schema(int)
+def test_definitions(spark):
+    telemetry = schema.columns_of(schema.TELEMETRY)
+    assert [f.name for f in telemetry][:4] == ["region", "sku", "model_name", "rmse"]
+    assert telemetry["metrics"].dataType == T.MapType(T.StringType(), T.DoubleType(), True)
+    assert all(f.metadata["comment"] for f in telemetry)
+    demand = schema.columns_of(schema.DEMAND)
+    assert demand["date"].dataType == T.DateType() and not demand["price"].nullable
 
 
 def test_conform_and_violations(spark):
     df = spark.createDataFrame([("1", None), ("2", "x")], "b string, a string")
-    schema = T.StructType([T.StructField("a", T.StringType(), False), T.StructField("b", T.IntegerType(), False)])
-    assert conform(df, schema).dtypes == [("a", "string"), ("b", "int")]
-    assert {r[0]: r[1] for r in null_violations(conform(df, schema), schema).collect()} == {"a": 1, "b": 0}
-
-
-def test_generator_is_the_same_on_any_layout(spark):
-    spec = G.GenerationSpec.of(3, 20, 5)
-    assert spec.n_rows == 300
-    pairs = G.key_pairs(spark, spec)
-    assert pairs.distinct().count() == 60
-    one = G.synthetic_demand(pairs.repartition(1), 5, seed=1)
-    many = G.synthetic_demand(pairs.repartition(13), 5, seed=1)
-    assert one.count() == 300 and one.exceptAll(many).count() == 0
-    assert one.exceptAll(G.synthetic_demand(pairs, 5, seed=2)).count() > 250
-    assert conform(one, table_schema(DemandTable)).columns == [f.name for f in table_schema(DemandTable)]
-
-
-def test_generator_domains(spark):
-    rows = G.synthetic_demand(G.key_pairs(spark, G.GenerationSpec.of(5, 100, 40)), 40, seed=9)
-    r = rows.agg(
-        F.min("demand"), F.max("demand"), F.min("price"), F.max("price"), F.min("inventory"), F.max("inventory"),
-        F.min("product_id"), F.max("product_id"), F.avg(F.col("promotion").cast("int")),
-        F.max(F.abs(F.col("price") * 100 - F.round(F.col("price") * 100))), F.count_if(F.col("day_of_week") != F.weekday("date")),
-        F.min("date"), F.max("date"),
-    ).first()
-    assert (r[0], r[1], r[4], r[5], r[6], r[7]) == (10, 500, 50, 1000, "PROD_001", "PROD_050")
-    assert 9.99 <= r[2] < 12 and 297 < r[3] <= 299.99 and 0.28 < r[8] < 0.32 and r[9] < 1e-6 and r[10] == 0
-    assert r[11] >= datetime.date(2023, 12, 31) and r[12] <= datetime.date(2024, 12, 31)
-
-
-def test_region_names():
-    assert S.region_names(2) == ["NORTHEAST", "SOUTHEAST"]
-    assert S.region_names(11)[0] == "REGION_001" and len(S.region_names(11)) == 11
+    ddl = "a string not null, b int not null"
+    assert schema.conform(df, ddl).dtypes == [("a", "string"), ("b", "int")]
+    assert {r[0]: r[1] for r in schema.null_violations(schema.conform(df, ddl), ddl).collect()} == {"a": 1, "b": 0}
 
 
 def test_sizing(spark):
@@ -99,11 +46,12 @@ def test_sku_functions(spark):
 
 
 def test_expansion(spark):
-    plan = G.fixture_plan(spark, 10, 2, 32, ["A", "B"])
+    plan = fixture_plan(spark, 10, 2, 32, ["A", "B"])
     grown = G.expand(plan, 10, 30)
     assert grown.count() == 3 * plan.count()
     assert grown.select("region", "sku", "model_name").distinct().count() == 120
     assert {r[0] for r in grown.select("sku").distinct().collect()} == {f"SKU-{i:06d}" for i in range(30)}
+    assert G.further_copies(plan, 10, 30).count() == 2 * plan.count() and G.further_copies(plan, 0, 30) is None
     assert G.expand(plan, 10, 10) is None and G.expand(plan, 10, 5) is None and G.expand(plan, 10, 25) is None
 
 
@@ -119,9 +67,11 @@ def test_bring_to_scale(spark, schema_name, tmp_path, kind):
     target = f"{schema_name}.scaled" if kind == "table" else str(tmp_path / "scaled")
 
     def grow(n):
-        return G.bring_to_scale(spark, target, 2 * n, n, lambda: G.fixture_plan(spark, n, 2, 16, ["A"]))
+        return G.bring_to_scale(spark, target, 2 * n, n, lambda: fixture_plan(spark, n, 2, 16, ["A"]))
 
-    assert [grow(n) for n in (10, 10, 30, 20)] == ["rebuild", "reuse", "expand", "rebuild"]
+    assert [grow(n) for n in (10, 10, 30)] == ["rebuild", "reuse", "expand"]
+    assert tables.read_any(spark, target).agg(F.count("*"), F.count_distinct("sku")).first()[:] == (60, 30)
+    assert grow(20) == "rebuild"
     assert tables.read_any(spark, target).agg(F.count("*"), F.count_distinct("sku")).first()[:] == (40, 20)
 
 
@@ -139,7 +89,7 @@ def test_stored_or_built(spark, tmp_path):
 
 def test_telemetry_table_keeps_its_definition(spark, schema_name):
     name = f"{schema_name}.telemetry"
-    plan = G.fixture_plan(spark, 5, 2, 16, ["A", "B"])
+    plan = fixture_plan(spark, 5, 2, 16, ["A", "B"])
     registration.write_telemetry(plan, name)
     tables.set_property(spark, name, "space_id", "it's 7")
     registration.write_telemetry(plan.where("model_name = 'A'"), name)
@@ -151,14 +101,30 @@ def test_telemetry_table_keeps_its_definition(spark, schema_name):
     r = stored.where("region = 'REGION-01'").orderBy("sku").first()
     assert (r["sku"], r["model_name"], r["rmse"], r["mape"], r["params"]) == ("SKU-000000", "A", 0.1, None, {"learning_rate": "0.01"})
     comments = {f.name: f.metadata.get("comment") for f in stored.schema}
-    assert comments == column_comments(TelemetryTable) | {"logged_at": column_comments(TelemetryTable)["logged_at"]}
+    assert comments == {f.name: f.metadata["comment"] for f in schema.columns_of(schema.TELEMETRY)}
     detail = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
     assert detail["Comment"] == registration.TELEMETRY_COMMENT
-    assert not tables.ensure_table(spark, name, table_schema(DemandTable), ["region"])
+    assert not tables.ensure_table(spark, name, schema.DEMAND, ["region"])
+
+
+def test_a_failed_replacement_keeps_the_rows(spark, schema_name):
+    name = f"{schema_name}.kept"
+    spark.sql(f"CREATE TABLE {name} (a BIGINT, b STRING) USING parquet")
+    tables.replace_rows(spark.range(3).selectExpr("id AS a", "'x' AS b"), name)
+    with pytest.raises(Exception, match="boom"):
+        tables.replace_rows(spark.range(3).selectExpr("id AS a", "CAST(raise_error('boom') AS STRING) AS b"), name)
+    assert spark.read.table(name).count() == 3
+
+
+def test_scale_action_looks_at_rows_and_skus(spark):
+    cases = [(1000, 10, 1000, 10), (1000, 10, 1000, 100), (1000, 10, 2000, 20), (1000, 10, 1500, 20), (0, 0, 5, 5)]
+    df = spark.createDataFrame(cases, "r bigint, s bigint, er bigint, ts bigint")
+    got = df.select(G.scale_action(*[F.col(c) for c in ("r", "s", "er", "ts")])).collect()
+    assert [r[0] for r in got] == ["reuse", "rebuild", "expand", "rebuild", "rebuild"]
 
 
 def test_registration(spark, schema_name, tmp_path):
-    G.fixture_plan(spark, 30, 2, 64, ["A", "B"]).write.parquet(str(tmp_path / "plan"))
+    fixture_plan(spark, 30, 2, 64, ["A", "B"]).write.parquet(str(tmp_path / "plan"))
     plan = spark.read.parquet(str(tmp_path / "plan"))
     done = registration.register(plan, f"{schema_name}.registered", str(tmp_path / "bundle"), n_endpoints=2)
     assert registration.stored_buckets(spark, done.telemetry_table) == done.buckets == 64
@@ -173,26 +139,9 @@ def test_registration(spark, schema_name, tmp_path):
     assert len(got) == 2 and got[0]["total_runs"] == 4 and got[0]["total_artifacts"] == 2 and got[0]["errors"] == 0
 
 
-def test_whole_chain_from_a_spec(spark, tmp_path):
-    tables.create_schema(spark, "chain", str(tmp_path / "chain"))
-
-    def run(n_skus):
-        spec = G.GenerationSpec.of(2, n_skus, 30)
-        done = registration.register_synthetic(spark, spec, "chain", str(tmp_path / f"bundle{n_skus}"))
-        assert spark.read.table("chain.demand").count() == spec.n_rows
-        t = spark.read.table(done.telemetry_table)
-        assert t.count() == 2 * n_skus * 3 and t.where("rmse IS NULL").count() < t.count() / 10
-        assert registration.stored_models(spark, done.telemetry_table).select("sku").distinct().count() == n_skus
-        return spark.read.table("chain.run_plan")
-
-    first = {tuple(r) for r in run(12).select("region", "sku", "model_name", "model_blob_bytes").collect()}
-    again = {tuple(r) for r in run(24).select("region", "sku", "model_name", "model_blob_bytes").collect()}
-    assert first <= again and len(again) == 2 * len(first)
-
-
 def test_write_and_read_by_name_or_path(spark, schema_name, tmp_path):
     assert tables.is_table_name("a.b.c") and not tables.is_table_name("/tmp/a.b") and not tables.is_table_name("plain")
-    plan = G.fixture_plan(spark, 4, 2, 16, ["A"])
+    plan = fixture_plan(spark, 4, 2, 16, ["A"])
     for target in (f"{schema_name}.plan", str(tmp_path / "plan")):
         tables.persist_run_plan(plan, target)
         tables.persist_run_plan(plan, target)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skuloom.operators import lookup, questions, train, user_models
-from skuloom.plans import registration
+from skuloom.plans import model_queries, registration
 
 SCHEMA = (
     "region string, sku string, sku_n bigint, demand int, price double, day_of_week int, promotion boolean, inventory int, "
@@ -163,24 +163,26 @@ def test_opaque_scores_are_the_same(demand, plan, rows_per_task):
 
 def test_best_model_ties_go_by_name(spark):
     t = spark.createDataFrame(
-        [("r", "s", "b", 1.0, 0.5, None), ("r", "s", "a", 1.0 + 1e-13, 0.5, 0.1), ("r", "u", "a", 2.0, None, None), ("r", "u", "b", 2.0, 0.9, None)],
+        [("r", "s", "b", 1.0, 0.5, None), ("r", "s", "a", 1.0, 0.5, 0.1), ("r", "u", "a", 2.0, None, None), ("r", "u", "b", 2.0, 0.9, None)],
         "region string, sku string, model_name string, rmse double, mape double, r2 double",
     )
     got = {r["sku"]: r["model_name"] for r in questions.best_models(t).collect()}
     assert got == {"s": "a", "u": "b"}
 
 
-@pytest.mark.parametrize("bound", [40, 1_000_000])
-def test_user_trainer_sees_every_row_in_bounded_chunks(demand, rows, bound):
+@pytest.mark.parametrize("bound", [2, 40, 10**9])
+def test_user_trainer_gives_one_model_whatever_the_bound(demand, rows, bound, monkeypatch):
+    monkeypatch.setattr(user_models, "STATES_PER_MERGE", 3)
     data = demand.where("NOT holdout").select("region", "sku", "demand", "row_no")
-    fitted = user_models.fit_groups(data, lambda g: str(int(g["demand"].sum())).encode(), ["row_no"], rows_per_chunk=bound)
-    got = pd.DataFrame([r.asDict() for r in fitted.collect()])
-    got["total"] = got.model_blob_bytes.map(lambda b: int(bytes(b)))
-    want = rows[~rows.holdout].groupby(["region", "sku"]).demand.agg(["sum", "count"])
-    assert (got.groupby(["region", "sku"]).total.sum() == want["sum"]).all()
-    assert (got.groupby(["region", "sku"]).n_rows.sum() == want["count"]).all()
-    assert got.n_rows.max() <= max(1.6 * bound, 1) and not got.duplicated(["region", "sku", "chunk"]).any()
-    assert (got.n_chunks > 1).any() == (bound == 40)
+    fitted = user_models.fit_groups(data, model_queries.DEMAND_TRAINER, ["row_no"], rows_per_chunk=bound)
+    got = {(r["region"], r["sku"]): (r["n_rows"], *map(float, bytes(r["model_blob_bytes"]).split(b";"))) for r in fitted.collect()}
+    groups = rows[~rows.holdout].groupby(["region", "sku"]).demand
+    assert got == {k: (len(g), float(g.max()), float(g.median())) for k, g in groups}
+
+
+def test_a_trainer_that_cannot_merge_is_not_split(demand):
+    with pytest.raises(ValueError, match="merge"):
+        user_models.fit_groups(demand.select("region", "sku", "demand", "row_no"), lambda g: b"", ["row_no"], rows_per_chunk=5)
 
 
 def test_groups_cross_arrow_batches(spark, demand, rows):
@@ -205,6 +207,39 @@ def test_least_squares(demand, rows):
         assert [r[c] for c in ("intercept", "w_price", "w_day_of_week", "w_promotion", "w_inventory")] == pytest.approx(list(w), rel=1e-5, abs=1e-7)
 
 
+def test_least_squares_with_a_constant_feature_and_large_demand(spark):
+    rng = np.random.default_rng(3)
+    price, day, promo = rng.uniform(1, 9, 40), rng.integers(0, 7, 40), rng.integers(0, 2, 40)
+    y = 1e9 + 3 * price - 2 * day + promo + rng.normal(size=40)
+    data = [("r", "s", float(p), float(d), float(m), 240.0, float(v)) for p, d, m, v in zip(price, day, promo, y)]
+    df = spark.createDataFrame(data, "region string, sku string, price double, day_of_week double, promotion double, inventory double, demand double")
+    r = user_models.solve_least_squares(user_models.moments(df)).first()
+    w = np.linalg.lstsq(np.column_stack([np.ones(40), price, day, promo]), y, rcond=None)[0]
+    assert [r["intercept"], r["w_price"], r["w_day_of_week"], r["w_promotion"]] == pytest.approx(list(w), rel=1e-4)
+    assert r["w_inventory"] == 0
+
+
+def test_r2_of_large_demand(spark):
+    """Squares of a billion leave no digits for their difference; central moments do."""
+    y = [1_000_000_000 + v for v in (0, 3, 1, 7, 2, 9, 4, 4)]
+    data = [("r", 1, v, 2.0, k % 7, k >= 4) for k, v in enumerate(y)]
+    df = spark.createDataFrame(data, "region string, sku_n bigint, demand int, price double, day_of_week int, holdout boolean")
+    got = train.evaluate(df, train.coefficients(train.profile(df))).first()["m_mean"]
+    held, mean = np.array(y[4:], float), np.mean(y[:4])
+    assert got["r2"] == pytest.approx(1 - ((held - mean) ** 2).sum() / ((held - held.mean()) ** 2).sum(), abs=1e-6)
+
+
+def test_errors_that_cannot_be_compared(spark):
+    nan = float("nan")
+    t = spark.createDataFrame(
+        [("r", "s", "a", nan, 0.1, None), ("r", "s", "b", 3.0, nan, None), ("r", "s", "c", 3.0, 0.0999999, None), ("r", "u", "a", nan, nan, None)],
+        "region string, sku string, model_name string, rmse double, mape double, r2 double",
+    )
+    assert [(r["sku"], r["model_name"]) for r in questions.best_models(t).collect()] == [("s", "c")]
+    assert {r["sku"]: r["model_name"] for r in questions.default_models(t).collect()} == {"s": "c", "u": "a"}
+    assert questions.good_rows(t).collect()[0][:] == ("r", 1, 1)
+
+
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_reference_model_reaches_every_key(plan, limit):
     models = plan.where("sku = 'SKU-000000'").select("model_name", F.col("model_blob_bytes"))
@@ -216,7 +251,7 @@ def test_reference_model_reaches_every_key(plan, limit):
 
 def test_train_keys_in_chunks(plan):
     keys = plan.select("region", "sku", "model_name")
-    got = user_models.train_keys(keys, lambda r, s, m: f"{r}{s}{m}".encode(), chunk_rows=5)
+    got = user_models.train_keys(keys, lambda keys: (keys.region + keys.sku + keys.model_name).str.encode("utf-8"), chunk_rows=5)
     assert got.where(F.col("model_blob_bytes").cast("string") == F.concat("region", "sku", "model_name")).count() == keys.count()
 
 
@@ -227,8 +262,11 @@ def test_reference_models(demand, rows):
         train.reference_models(demand, "R1", "SKU-999999")
 
 
-def test_scores_with_copied_models(demand, plan):
+def test_scores_with_copied_models(spark, demand, plan):
+    """The models of hot keys alone are copied, and the scores stay."""
     chosen = questions.default_models(registration.telemetry(plan))
     requests = demand.where("holdout").select("region", "sku", "price", "day_of_week", "order_no")
-    plain, copied = (lookup.score(requests, lookup.serving(plan, chosen), copies=c) for c in (1, 16))
+    counts = requests.groupBy("region", "sku").agg(F.count("*").alias("rows"))
+    served = lookup.serving(plan, chosen)
+    plain, copied = lookup.score(requests, served), lookup.score(requests, served, counts, rows_per_task=7)
     assert plain.columns == copied.columns and plain.exceptAll(copied).count() == 0 and plain.count() == copied.count()
