@@ -117,7 +117,7 @@ def _split_zones(zoned: DataFrame, targets: DataFrame, groups: list[str], bound:
         if large.isEmpty():
             return zoned, targets
         wide = checkpointed(join_groups(zoned, large.select(*keys).distinct(), keys, "left_semi"))
-        cuts = wide.groupBy(*keys).agg(F.percentile_approx("__v", shares, F.lit(SKETCH_ACCURACY)).alias("__cuts"))
+        cuts = wide.groupBy(*keys).agg(F.percentile_approx("__v", shares, F.lit(max(SKETCH_ACCURACY, 10 * SUBZONES))).alias("__cuts"))
         finer = join_groups(wide, cuts, keys)
         # Numbers of a level lie above those of all levels before.
         finer_zone = (F.col("__zone").cast("bigint") + 1000) * SUBZONES + F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))
@@ -128,8 +128,8 @@ def _split_zones(zoned: DataFrame, targets: DataFrame, groups: list[str], bound:
         zones = zones.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         old = large.withColumnRenamed("__zone", "__old")
         found = join_groups(old, zones, [*groups, "__old"]).where("__pos >= __start and __pos < __start + __n")
-        # A zone that came through whole holds equal values, or nearly so: it counts as done.
-        left = F.when(F.col("__n") < F.col("__c"), F.col("__n")).otherwise(F.lit(0)).alias("__c")
+        # Cuts are right to a thousandth of the rows: a zone that keeps half of them holds mostly equal values and counts as done.
+        left = F.when(F.col("__n") * 2 < F.col("__c"), F.col("__n")).otherwise(F.lit(0)).alias("__c")
         found = found.select(*groups, "n", "__stat", "__zone", (F.col("__pos") - F.col("__start")).alias("__pos"), left)
         rest = targets.where(F.col("__c") <= bound)
         keep = join_groups(zoned, rest.select(*keys).distinct(), keys, "left_semi").select(*groups, "__v", "__zone")

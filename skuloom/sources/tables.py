@@ -106,23 +106,29 @@ def ensure_table(spark: SparkSession, name: str, ddl: str, partition_by: list[st
 
 
 def replace_rows(df: DataFrame, name: str) -> None:
-    """Swap all rows of a table by one overwriting insert, keeping its columns, comments and properties."""
-    df.select(*df.sparkSession.read.table(name).columns).write.insertInto(name, overwrite=True)
+    """Swap all rows of a table, keeping its columns, comments and properties; ``df`` may be computed from the table.
 
-
-def replace_from_itself(df: DataFrame, target: str, partition_by: list[str] | None = None) -> None:
-    """Overwrite ``target`` with a result computed from it: the whole result is staged before the old rows go.
-
-    A table is filled by an overwriting insert, so it exists at all times and keeps its definition.
+    The new rows are staged first, so a computation that fails leaves the table as it was; what is left is a copy.
     """
     spark = df.sparkSession
     staging = fresh_path(spark, "staging")
-    staged = materialize(df, staging)
+    staged = materialize(df.select(*spark.read.table(name).columns), staging)
+    staged.write.insertInto(name, overwrite=True)
+    _remove(spark, staging)
+
+
+def replace_from_itself(df: DataFrame, target: str, partition_by: list[str] | None = None) -> None:
+    """Overwrite ``target`` with a result computed from it: the whole result is staged before the old rows go."""
     if is_table_name(target):
-        replace_rows(staged, target)
-    else:
-        write_any(staged, target, partition_by)
-    path = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        return replace_rows(df, target)
+    spark = df.sparkSession
+    staging = fresh_path(spark, "staging")
+    write_any(materialize(df, staging), target, partition_by)
+    _remove(spark, staging)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -28,7 +28,7 @@ def register_batch(root: str):
 
     def register(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        source = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        source = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
         wanted = materialize(registry.nested_runs(batch).withColumn("prefix", F.substring("run_id", 1, 2)), fresh_path(spark, "wanted"))
         if tables.exists(spark, root):
             prefixes = [r[0] for r in wanted.select("prefix").distinct().collect()]  # 256 at most
