@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
+from skuloom.functions.ranks import SLICE_ROWS, sequence_numbers
 
 
 def _tags(**values: Column | str) -> Column:
@@ -232,6 +233,19 @@ def outcome(runs: DataFrame, status: DataFrame, strategy: str, seconds: float) -
     )
 
 
+def outcome_payload(summary: DataFrame, errors: DataFrame, latencies: DataFrame) -> DataFrame:
+    """``summary`` of :func:`outcome` with the first errors as a list and p50, p95 per lookup path.
+
+    ``errors`` has a few rows (see :func:`first_errors`), ``latencies`` one per path (path, p50, p95).
+    """
+    listed = errors.agg(F.sort_array(F.collect_list("error")).alias("error_list"))
+    paths = latencies.agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", F.struct("p50", "p95"))))).alias("lookup_ms")
+    )
+    parts = summary.unionByName(listed, allowMissingColumns=True).unionByName(paths, allowMissingColumns=True)
+    return parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
+
+
 def registered_against_expected(runs: DataFrame, expected: DataFrame) -> DataFrame:
     """Registered runs per (region, layer) next to ``expected`` (region, layer, expected_runs)."""
     found = runs.groupBy(F.col("tags")["region"].alias("region"), "layer").agg(F.count("*").alias("registered_runs"))
@@ -247,13 +261,21 @@ def duplicate_keys(plan: DataFrame) -> DataFrame:
     return plan.groupBy("region", "sku", "model_name").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def region_records(plan: DataFrame, region: str) -> DataFrame:
+    """One region's records with their ``position`` in (sku number, model) order, from 1: an order across all tasks."""
+    own = plan.where(F.col("region") == region).withColumn("sku_n", S.sku_number("sku"))
+    order = ["sku_n", "sku", "model_name"]
+    return sequence_numbers(own, ["region"], F.floor(F.col("sku_n") / F.lit(SLICE_ROWS)), order, "position").drop("sku_n")
+
+
 def export_region(plan: DataFrame, region: str, consume: Callable[[Iterator[Row]], None]) -> None:
-    """Hand one region's records to ``consume`` in (sku, model) order, range by range, on the executors.
+    """Hand one region's records to ``consume`` in order, range by range, on the executors.
 
-    Every range is one call with its records in order; ranges follow each other and no sku's model is in two of them.
+    Every call gets consecutive positions. Calls run at the same time: a consumer that needs one order over all of them goes by
+    ``position``, which starts a range exactly where the one before ends.
     """
-    ordered = plan.where(F.col("region") == region).repartitionByRange("sku", "model_name")
-    ordered.sortWithinPartitions("sku", "model_name").foreachPartition(consume)
+    ordered = region_records(plan, region).repartitionByRange("position")
+    ordered.sortWithinPartitions("position").foreachPartition(consume)
 
 
 def progress_marks(numbered: DataFrame, every: int) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
 from skuloom.functions.ranks import sequence_numbers
-from skuloom.operators import registry
+from skuloom.operators import latency, registry
 from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, run_id
 from skuloom.plans.store import ModelStore
+from skuloom.session import fresh_path
 from skuloom.sources import demand as D
+from skuloom.sources import tables
 
 REGION_ID = run_id("'region'", "region")
 SKU_ID = run_id("'sku'", "region", "sku")
@@ -287,12 +289,47 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     "registration_outcome",
     f"""WITH {TELEMETRY}
     SELECT 'nested' AS strategy, count(DISTINCT region || sku) + count(*) AS total_runs, count(DISTINCT region) AS total_artifacts,
+           (count(DISTINCT region || sku) + count(*)) / CAST(8.0 AS DOUBLE) AS throughput_runs_per_sec, CAST(8.0 AS DOUBLE) AS elapsed_seconds,
            CAST(0.0 AS DOUBLE) AS throughput_at_zero, count(*) - count(rmse) AS errors FROM telemetry""",
 )
 def registration_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = plan(spark, sf_dir)
-    summary = registry.outcome(registry.nested_runs(models), registry.run_status(models), "nested", 0.0)
-    return summary.withColumnRenamed("throughput_runs_per_sec", "throughput_at_zero").drop("elapsed_seconds")
+    summary = registry.outcome(registry.nested_runs(models), registry.run_status(models), "nested", 8.0)
+    return summary.withColumn("throughput_at_zero", S.throughput(F.col("total_runs"), F.lit(0.0)))
+
+
+@query(
+    "stored_outcome",
+    f"""WITH {TELEMETRY},
+    errors AS (SELECT region || ': no holdout rows for ' || sku AS error FROM telemetry WHERE rmse IS NULL ORDER BY region, sku, model_name LIMIT 5),
+    timed AS (SELECT event_type AS path, median(value) AS p50,
+      list_sort(list(value))[CAST(least(count(value) - 1, floor(0.95 * count(value))) AS BIGINT) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type)
+    SELECT 'nested' AS strategy, (SELECT count(*) - count(rmse) FROM telemetry) AS errors,
+           (SELECT array_to_string(list_sort(list(error)), ';') FROM errors) AS error_list, path, {r('p50')} AS p50, {r('p95')} AS p95 FROM timed""",
+)
+def stored_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registration's outcome with its first errors and lookup times, appended as JSON and read back."""
+    models = plan(spark, sf_dir)
+    status = registry.run_status(models)
+    summary = registry.outcome(registry.nested_runs(models), status, "nested", 8.0)
+    timed = latency.path_stats(D.table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("value").alias("ms")), ["path"], "ms")
+    full = registry.outcome_payload(summary, registry.first_errors(status), timed.select("path", F.col("p50_ms").alias("p50"), F.col("p95_ms").alias("p95")))
+    target = fresh_path(spark, "outcomes")
+    tables.append_outcome(full, target)
+    read = spark.read.parquet(target).select(F.from_json("payload", full.schema).alias("o")).select("o.*")
+    rows = read.select("strategy", "errors", F.array_join("error_list", ";").alias("error_list"), F.explode("lookup_ms").alias("path", "t"))
+    return rows.select("strategy", "errors", "error_list", "path", near("t.p50").alias("p50"), near("t.p95").alias("p95"))
+
+
+@query(
+    "region_records",
+    f"""WITH {COEFS}
+    SELECT printf('SKU-%06d', sku_n) AS sku, model_name, row_number() OVER (ORDER BY sku_n, model_name) AS position
+    FROM coef CROSS JOIN (SELECT unnest(['mean', 'price_ols', 'weekday_mean']) AS model_name) WHERE region = 'ASIA'""",
+)
+def region_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One region's records in the order in which a consumer gets them."""
+    return registry.region_records(plan(spark, sf_dir), "ASIA").select("sku", "model_name", "position")
 
 
 @query(
