@@ -16,8 +16,9 @@ from skuloom.operators import bundle, latency, lookup, questions, registry, trai
 from skuloom.plans import model_queries, registration, source_queries, stream_queries
 from skuloom.session import fresh_path, materialize
 from skuloom.sources import demand as D
-from skuloom.sources import generate as G
+from skuloom.sources import scaling as G
 from skuloom.sources import tables
+from skuloom.streaming import register
 
 
 def run(df: DataFrame) -> None:
@@ -67,9 +68,8 @@ def main() -> None:
 
     schema = source_queries.schema_for(spark, sf_dir)
     timed("telemetry_write", lambda: registration.write_telemetry(plan, f"{schema}.bench_telemetry"))
-    timed("bundle_write", lambda: bundle.write_bundle(plan, path + "/bundle", buckets, bundle.stored_bytes_per_row(plan)))
-    timed("footer_index", lambda: bundle.row_group_index(spark, path + "/bundle").write.parquet(path + "/index"))
-    index = spark.read.parquet(path + "/index")
+    timed("bundle_write", lambda: bundle.write_bundle(plan, path + "/bundle", buckets))
+    timed("bundle_audit", lambda: run(bundle.audit(spark, path + "/bundle", plan, buckets)))
     models = bundle.read_bundle(spark, path + "/bundle")
     sample = [r["sku"] for r in lookup.sample_skus(plan.where("region = 'ASIA'"), 20, 42).collect()]
 
@@ -82,11 +82,17 @@ def main() -> None:
         return sorted(taken)
 
     cold = timed("lookup_20_cold", lambda: look_up(sample))
-    warm = timed("lookup_20_warm", lambda: look_up([s for s in sample[:2] for _ in range(10)]))
-    timed("lookup_batch_index", lambda: run(lookup.fetch(lookup.locate(requests, index, buckets))))
+    timed("lookup_batch", lambda: run(lookup.lookup_many(models, requests, buckets)))
+    timed("score_from_bundle", lambda: run(lookup.score_from_bundle(requests, models, buckets)))
     served = timed("serving_table", lambda: materialize(lookup.serving(plan, questions.default_models(telemetry)), path + "/served"))
     timed("score_requests", lambda: run(lookup.score(requests, served)))
-    timed("score_stream", lambda: stream_queries.scored_files(spark, sf_dir, served))
+    counts = materialize(requests.groupBy("region", "sku").agg(F.count("*").alias("rows")), path + "/counts")
+    timed("score_stream", lambda: stream_queries.scored_files(spark, sf_dir, served, counts))
+    timed("score_opaque", lambda: run(model_queries.score_requests_opaque(spark, sf_dir)))
+    training = rows.where(~F.col("holdout")).select("region", "sku", "demand", "order_no", "row_no")
+    timed("fit_groups", lambda: run(user_models.fit_groups(training, model_queries.DEMAND_TRAINER, ["row_no", "order_no"])))
+    arriving = spark.readStream.schema(plan.schema).option("maxFilesPerTrigger", 8).parquet(path + "/plan")
+    timed("register_stream", lambda: register.register_stream(arriving, path + "/runs", path + "/runs_at").awaitTermination())
     timed("question_average_rmse", lambda: run(questions.average_rmse(telemetry)))
     timed("question_best_models", lambda: run(questions.best_models(telemetry)))
     timed("question_top_rmse", lambda: run(questions.highest_rmse(telemetry, "ASIA")))
@@ -96,9 +102,7 @@ def main() -> None:
     timed("run_metrics", lambda: run(registry.run_metrics(plan, collapsed=True)))
     events = D.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("phase"), F.col("value").alias("ms"))
     timed("latency_batches", lambda: run(latency.batch_stats(events, ["phase"], "event_id", ["ms"])))
-    pairs = source_queries.part_pairs(spark, sf_dir)
-    timed("generate_demand", lambda: run(G.synthetic_demand(pairs, 10)))
-    timed("expand_plan", lambda: run(G.expand(plan, 10**6, 2 * 10**6)))
+    timed("expand_plan", lambda: run(G.further_copies(plan, 10**6, 2 * 10**6)))
     timed("least_squares", lambda: run(user_models.solve_least_squares(user_models.moments(train.features(D.demand(spark, sf_dir))))))
 
     registration_seconds = seconds["telemetry_write"] + seconds["bundle_write"] + seconds["register_nested"]
@@ -117,11 +121,9 @@ def main() -> None:
                 "requests": n_requests,
                 "lookup_cold_p50_ms": round(cold[10], 1),
                 "lookup_cold_p95_ms": round(cold[19], 1),
-                "lookup_warm_p50_ms": round(warm[10], 1),
                 "bundle_buckets": buckets,
-                "bundle_files": index.select("file").distinct().count(),
-                "bundle_row_groups": index.count(),
-                "batch_lookups_per_sec": round(n_keys / seconds["lookup_batch_index"]),
+                "bundle_files": bundle.bundle_files(spark, path + "/bundle").count(),
+                "batch_lookups_per_sec": round(n_keys / seconds["lookup_batch"]),
                 "requests_scored_per_sec": round(n_requests / seconds["score_requests"]),
             }
         )

@@ -1,9 +0,0 @@
-from skuloom.functions.ranges import range_join
-from skuloom.functions.ranks import batch_numbers, nearest_rank, order_statistics, quantiles, running_totals, sequence_numbers
-from skuloom.functions.skew import broadcast_if, chunked, skew_join
-from skuloom.functions.skus import bucket_count, sku_bucket, sku_id, sku_number, sku_shard
-
-__all__ = [
-    "batch_numbers", "broadcast_if", "bucket_count", "chunked", "nearest_rank", "order_statistics", "quantiles", "range_join",
-    "running_totals", "sequence_numbers", "skew_join", "sku_bucket", "sku_id", "sku_number", "sku_shard",
-]

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from skuloom.functions.skus import product_id, sku_id
 
-FEATURES = ["price", "day_of_week", "promotion", "inventory"]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
