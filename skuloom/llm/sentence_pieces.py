@@ -7,7 +7,8 @@ BPE encodings are closed under substrings, so an edge extends the best path of i
 the text of the two pieces alone, leaves them apart. That test replays the merges of both pieces against those across.
 
 Defined cases: null and empty texts have no ids and decode to empty; characters outside the vocabulary become byte pieces;
-equal rows get equal ids; decoding gives every text back as it was (null as empty). All columns stay.
+equal rows get equal ids; decoding gives every text back as it was (null as empty), but for the character U+2581, which the model
+uses for the space and which comes back as one. All columns stay.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from skuloom.llm.suffixes import search, suffix_array
-from skuloom.llm.text import distinct_spans, flat, pieces, positions
+from skuloom.llm.text import distinct_spans, flat, pieces, positions, release
 
-PIECE_BYTES, CACHE_CHUNKS, INDEX_CHARS = 8 << 20, 1_000_000, 1 << 20
+PIECE_BYTES, CACHE_CHUNKS, INDEX_CHARS = 2 << 20, 150_000, 1 << 17
+DECODE_IDS = 1 << 18
 SPACE, MARK = "▁", "▁".encode()
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 GAP = 0x110000  # between chunks, no character
@@ -51,11 +53,14 @@ class Vocabulary:
         for i, p in enumerate(model.pieces):
             if p.type == BYTE:
                 self.byte_id[int(p.piece[3:5], 16)] = i
-        self.spelled = [
+        spelled = [
             bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() if p.type == NORMAL
             else " ⁇ ".encode() if p.type == UNKNOWN else b""
             for p in model.pieces
         ]
+        self.spelled_data = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelled_size = np.array([len(x) for x in spelled], np.int64)
+        self.spelled_at = np.cumsum(self.spelled_size) - self.spelled_size
         # Equal scores are equal ranks; larger is merged first.
         steps = {s: r for r, s in enumerate(sorted({s for s, _ in score.values()}))}
         texts = list(score) + sorted({c for p in score for c in p} - set(score))
@@ -253,9 +258,6 @@ def chunks(data: np.ndarray, offsets: np.ndarray, lines: bool) -> tuple[np.ndarr
     return data, offsets, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def _encode_texts(coder: ChunkEncoder, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, ids before each text) for runs of texts."""
     data, offsets = flat(texts)
@@ -271,48 +273,79 @@ def _encode_texts(coder: ChunkEncoder, texts: pa.Array) -> Iterator[tuple[np.nda
         yield coder.pool[positions(coder.at[entry], sizes)], np.concatenate([[0], np.cumsum(sizes)])[before]
 
 
+def _decode_ids(vocab: Vocabulary, ids: np.ndarray, before: np.ndarray) -> Iterator[str]:
+    """Texts of consecutive lists of ids: pieces are joined, byte pieces read as UTF-8, the space before a text goes."""
+    for a, b in pieces(before, DECODE_IDS):
+        part = ids[before[a] : before[b]]
+        sizes = vocab.spelled_size[part]
+        raw = vocab.spelled_data[positions(vocab.spelled_at[part], sizes)].tobytes()
+        cut = np.concatenate([[0], np.cumsum(sizes)])[before[a : b + 1] - before[a]].tolist()
+        for s, e in zip(cut, cut[1:], strict=False):
+            yield raw[s + (raw[s : s + 1] == b" ") : e].decode("utf-8", "replace")
+
+
 def shared_vocabulary(spark: SparkSession, name: str) -> Broadcast:
+    """Bounded by the model file."""
     return spark.sparkContext.broadcast(vocabulary(name))
 
 
-def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Documents with the ids of their text as column ``ids``; ``name`` is a public SentencePiece model."""
+def _listed(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    out, cuts, total = [], [np.zeros(1, np.int64)], 0
+    for own, before in runs:
+        out.append(pa.array(own, pa.int32()))
+        cuts.append(before[1:] + total)
+        total += len(own)
+    values = pa.concat_arrays(out) if out else pa.array([], pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(cuts), pa.int32()), values)
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", checked: str | None = None) -> DataFrame:
+    """Documents with the ids of their text as column ``ids``; ``name`` is a public SentencePiece model.
+
+    ``checked`` names a column that says whether the ids, decoded again in the same task, give the text.
+    """
     shared = shared_vocabulary(docs.sparkSession, name)
 
-    @F.arrow_udf("array<int>")
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _encoders.get(name) or _encoders.setdefault(name, ChunkEncoder(shared.value))
+    def own_coder() -> ChunkEncoder:
+        return _encoders.get(name) or _encoders.setdefault(name, ChunkEncoder(shared.value))
+
+    if checked is None:
+
+        @F.arrow_udf("array<int>")
+        def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                yield _listed(_encode_texts(own_coder(), texts))
+                release()
+
+        return docs.withColumn(ids, encoded(F.col(text)))
+
+    @F.arrow_udf("struct<ids:array<int>,same:boolean>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out, cuts, total = [], [np.zeros(1, np.int64)], 0
-            for own, before in _encode_texts(coder, texts):
-                out.append(own)
-                cuts.append(before[1:] + total)
-                total += len(own)
-            values = np.concatenate(out) if out else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(cuts), pa.int32()), pa.array(values, pa.int32()))
+            lists, same = _listed(_encode_texts(own_coder(), texts)), []
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+            for t, back in zip(texts, _decode_ids(shared.value, values, at), strict=True):
+                same.append(back == (t.as_py() or ""))
+            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "same"])
+            del lists, values
+            release()
 
-    return docs.withColumn(ids, encoded(F.col(text)))
+    found = F.col("__encoded")
+    return docs.withColumn("__encoded", both(F.col(text))).withColumns({ids: found["ids"], checked: found["same"]}).drop("__encoded")
 
 
 def decoded(spark: SparkSession, ids: Column, name: str) -> Column:
-    """Text of an array of ids: pieces are joined, byte pieces read as UTF-8, the space before the text goes."""
+    """Text of an array of ids; null is empty."""
     shared = shared_vocabulary(spark, name)
 
     @F.arrow_udf("string")
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spelled = shared.value.spelled
-        data = np.frombuffer(b"".join(spelled), np.uint8)
-        sizes = np.array([len(s) for s in spelled], np.int64)
-        place = np.cumsum(sizes) - sizes
         for lists in batches:
-            own, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0))])
-            out = []
-            for a, b in pieces(at, PIECE_BYTES // 4):
-                part = own[at[a] : at[b]]
-                raw = data[positions(place[part], sizes[part])].tobytes()
-                cut = np.concatenate([[0], np.cumsum(sizes[part])])[at[a : b + 1] - at[a]].tolist()
-                for s, e in zip(cut, cut[1:], strict=False):
-                    out.append(raw[s + (raw[s : s + 1] == b" ") : e].decode("utf-8", "replace"))
-            yield pa.array(out, pa.string())
+            before = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            yield pa.array(_decode_ids(shared.value, values, before.astype(np.int64)), pa.string())
 
     return joined(ids)

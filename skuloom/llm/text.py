@@ -6,6 +6,7 @@ bytes only, and no byte of a longer UTF-8 character is below 0x80, so bytes can
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -30,6 +31,14 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+def release() -> None:
+    """Give freed memory back to the system between batches, where the C library can: executors are shared."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets) of an Arrow string array; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -111,11 +120,13 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     codes, uniques = pd.factorize(span_hashes(data, starts, ends))
     first = np.empty(len(uniques), np.int64)
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    sizes, of = ends - starts, first[codes]
-    same = bool((sizes == sizes[of]).all())
-    if same and len(codes):
-        own = positions(starts, sizes)
-        same = bool((data[own] == data[own + np.repeat(starts[of] - starts, sizes)]).all())
+    sizes = ends - starts
+    same = True
+    for k in range(0, len(codes), 1 << 16):
+        own, of = slice(k, k + (1 << 16)), first[codes[k : k + (1 << 16)]]
+        at = positions(starts[own], sizes[own])
+        same &= bool((sizes[own] == sizes[of]).all())
+        same = same and bool((data[at] == data[at + np.repeat(starts[of] - starts[own], sizes[own])]).all())
     if not same:  # two texts share a hash: compare the texts themselves
         codes, uniques = pd.factorize(np.array([data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], object))
         first = np.empty(len(uniques), np.int64)

@@ -42,8 +42,10 @@ def test_round_trip(spark, edge, nothing, library):
     rows = S.encode(edge, NAME).withColumn("back", S.decoded(spark, F.col("ids"), NAME)).collect()
     assert len(rows) == len(EDGE)
     for r in rows:
-        assert r.back == (r.text or "") and r.ids == library.encode(r.text or "")
-    assert S.encode(nothing, NAME).collect() == []
+        assert r.back == (r.text or "").replace("▁", " ") and r.ids == library.encode(r.text or "")
+    for r in S.encode(edge, NAME, checked="same").collect():
+        assert r.same == ("▁" not in (r.text or "")) and r.ids == library.encode(r.text or "")
+    assert S.encode(nothing, NAME).collect() == [] and S.encode(nothing, NAME, checked="same").collect() == []
     docs = S.encode(spark.read.parquet(f"{SF}/documents.parquet"), NAME)
     for r in docs.select("text", "ids").collect():
         assert r.ids == library.encode(r.text)
