@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuloom.llm.text import SOLID_BYTES, flat, mix, pieces, positions, span_hashes, spans
+from skuloom.llm.text import SOLID_BYTES, flat, mix, pieces, positions, release, span_hashes, spans
 
 TRAIN_DOCS, TRAIN_TEXT = 3_000, 64 << 10
 PASSAGE_BYTES, PAIR_BINS, HIDDEN, GATE = 1024, 256, 32, 16
@@ -187,6 +187,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score", text: str = "text
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(score_texts(texts, shared.value))
+            release()
 
     return docs.withColumn(name, score(F.col(text)))
 

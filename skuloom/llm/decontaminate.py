@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuloom.llm.suffixes import search, suffix_array
-from skuloom.llm.text import LOWER, WORD_BYTES, flat, pieces, positions, span_hashes, spans
+from skuloom.llm.text import LOWER, WORD_BYTES, flat, pieces, positions, release, span_hashes, spans
 
 WINDOW = 13
 #: Benchmark bytes broadcast at once; a larger benchmark is searched in several such blocks.
@@ -141,6 +141,7 @@ def _finder(block: Broadcast):
                 for n, own in zip(counts.tolist(), found, strict=True)
             ]
             yield pa.array(rows, _FOUND)
+            release()
 
     return find
 

@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skuloom.llm.bpe import encoder
+from skuloom.llm.text import release
 
 #: The dictionary is fitted on about SAMPLE_DOCS documents, those with the smallest key hashes, if they have SAMPLE_TEXT bytes at most.
 SAMPLE_DOCS, SAMPLE_TEXT = 1_500, 32 << 10
@@ -101,6 +102,7 @@ def write_store(docs: DataFrame, path: str, name: str, key: str = "doc_id", text
                     yield flush()
                     before += sum(sizes)
                     keys, sizes, frames, held = [], [], [], 0
+                    release()
         if keys:
             yield flush()
 
