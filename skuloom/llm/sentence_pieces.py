@@ -148,6 +148,11 @@ class ChunkEncoder:
         self.known: dict[bytes, int] = {}
         self.at, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
+    def forget(self) -> None:
+        """Keep no chunks beyond a task: its process goes on to serve other operators."""
+        self._clear()
+        release()
+
     def _apart(self, keys: np.ndarray) -> np.ndarray:
         """Verdicts by key; each pair of symbols is replayed once."""
         at = np.searchsorted(self.pairs, keys)
@@ -319,6 +324,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", che
             for texts in batches:
                 yield _listed(_encode_texts(own_coder(), texts))
                 release()
+            own_coder().forget()
 
         return docs.withColumn(ids, encoded(F.col(text)))
 
@@ -332,6 +338,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", che
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "same"])
             del lists, values
             release()
+        own_coder().forget()
 
     found = F.col("__encoded")
     return docs.withColumn("__encoded", both(F.col(text))).withColumns({ids: found["ids"], checked: found["same"]}).drop("__encoded")
