@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuloom.llm.bpe import BatchEncoder, encoder
-from skuloom.llm.text import flat, pieces, pre_tokens
+from skuloom.llm.text import flat, pieces, pre_tokens, release
 
 LEAF_TOKENS, CONTEXT = 64, 2
 TREE = "struct<leaf_bytes:array<int>,leaf_tokens:array<int>>"
@@ -149,6 +149,7 @@ def counted(docs: DataFrame, name: str, text: str = "text", tree: str = "tree")
                 found.extend(_leaves(encoder(name), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
             lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.StructArray.from_arrays(lists, ["leaf_bytes", "leaf_tokens"])
+            release()
 
     return docs.withColumn(tree, build(F.col(text)))
 

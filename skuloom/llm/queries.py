@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skuloom.functions.ranks import join_groups
 from skuloom.llm import attention_mil, collinear_chains, decontaminate, edit_counts, lsh_forest, rp_forest, sentence_pieces, slots, tag_paths, token_store
-from skuloom.session import fresh_path
+from skuloom.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,16 +148,26 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after its personal data is replaced by marks."""
-    docs = edit_counts.redactions(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    trees = edit_counts.counted(docs, BYTE_BPE).withColumn("n_tokens", edit_counts.total("tree"))
-    after = edit_counts.applied(trees, BYTE_BPE)
-    return after.select(
-        "doc_id",
-        "n_tokens",
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    key = ["doc_id", "text_crc32"]  # rows that agree in both are one document
+    trees = edit_counts.counted(docs, BYTE_BPE).select(*key, "tree")
+    trees = materialize(trees, fresh_path(spark, "trees"))
+    changed = edit_counts.redactions(docs).where(F.size("edits") > 0)
+    found = edit_counts.applied(join_groups(changed, trees.dropDuplicates(key), key), BYTE_BPE).select(
+        *key,
         F.size("edits").cast("bigint").alias("n_edits"),
-        edit_counts.total("tree").alias("n_tokens_after"),
+        edit_counts.total("tree").alias("n_after"),
         "reencoded_bytes",
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.crc32(F.col("text").cast("binary")).alias("crc_after"),
+    )
+    return join_groups(trees, found.dropDuplicates(key), key, "left").select(
+        "doc_id",
+        edit_counts.total("tree").alias("n_tokens"),
+        F.coalesce("n_edits", F.lit(0).cast("bigint")).alias("n_edits"),
+        F.coalesce("n_after", edit_counts.total("tree")).alias("n_tokens_after"),
+        F.coalesce("reencoded_bytes", F.lit(0).cast("bigint")).alias("reencoded_bytes"),
+        F.coalesce("crc_after", "text_crc32").alias("text_crc32"),
     )
 
 
