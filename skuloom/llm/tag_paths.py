@@ -48,19 +48,22 @@ CONTAINER_SHARE, MENU_RATIO, MENU_NODES = 0.9, 0.1, 3
 SMOOTHING = [math.exp(-d * d / 2) for d in range(3)]
 
 
+Path = tuple[tuple[str, int], ...]
+
+
 class Node:
-    """A block of text: its path (with a number for each container element), text and characters in links."""
+    """A block of text: its path (of steps, each with a number if it is a container element, else 0), text and characters in links."""
 
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
+    def __init__(self, path: Path, text: str, linked: int) -> None:
         self.path, self.text, self.linked = path, text, linked
 
 
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool]] = []  # tag, path step, left out
+        self.open: list[tuple[str, tuple[str, int], bool]] = []  # tag, path step, left out
         self.nodes: list[Node] = []
         self.parts: list[str] = []
         self.links = self.linked = self.containers = 0
@@ -107,7 +110,7 @@ class _Reader(HTMLParser):
         if tag in INLINE:
             self.links += tag == "a"
             if out:  # left out without ending the block around it
-                self.open.append((tag, tag, True))
+                self.open.append((tag, (tag, 0), True))
             return
         if tag in VOID:
             self._flush()
@@ -120,8 +123,7 @@ class _Reader(HTMLParser):
         step = f"{tag}.{given['class']}" if given.get("class") else tag
         if tag in CONTAINERS:
             self.containers += 1
-            step = f"{step}[{self.containers}]"
-        self.open.append((tag, step, out))
+        self.open.append((tag, (step, self.containers if tag in CONTAINERS else 0), out))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash has no meaning in HTML
@@ -157,7 +159,7 @@ def nodes_of(html: str) -> list[Node]:
     return reader.nodes
 
 
-def _ratios(nodes: list[Node]) -> dict[tuple[str, ...], float]:
+def _ratios(nodes: list[Node]) -> dict[Path, float]:
     """Characters per node times punctuation per node, for each path."""
     chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for n in nodes:
@@ -181,14 +183,14 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
         return []
     ratio = _ratios(nodes)
     weight = [v * len(n.text) for v, n in zip(_smoothed([ratio[n.path] for n in nodes]), nodes, strict=True)]
-    fused: dict[tuple[str, ...], float] = defaultdict(float)
+    fused: dict[Path, float] = defaultdict(float)
     for n, w in zip(nodes, weight, strict=True):
         for k in range(1, len(n.path) + 1):
             fused[n.path[:k]] += w
     total = sum(weight)
-    named = [p for p in fused if "[" in p[-1]]
+    named = [p for p in fused if p[-1][1]]
     if named:  # the heaviest article or main element that is not inside another
-        outer = [p for p in named if not any(p[:k] in fused and "[" in p[k - 1] for k in range(1, len(p)))]
+        outer = [p for p in named if not any(p[:k] in fused and p[k - 1][1] for k in range(1, len(p)))]
         best = max(outer, key=lambda p: fused[p])
     else:
         best, leaf = (), {n.path for n in nodes}

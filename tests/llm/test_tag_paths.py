@@ -35,6 +35,17 @@ def test_small_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<div><p class="text-[18px]">A</p><p>B</p><p>C</p></div>', "A\n\nB\n\nC"),
+        ('<div class="w-[90%]"><p>around it</p><article><p>Long enough.</p></article><p>after it</p></div>', "Long enough."),
+    ],
+)
+def test_brackets_in_classes(page, text):
+    assert main_text(page) == text
+
+
 def test_query_against_the_article_element(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op9_tag_path_ratios"](spark, SF).collect():
