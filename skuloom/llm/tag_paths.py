@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 The text of a page hangs on root-to-leaf paths of block elements. Text length and punctuation are summed per path, the
-ratios are smoothed over neighbouring nodes in page order, fused along the paths into their containers, and a threshold
-chooses the container and the paths whose nodes are the article.
+ratios are smoothed over neighbouring nodes in page order and fused along the paths into their containers. Paths of links below a
+threshold are left out, and containers of them; all other blocks are kept. If a page has article or main elements, the text is
+that inside all of them, and only the threshold on paths counts.
 
 Defined cases: null and empty pages, and pages without any text, give an empty text; broken markup is read as browsers read it
 as far as block elements go; repeated pages give the same text; all columns of the pages stay.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,8 +44,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPES = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "blockquote"}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
-#: A container holds this share of the smoothed weight or more; a path below this fraction of the container's mean ratio whose text is all links is a menu.
-CONTAINER_SHARE, MENU_RATIO, MENU_NODES = 0.9, 0.1, 3
+#: A path or container below this fraction of the mean ratio whose text is all links is a menu.
+MENU_RATIO, MENU_NODES = 0.1, 3
 SMOOTHING = [math.exp(-d * d / 2) for d in range(3)]
 
 
@@ -177,35 +178,34 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
+def _menus(nodes: list[Node], weight: list[float], total: int, places: Callable[[Path], list[Path]]) -> set[Path]:
+    """The places of nodes, each with the fused weight of its nodes, that are all links and below the threshold."""
+    fused, linked, chars, count = defaultdict(float), defaultdict(int), defaultdict(int), defaultdict(int)
+    for n, w in zip(nodes, weight, strict=True):
+        for p in places(n.path):
+            fused[p] += w
+            linked[p] += n.linked
+            chars[p] += len(n.text)
+            count[p] += 1
+    mean = sum(weight) / total
+    return {p for p in count if count[p] >= MENU_NODES and linked[p] >= 0.9 * chars[p] and fused[p] < MENU_RATIO * mean * chars[p]}
+
+
 def content_nodes(nodes: list[Node]) -> list[Node]:
     """The nodes of the article, in page order."""
     if not nodes:
         return []
     ratio = _ratios(nodes)
     weight = [v * len(n.text) for v, n in zip(_smoothed([ratio[n.path] for n in nodes]), nodes, strict=True)]
-    fused: dict[Path, float] = defaultdict(float)
-    for n, w in zip(nodes, weight, strict=True):
-        for k in range(1, len(n.path) + 1):
-            fused[n.path[:k]] += w
-    total = sum(weight)
-    named = [p for p in fused if p[-1][1]]
-    if named:  # the heaviest article or main element that is not inside another
-        outer = [p for p in named if not any(p[:k] in fused and p[k - 1][1] for k in range(1, len(p)))]
-        best = max(outer, key=lambda p: fused[p])
-    else:
-        best, leaf = (), {n.path for n in nodes}
-        for p in sorted(fused, key=len):
-            if p not in leaf and p[: len(best)] == best and fused[p] >= CONTAINER_SHARE * total:
-                best = p
-    kept = [n for n in nodes if n.path[: len(best)] == best]
-    mean = sum(ratio[n.path] * len(n.text) for n in kept) / sum(len(n.text) for n in kept)
-    linked, chars, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for n in kept:
-        linked[n.path] += n.linked
-        chars[n.path] += len(n.text)
-        count[n.path] += 1
-    menus = {p for p in count if count[p] >= MENU_NODES and linked[p] >= 0.9 * chars[p] and ratio[p] < MENU_RATIO * mean}
-    return [n for n in kept if n.path not in menus]
+    # Article and main elements that are not inside another take the place of the page.
+    inside = [any(number for _, number in n.path) for n in nodes]
+    if any(inside):
+        nodes, weight = ([x for x, own in zip(of, inside, strict=True) if own] for of in (nodes, weight))
+    total = sum(len(n.text) for n in nodes)
+    paths = _menus(nodes, [ratio[n.path] * len(n.text) for n in nodes], total, lambda path: [path])
+    # Outside of such elements a menu may be a container of several paths.
+    within = set() if any(inside) else _menus(nodes, weight, total, lambda path: [path[:k] for k in range(1, len(path))])
+    return [n for n in nodes if n.path not in paths and not any(n.path[:k] in within for k in range(1, len(n.path)))]
 
 
 def main_text(html: str | None) -> str:

@@ -46,6 +46,26 @@ def test_brackets_in_classes(page, text):
     assert main_text(page) == text
 
 
+LONG = "A long paragraph, with marks; and more of it, said at length. " * 6
+PARTS = [f"{k} {LONG.strip()}" for k in range(10)]
+SECTION = "<div class=section>" + "".join(f"<p>{p}</p>" for p in PARTS) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        (f"<div class=content><h1>Title</h1><p>The lead.</p>{SECTION}</div>", ["Title", "The lead.", *PARTS]),
+        (f"<body>{SECTION}<ul><li>one</li><li>two</li></ul><div><blockquote>Said so</blockquote></div></body>", [*PARTS, "one", "two", "Said so"]),
+        (f"<div>{SECTION}</div><div class=second><h2>Second</h2><p>Short text.</p></div>", [*PARTS, "Second", "Short text."]),
+        (f"<article><h2>One</h2><p>Short.</p></article>{SECTION.replace('div', 'article')}<div>beside</div>", ["One", "Short.", *PARTS]),
+        (f"<div>{SECTION}<div class=l>" + "".join(f"<p><a href=x>go {k}</a></p>" for k in range(9)) + "</div></div>", PARTS),
+        (f"<nav><p>menu</p></nav><div>{SECTION}<p>End.</p></div><footer>foot</footer>", [*PARTS, "End."]),
+    ],
+)
+def test_blocks_beside_the_heaviest(page, blocks):
+    assert main_text(page) == "\n\n".join(blocks)
+
+
 def test_query_against_the_article_element(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op9_tag_path_ratios"](spark, SF).collect():
