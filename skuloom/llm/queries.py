@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.functions.ranks import join_groups
-from skuloom.llm import attention_mil, collinear_chains, decontaminate, edit_counts, lsh_forest, rp_forest, sentence_pieces, slots, tag_paths, token_store
+from skuloom.llm import attention_mil, collinear_chains, decontaminate, edit_counts, filter_folds, lsh_forest, repeats, rp_forest
+from skuloom.llm import sentence_pieces, slots, tag_paths, token_store
 from skuloom.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +184,83 @@ def op10_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"id": "doc_id", "other": "other_id", "begin": "begin_word", "size": "n_words"}
     names |= {"other_begin": "other_begin_word", "other_size": "other_n_words"}
     return found.withColumnsRenamed(names).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def op12_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("repetition")
+    rows = repeats.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        repeats.fails_base(m).alias("base_failed"),
+        (~repeats.fails_base(m) & ~repeats.repeats_too_much(m)).alias("kept"),
+    )
+
+
+ORACLES["op12_suffix_array_repetition"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, size, unnest(generate_series(1, len(w) - size + 1)) AS i,
+    unnest(list_transform(generate_series(1, len(w) - size + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS words
+  FROM docs, (SELECT unnest([3, 8]) AS size) WHERE len(w) >= size),
+twice AS (SELECT doc_id, size, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, size, words) > 1),
+covered AS (
+  SELECT doc_id, size, count(DISTINCT place) AS n FROM (SELECT doc_id, size, unnest(generate_series(i, i + size - 1)) AS place FROM twice)
+  GROUP BY doc_id, size),
+three AS (SELECT doc_id, n AS n3 FROM covered WHERE size = 3),
+eight AS (SELECT doc_id, n AS n8 FROM covered WHERE size = 8),
+long AS (
+  SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 200), lambda i: array_to_string(w[i:i + 200], ' '))) AS words
+  FROM docs JOIN eight USING (doc_id) WHERE n8 > 200),
+longest AS (SELECT DISTINCT doc_id, true AS over FROM long GROUP BY doc_id, words HAVING count(*) > 1),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n3, 0) AS BIGINT) AS n_repeat_words, coalesce(n8, 0) AS n8, coalesce(over, false) AS over
+  FROM docs LEFT JOIN three USING (doc_id) LEFT JOIN eight USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (100 * n8 > 30 * n_words OR over) AS kept
+FROM measured
+"""
+
+
+@query
+def op13_filter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_folds.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_folds"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM (
+    SELECT part, good, toxic, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask
+    FROM docs LEFT JOIN marks USING (doc_id))
+  GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders(o, bits, used) AS (
+  SELECT '', CAST([] AS INTEGER[]), 0 UNION ALL SELECT o || f, list_append(bits, bit), used + bit FROM orders, letters WHERE (used & bit) = 0),
+steps AS (
+  SELECT o AS filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS earlier, substr(o, step, 1) AS filter
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(o) = 5),
+counted AS (
+  SELECT part, filter_order, step, filter,
+    CAST(sum(CASE WHEN mask & (earlier + bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & earlier <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, filter)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM counted
+"""
