@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.functions.ranks import join_groups
-from skuloom.llm import attention_mil, collinear_chains, decontaminate, edit_counts, filter_folds, lsh_forest, repeats, rp_forest
-from skuloom.llm import sentence_pieces, slots, tag_paths, token_store
+from skuloom.llm import attention_mil, collinear_chains, decontaminate, edit_counts, filter_folds, lsh_forest, phrases, repeats
+from skuloom.llm import rp_forest, sentence_pieces, slots, tag_paths, token_store
 from skuloom.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,6 +186,43 @@ def op10_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed(names).withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def op11_misra_gries_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
+ORACLES["op11_misra_gries_phrases"] = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+runs AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, unnest(list_transform(generate_series(1, len(w) - size + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size)
+  GROUP BY lang, size, phrase HAVING count(*) >= 100),
+inner_runs AS (
+  SELECT DISTINCT lang, f, array_to_string(words[a:b], ' ') AS phrase FROM (
+    SELECT lang, f, size, string_split(phrase, ' ') AS words, unnest(generate_series(1, size - 1)) AS a FROM runs WHERE size > 2),
+    (SELECT unnest([2, 3, 4, 5]) AS b) WHERE b <= size AND b > a AND b - a + 1 < size),
+kept AS (
+  SELECT * FROM runs WHERE size > 1 AND NOT EXISTS (
+    SELECT 1 FROM inner_runs i WHERE i.lang = runs.lang AND i.phrase = runs.phrase AND 100 * i.f >= 100 * runs.f)),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') AS tail
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM kept)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score, k
+  FROM cuts JOIN runs x ON x.lang = cuts.lang AND x.phrase = head JOIN runs y ON y.lang = cuts.lang AND y.phrase = tail
+    JOIN totals ON totals.lang = cuts.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest QUALIFY rank <= 2000
+"""
+
+
 @query
 def op12_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("repetition")
