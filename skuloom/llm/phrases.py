@@ -153,18 +153,17 @@ def _numbers(planes: bytes) -> np.ndarray:
 
 
 def _block_rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """For every hash partition its mass, ahead of all blocks when sorted by kind, and the runs with their counts."""
+    """For every hash partition its mass, ahead of all blocks when sorted by kind, and the runs with their counts; one run at least."""
     keys, counts = _summed(keys, counts)
     bucket = (keys >> np.uint64(32)).astype(np.int32)
-    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     rows: list[tuple] = []
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(bucket)).tolist(), strict=True):
         own = (keys[a:b] & _LOW).astype(np.int64)
         rows.append((int(bucket[a]), 0, int(counts[a:b].sum()), None, None))
         rows.append((int(bucket[a]), 1, None, _planes(np.diff(own, prepend=0)), _planes(counts[a:b])))
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
 
 
 def _blocks(sizes: range, buckets: int, shared: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -173,7 +172,7 @@ def _blocks(sizes: range, buckets: int, shared: Broadcast | None) -> Callable[[I
         held: list[np.ndarray] = []
         for batch in batches:
             for words, groups in _chunked(batch):
-                held += [keys for _, _, keys in _runs(words, _salts(groups), sizes, buckets, bits)]
+                held += [keys for _, _, keys in _runs(words, _salts(groups), sizes, buckets, bits) if len(keys)]
                 if sum(map(len, held)) >= BLOCK_RUNS:
                     keys, held = np.concatenate(held), []
                     yield _block_rows(keys, np.ones(len(keys), np.int64))
