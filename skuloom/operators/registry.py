@@ -64,27 +64,43 @@ def collapsed_runs(plan: DataFrame, n_shards: int = 1) -> DataFrame:
     return region_runs(plan).unionByName(sku_runs(plan, n_shards))
 
 
-def nested_runs(plan: DataFrame) -> DataFrame:
-    """Region, sku and model runs. One grouping gives both lower levels; the regions need one column of another scan."""
+def _plain_sku_runs(keys: DataFrame) -> DataFrame:
     region, sku = F.col("region"), F.col("sku")
-    columns = ["run_id", "parent_id", "layer", "run_name", "experiment", "tags"]
+    return keys.select(
+        S.run_id("sku", region, sku).alias("run_id"),
+        S.run_id("region", region).alias("parent_id"),
+        F.lit("sku").alias("layer"),
+        S.sku_run_name(sku).alias("run_name"),
+        S.experiment_name(region).alias("experiment"),
+        _tags(layer="sku", region=region, sku=sku).alias("tags"),
+    )
 
-    def run(name: str, *values: Column) -> Column:
-        return F.struct(*[v.alias(c) for c, v in zip(columns, [*values[:2], F.lit(name), *values[2:]], strict=True)])
 
-    per_sku = plan.groupBy("region", "sku").agg(F.collect_set("model_name").alias("models"))
-    own = run(
-        "sku", S.run_id("sku", region, sku), S.run_id("region", region), S.sku_run_name(sku), S.experiment_name(region),
-        _tags(layer="sku", region=region, sku=sku),
-    )
-    below = F.transform(
-        "models",
-        lambda m: run(
-            "model", S.run_id("model", region, sku, m), S.run_id("sku", region, sku), S.model_run_name(sku, m),
-            S.experiment_name(region), _tags(layer="model", region=region, sku=sku, model_name=m),
+def nested_runs(plan: DataFrame) -> DataFrame:
+    """Region, sku and model runs. Model runs are a projection of the plan, which has one row per key (see
+    :func:`duplicate_keys`); the levels above group one and two of its columns."""
+    skus = _plain_sku_runs(plan.select("region", "sku").distinct())
+    return region_runs(plan).unionByName(skus).unionByName(model_runs(plan))
+
+
+def run_rows(plan: DataFrame) -> DataFrame:
+    """The runs of each plan row by itself, its region's and its sku's again and again: for streams, which drop those seen before."""
+    region, sku, model = F.col("region"), F.col("sku"), F.col("model_name")
+
+    def run(layer: str, run_id: Column, parent: Column, name: Column, tags: Column) -> Column:
+        values = {"run_id": run_id, "parent_id": parent, "layer": F.lit(layer), "run_name": name, "experiment": S.experiment_name(region), "tags": tags}
+        return F.struct(*[v.alias(c) for c, v in values.items()])
+
+    region_id, sku_id = S.run_id("region", region), S.run_id("sku", region, sku)
+    rows = F.array(
+        run("region", region_id, F.lit(None).cast("string"), S.region_run_name(region), _tags(layer="region", region=region)),
+        run("sku", sku_id, region_id, S.sku_run_name(sku), _tags(layer="sku", region=region, sku=sku)),
+        run(
+            "model", S.run_id("model", region, sku, model), sku_id, S.model_run_name(sku, model),
+            _tags(layer="model", region=region, sku=sku, model_name=model),
         ),
     )
-    return region_runs(plan).unionByName(per_sku.select(F.inline(F.concat(F.array(own), below))))
+    return plan.select(F.inline(rows))
 
 
 def endpoint_runs(

@@ -127,9 +127,19 @@ def replace_from_itself(df: DataFrame, target: str, partition_by: list[str] | No
     _remove(spark, staging)
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def _file_system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def path_exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _file_system(spark, folder)
+    return fs.exists(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
 
 
 def append_outcome(outcome: DataFrame, target: str) -> None:
