@@ -106,9 +106,13 @@ def run_rows(plan: DataFrame) -> DataFrame:
 def endpoint_runs(
     regions: DataFrame, n_endpoints: int, table_name: str, bundle_root: str, space_id: str = "", space_name: str = ""
 ) -> DataFrame:
-    """``n_endpoints`` deployable runs per region, tagged with where the telemetry and the models are."""
+    """``n_endpoints`` deployable runs per region, tagged with where the telemetry and the models are.
+
+    The models are in ``folder``, if ``regions`` has it, else in the region's directory under ``bundle_root``.
+    """
     region, index = F.col("region"), F.col("endpoint_index")
-    many = regions.select("region").withColumn(
+    folder = F.col("folder") if "folder" in regions.columns else F.concat(F.lit(bundle_root + "/region="), region)
+    many = regions.select("region", folder.alias("folder")).withColumn(
         "endpoint_index", F.explode(F.sequence(F.lit(0), F.lit(max(1, n_endpoints) - 1)))
     )
     name = S.endpoint_run_name(region, index)
@@ -123,7 +127,7 @@ def endpoint_runs(
             region=region,
             endpoint_index=index.cast("string"),
             demand_forecasting_table=table_name,
-            model_bundle_uri=F.concat(F.lit(bundle_root + "/region="), region),
+            model_bundle_uri=F.col("folder"),
             space_id=space_id,
             space_name=space_name,
         ).alias("tags"),
@@ -205,7 +209,7 @@ def not_registered(wanted: DataFrame, existing: DataFrame, key: str = "run_id")
 
 def run_status(plan: DataFrame) -> DataFrame:
     """Status of every model run: FINISHED when the model could be evaluated, otherwise FAILED with the reason."""
-    ok = F.col("metrics")["rmse"].isNotNull()
+    ok = F.try_element_at("metrics", F.lit("rmse")).isNotNull()
     return plan.select(
         "region",
         "sku",

@@ -5,16 +5,18 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.functions.skus import bucket_count
-from skuloom.operators import bundle, registry, train
+from skuloom.operators import lookup, publish, registry, train
 from skuloom.session import materialize
 from skuloom.sources import schema, tables
 
 BUCKETS_PROPERTY = "bucket_count"
 BUNDLE_PROPERTY = "model_bundle_uri"
+MANIFEST_PROPERTY = "model_bundle_manifest"
+ERRORS_LISTED = 5
 TELEMETRY_COMMENT = "One row per trained model: settings and holdout metrics. The table properties name the bundle that holds the models."
 
 
@@ -52,32 +54,80 @@ def write_telemetry(plan: DataFrame, name: str) -> None:
 class Registration:
     telemetry_table: str
     bundle_root: str
+    manifest: str
     buckets: int
     endpoints: DataFrame
     outcome: DataFrame
+    errors: DataFrame
+
+
+OUTCOME = (
+    "strategy string, total_runs bigint, total_artifacts bigint, elapsed_seconds double, throughput_runs_per_sec double, errors bigint, "
+    "models bigint, model_bytes bigint, error_list array<string>, lookup_ms map<string,struct<p50:double,p95:double>>"
+)
 
 
 def register(
-    plan: DataFrame, telemetry_table: str, bundle_root: str, n_endpoints: int = 3
+    plan: DataFrame, telemetry_table: str, bundle_root: str, n_endpoints: int = 3, outcomes: str | None = None, lookups: int = 0
 ) -> Registration:
-    """Table-backed registration of a stored run plan: one telemetry write, one bundle write, few endpoint runs.
+    """Table-backed registration of a stored run plan: one bundle write, one telemetry write, few endpoint runs.
 
-    All regions go through the same two jobs. The bucket count is kept with the telemetry table, so a
-    reader never has to guess the writer's.
+    All regions go through the same jobs; one that is unfit or fails becomes an error and keeps what it had before, in the
+    bundle and in the telemetry table. Both switch to their new rows at once: the bundle by its manifest, the table by its location. The
+    table's properties name the manifest and the bucket count, so a reader never has to guess the writer's.
+
+    Models and failures are counted while the telemetry is written. The outcome, with the first errors and the times of ``lookups`` cold
+    and as many warm lookups, is appended to ``outcomes`` if that is given.
     """
     spark = plan.sparkSession
     started = time.perf_counter()
-    write_telemetry(plan, telemetry_table)
+    tables.ensure_table(spark, telemetry_table, schema.TELEMETRY, ["region"], TELEMETRY_COMMENT)
     n_skus = plan.agg(F.count_distinct("sku")).first()[0]
     buckets = bucket_count(n_skus)
-    bundle.write_bundle(plan, bundle_root, buckets)
+    done = publish.publish(plan, bundle_root, buckets)
+    fresh = telemetry(plan.where(F.col("region").isin(done.regions)))
+    counted = Observation("telemetry")
+    fresh = fresh.observe(counted, F.count("*").alias("models"), F.count_if(F.col("rmse").isNull()).alias("failed"))
+    kept = spark.read.table(telemetry_table).where(~F.col("region").isin(done.regions))
+    rows = fresh.unionByName(kept) if done.regions else kept
+    tables.replace_rows(tables.spread_by(rows, "region"), telemetry_table)
+    counts = counted.get if done.regions else {"models": 0, "failed": 0}
     tables.set_property(spark, telemetry_table, BUCKETS_PROPERTY, str(buckets))
     tables.set_property(spark, telemetry_table, BUNDLE_PROPERTY, bundle_root)
-    endpoints = registry.endpoint_runs(plan.select("region").distinct(), n_endpoints, telemetry_table, bundle_root)
-    summary = registry.outcome(
-        endpoints.unionByName(registry.region_runs(plan)), registry.run_status(plan), "table", time.perf_counter() - started
+    tables.set_property(spark, telemetry_table, MANIFEST_PROPERTY, done.manifest)
+    held = publish.current(spark, bundle_root, done.manifest)
+    endpoints = registry.endpoint_runs(held.where(F.col("region").isin(done.regions)), n_endpoints, telemetry_table, bundle_root)
+    seconds = time.perf_counter() - started
+
+    n_runs, size = max(1, n_endpoints) * len(done.regions), held.where(F.col("region").isin(done.regions)).agg(F.sum("bytes")).first()[0]
+    stored = spark.read.table(telemetry_table).where(F.col("region").isin(done.regions))
+    first = registry.first_errors(registry.run_status(stored)) if counts["failed"] else None
+    said = [f"{r.region}: {r.error}" for r in done.errors.orderBy("region").collect()] + [r.error for r in (first.collect() if first else [])]
+    row = (
+        "table", n_runs, len(done.regions), seconds, n_runs / seconds if seconds else 0.0, counts["failed"], counts["models"], size or 0,
+        said[:ERRORS_LISTED], _lookup_times(spark, held, stored, bundle_root, done.manifest, lookups),
     )
-    return Registration(telemetry_table, bundle_root, buckets, endpoints, summary)
+    outcome = spark.createDataFrame([row], OUTCOME)
+    if outcomes:
+        tables.append_outcome(outcome, outcomes)
+    return Registration(telemetry_table, bundle_root, done.manifest, buckets, endpoints, outcome, done.errors)
+
+
+def _lookup_times(spark: SparkSession, held: DataFrame, stored: DataFrame, root: str, manifest: str, n: int) -> dict[str, tuple[float, float]]:
+    """Nearest-rank p50 and p95 in ms of looking up ``n`` keys for the first time and the first of them ``n`` times more."""
+    if not n:
+        return {}
+    buckets = {r["region"]: r["buckets"] for r in held.select("region", "buckets").collect()}
+    keys = stored.select("region", "sku").distinct().orderBy(F.xxhash64("region", "sku"), "region", "sku").limit(n).collect()
+    models = publish.models(spark, root, manifest)
+
+    def timed(region: str, sku: str) -> float:
+        began = time.perf_counter()
+        lookup.lookup_one(models, region, sku, buckets[region]).select("model_blob_bytes").collect()
+        return (time.perf_counter() - began) * 1000
+
+    times = {"cold": [timed(*k) for k in keys], "warm": [timed(*keys[0]) for _ in keys]}
+    return {path: tuple(sorted(ms)[min(len(ms) - 1, int(q * len(ms)))] for q in (0.5, 0.95)) for path, ms in times.items() if ms}
 
 
 def stored_buckets(spark: SparkSession, telemetry_table: str) -> int:
@@ -85,4 +135,6 @@ def stored_buckets(spark: SparkSession, telemetry_table: str) -> int:
 
 
 def stored_models(spark: SparkSession, telemetry_table: str) -> DataFrame:
-    return bundle.read_bundle(spark, tables.get_property(spark, telemetry_table, BUNDLE_PROPERTY))
+    """The models of a registration: the properties are read once, so later registrations do not change this DataFrame."""
+    root, manifest = (tables.get_property(spark, telemetry_table, p) for p in (BUNDLE_PROPERTY, MANIFEST_PROPERTY))
+    return publish.models(spark, root, manifest)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.session import fresh_path, materialize
+from skuloom.sources import snapshots
+from skuloom.sources.files import get_property, path_exists, quoted, remove
 
 
 def is_table_name(target: str) -> bool:
@@ -16,7 +18,11 @@ def is_table_name(target: str) -> bool:
 
 
 def read_any(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.table(target) if is_table_name(target) else spark.read.parquet(target)
+    if is_table_name(target):
+        return spark.read.table(target)
+    if not path_exists(spark, target):
+        snapshots.recover(spark, target)
+    return spark.read.parquet(target)
 
 
 def write_any(df: DataFrame, target: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -73,73 +79,44 @@ def create_schema(spark: SparkSession, name: str, location: str | None = None) -
 
 
 def comment_table(spark: SparkSession, name: str, text: str) -> None:
-    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"COMMENT ON TABLE {name} IS '{escaped}'")
+    spark.sql(f"COMMENT ON TABLE {name} IS '{quoted(text)}'")
 
 
 def comment_columns(spark: SparkSession, name: str, comments: dict[str, str]) -> None:
     for column, text in comments.items():
-        escaped = text.replace("\\", "\\\\").replace("'", "\\'")
-        spark.sql(f"ALTER TABLE {name} ALTER COLUMN {column} COMMENT '{escaped}'")
+        spark.sql(f"ALTER TABLE {name} ALTER COLUMN {column} COMMENT '{quoted(text)}'")
 
 
 def set_property(spark: SparkSession, name: str, key: str, value: str) -> None:
-    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{key}' = '{escaped}')")
-
-
-def get_property(spark: SparkSession, name: str, key: str) -> str | None:
-    if not spark.catalog.tableExists(name):
-        return None
-    hits = spark.sql(f"SHOW TBLPROPERTIES {name}").where(F.col("key") == key).select("value").head(1)
-    return hits[0][0] if hits else None
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{key}' = '{quoted(value)}')")
 
 
 def ensure_table(spark: SparkSession, name: str, ddl: str, partition_by: list[str], comment: str = "") -> bool:
-    """Create an empty table unless one of that name exists; an existing one is left as it is."""
-    if spark.catalog.tableExists(name):
-        return False
-    escaped = comment.replace("\\", "\\\\").replace("'", "\\'")
-    parts = ", ".join(partition_by)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet PARTITIONED BY ({parts}) COMMENT '{escaped}'")
-    return True
+    """Create an empty table, whose rows are replaced without a gap, unless one of that name exists; that is left as it is."""
+    return snapshots.create(spark, name, ddl, partition_by, comment)
 
 
 def replace_rows(df: DataFrame, name: str) -> None:
     """Swap all rows of a table, keeping its columns, comments and properties; ``df`` may be computed from the table.
 
-    The new rows are staged first, so a computation that fails leaves the table as it was; what is left is a copy.
+    A table made by :func:`ensure_table` switches to the new rows at once. Into any other one they are inserted from a staged copy: a
+    computation that fails leaves it as it was, readers may meet the insert half-way.
     """
     spark = df.sparkSession
+    if snapshots.is_snapshot(spark, name):
+        snapshots.replace(df, name)
+        return
     staging = fresh_path(spark, "staging")
     staged = materialize(df.select(*spark.read.table(name).columns), staging)
     staged.write.insertInto(name, overwrite=True)
-    _remove(spark, staging)
+    remove(spark, staging)
 
 
 def replace_from_itself(df: DataFrame, target: str, partition_by: list[str] | None = None) -> None:
-    """Overwrite ``target`` with a result computed from it: the whole result is staged before the old rows go."""
+    """Overwrite ``target`` with a result computed from it: the whole result is written before the old rows go."""
     if is_table_name(target):
         return replace_rows(df, target)
-    spark = df.sparkSession
-    staging = fresh_path(spark, "staging")
-    write_any(materialize(df, staging), target, partition_by)
-    _remove(spark, staging)
-
-
-def _file_system(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def path_exists(spark: SparkSession, folder: str) -> bool:
-    fs, path = _file_system(spark, folder)
-    return fs.exists(path)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    fs, path = _file_system(spark, folder)
-    fs.delete(path, True)
+    return snapshots.replace_folder(df, target, partition_by)
 
 
 def append_outcome(outcome: DataFrame, target: str) -> None:
