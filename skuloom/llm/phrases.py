@@ -36,6 +36,8 @@ NO_GROUP = "und"
 PARTITION_BYTES = 1 << 25
 #: Runs that a task sums up before it sends them.
 BLOCK_RUNS = 1 << 21
+#: Counts that a task holds before it sends them.
+HELD_ROWS = 1 << 20
 FILTER_BITS, FILTER_ROW = 1 << 27, 1 << 15
 
 _CODES = np.arange(256)
@@ -245,7 +247,7 @@ def _survivors(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def _bit_map(rows: DataFrame, sizes: range, buckets: int, threshold: int, shared: Broadcast | None) -> np.ndarray:
     """The survivors of the runs of these sizes. The driver gets at most 4,096 rows of 4 KB."""
-    blocks = rows.mapInArrow(_blocks(sizes, buckets, shared), BLOCKS).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    blocks = rows.mapInArrow(_blocks(sizes, buckets, shared), BLOCKS).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     spots = blocks.mapInArrow(_survivors(threshold), "spot bigint")
     row = F.floor(F.col("spot") / F.lit(FILTER_ROW)).cast("int").alias("row")
     maps = spots.groupBy(row).agg(F.bitmap_construct_agg(F.col("spot") % F.lit(FILTER_ROW)).alias("map"))
@@ -255,34 +257,68 @@ def _bit_map(rows: DataFrame, sizes: range, buckets: int, threshold: int, shared
     return bits
 
 
+def _summed_counts(held: list[pa.RecordBatch]) -> pa.Table:
+    keys = [c for c in held[0].schema.names if c != "n"]
+    found = pa.Table.from_batches(held).group_by(keys).aggregate([("n", "sum")])
+    return found.rename_columns([*keys, "n"]).select(held[0].schema.names).combine_chunks()
+
+
+def _packed(table: pa.Table) -> pa.RecordBatch:
+    """One row per hash partition: its counts as an Arrow stream."""
+    table = table.sort_by("bucket")
+    bucket = table["bucket"].to_numpy()
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    blocks = []
+    for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema.remove(0)) as out:
+            out.write_table(table.slice(a, b - a).drop_columns("bucket"))
+        blocks.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
+
 def _counted(shorter: Broadcast, longer: Broadcast, longest: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts by words, not hashes, of the runs in the bit maps; a run goes on only from one that is in its map itself."""
-    names = [f.split()[0] for f in COUNTED.split(", ")]
+    """Counts by words, not hashes, of the runs in the bit maps, packed by hash partition; a run goes on only from one in its map itself."""
+    names = ["bucket", *(f.split()[0] for f in COUNTED.split(", "))]
 
-    def rows(groups: pa.Array, phrases: pa.Array, size: int, n: np.ndarray) -> pa.RecordBatch:
-        columns = [groups, phrases, pa.array(np.full(len(n), size, np.int32)), pa.array(n.astype(np.int64))]
+    def rows(bucket: np.ndarray, groups: pa.Array, found: pa.Array, size: int, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(bucket.astype(np.int32)), groups, found, pa.array(np.full(len(n), size, np.int32)), pa.array(n.astype(np.int64))]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Counts of several chunks are added up before they leave the task.
+        held, n_held = [], 0
+        for found in of_chunks(batches):
+            held.append(found)
+            n_held += found.num_rows
+            if n_held >= HELD_ROWS:
+                summed = _summed_counts(held)
+                held, n_held = summed.to_batches(), summed.num_rows
+                if n_held >= HELD_ROWS // 2:
+                    yield _packed(summed)
+                    held, n_held = [], 0
+        if held:
+            yield _packed(_summed_counts(held))
+
+    def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, groups in _chunked(batch):
                 if not len(words.starts):
                     continue
                 own, n = np.unique(words.group, return_counts=True)
-                yield rows(groups.take(pa.array(own)), pa.array([""] * len(own)), 0, n)
+                yield rows(np.zeros(len(own)), groups.take(pa.array(own)), pa.array([""] * len(own)), 0, n)
                 first, codes = distinct_spans(words.data, words.starts, words.ends)
                 sizes = words.ends[first] - words.starts[first]
                 offsets = np.zeros(len(first) + 1, np.int64)
                 np.cumsum(sizes, out=offsets[1:])
                 letters = words.data[positions(words.starts[first], sizes)]
-                buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters)]
-                distinct = pa.StringArray.from_buffers(len(first), buffers[1], buffers[2])
+                distinct = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters))
                 classes, alive = words.group, None
                 for size, at, keys in _runs(words, _salts(groups), range(1, longest + 1), buckets, shorter.value):
                     hit = _hit(shorter.value if size <= 2 else longer.value, keys)
                     if alive is not None:
                         hit &= alive[at]
-                    at = at[hit]
+                    at, keys = at[hit], keys[hit]
                     if not len(at):
                         break
                     pair = classes[at].astype(np.int64) * len(first) + codes[at + size - 1]
@@ -291,13 +327,33 @@ def _counted(shorter: Broadcast, longer: Broadcast, longest: int, buckets: int)
                     classes[at], alive[at] = code, True
                     begin = at[place]
                     parts = [distinct.take(pa.array(codes[begin + k])) for k in range(size)]
-                    phrases = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-                    yield rows(groups.take(pa.array(words.group[begin])), phrases, size, n)
+                    found = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+                    yield rows(keys[place] >> np.uint64(32), groups.take(pa.array(words.group[begin])), found, size, n)
             release()
 
     return counted
 
 
+def _frequent(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the counts of a hash partition; every block of a partition is in one task."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held, kept = [], 0, 0
+        for batch in batches:
+            for block in batch.column("block"):
+                found = pa.ipc.open_stream(block.as_buffer()).read_all()
+                held += found.to_batches()
+                n_held += found.num_rows
+                if n_held >= max(HELD_ROWS, 2 * kept):
+                    held = _summed_counts(held).to_batches()
+                    n_held = kept = sum(b.num_rows for b in held)
+        if held:
+            total = _summed_counts(held)
+            yield from total.filter(pc.or_(pc.equal(total["size"], 0), pc.greater_equal(total["n"], threshold))).to_batches()
+
+    return frequent
+
+
 def frequent_runs(docs: DataFrame, text: str = "text", group: str = "lang", longest: int = LONGEST, threshold: int = THRESHOLD) -> DataFrame:
     """Exact counts of all runs of 1 to ``longest`` words that occur ``threshold`` times in their group: (grp, phrase, size, n).
 
@@ -309,9 +365,8 @@ def frequent_runs(docs: DataFrame, text: str = "text", group: str = "lang", long
     buckets = size // PARTITION_BYTES + 1
     shorter = spark.sparkContext.broadcast(_bit_map(rows, range(1, 3), buckets, threshold, None))
     longer = spark.sparkContext.broadcast(_bit_map(rows, range(3, longest + 1), buckets, threshold, shorter))
-    found = rows.mapInArrow(_counted(shorter, longer, longest, buckets), COUNTED)
-    found = found.groupBy("grp", "phrase", "size").agg(F.sum("n").alias("n")).where(f"size = 0 or n >= {threshold}")
-    found = materialize(found, fresh_path(spark, "runs"))
+    blocks = rows.mapInArrow(_counted(shorter, longer, longest, buckets), "bucket int, block binary").repartitionById(buckets, "bucket")
+    found = materialize(blocks.mapInArrow(_frequent(threshold), COUNTED), fresh_path(spark, "runs"))
     shorter.destroy()
     longer.destroy()
     return found
