@@ -102,7 +102,7 @@ def write_store(docs: DataFrame, path: str, name: str, key: str = "doc_id", text
                     yield flush()
                     before += sum(sizes)
                     keys, sizes, frames, held = [], [], [], 0
-                    release()
+            release()
         if keys:
             yield flush()
 
