@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.operators import bundle, lookup, questions, train
+from skuloom.operators import bundle, lookup, questions, shelf, train
 from skuloom.plans.catalog import COEFS, TELEMETRY, near, query, r
 from skuloom.plans.model_queries import SCORED, requests, scored_columns
 from skuloom.plans.store import ModelStore
@@ -131,3 +131,25 @@ def default_model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = ModelStore(spark, sf_dir).plan()
     return lookup.lookup_sample(plan.where(F.col("region") == "ASIA").select("sku"))
+
+
+@query(
+    "shelf_lookup",
+    f"""WITH {TELEMETRY},
+    days AS (SELECT region, sku_n, {', '.join(f'max(day_mean) FILTER (day_of_week = {d}) AS d{d}' for d in range(7))} FROM weekday GROUP BY region, sku_n),
+    asked AS (SELECT DISTINCT region, sku_n FROM demand WHERE holdout)
+    SELECT region, sku, model_name, {r('t.mean')} AS mean, CASE WHEN model_name = 'price_ols' THEN {r('intercept', 3)} END AS intercept,
+      CASE WHEN model_name = 'price_ols' THEN {r('slope')} END AS slope,
+      {', '.join(f"CASE WHEN model_name = 'weekday_mean' THEN {r(f'coalesce(d{d}, t.mean)')} END AS d{d}" for d in range(7))}
+    FROM telemetry t JOIN asked USING (region, sku_n) LEFT JOIN days USING (region, sku_n)""",
+)
+def shelf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of all requested skus from the bucketed table, whose rows stay in their buckets."""
+    found = shelf.lookup(spark, ModelStore(spark, sf_dir).shelf(), requests(spark, sf_dir))
+    return contents(found.withColumn("params", F.create_map().cast("map<string,string>")), "region", "sku").drop("n_train")
+
+
+@query("shelf_scores", f"WITH {TELEMETRY} {SCORED}")
+def shelf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every held-out row predicted from the bucketed table: the model is chosen from narrow columns before a blob is read."""
+    return scored_columns(shelf.score(spark, ModelStore(spark, sf_dir).shelf(), requests(spark, sf_dir)))

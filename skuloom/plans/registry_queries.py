@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
 from skuloom.functions.ranks import sequence_numbers
-from skuloom.operators import latency, registry
+from skuloom.operators import latency, publish, registry, run_log
 from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, run_id
 from skuloom.plans.store import ModelStore
 from skuloom.session import fresh_path
@@ -384,3 +384,50 @@ def progress_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["region"], F.floor(F.col("sku_n") / 1000), ["sku_n", "model_name"],
     )
     return registry.progress_marks(numbered, 1000).select("region", "sku", "model_name", F.col("rn").cast("bigint").alias("rn"))
+
+
+@query(
+    "registration_errors",
+    f"""WITH {KEYS},
+    sizes AS (SELECT region, count(DISTINCT sku_n) AS skus, count(*) FILTER (sku_n % 7 = 0) AS sevens, count(*) FILTER (sku_n % 2 = 1) AS odd FROM keys GROUP BY region)
+    SELECT region, 3 * CASE WHEN region IN ('ASIA', 'EUROPE') THEN skus ELSE odd END AS models,
+      CASE WHEN region IN ('ASIA', 'EUROPE') THEN 'check' END AS stage,
+      CASE region WHEN 'ASIA' THEN CAST(3 * sevens AS VARCHAR) || ' keys that occur more than once'
+        WHEN 'EUROPE' THEN CAST(3 * sevens AS VARCHAR) || ' rows without a model' END AS error
+    FROM sizes""",
+)
+def registration_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second publication in which two regions are unfit: they keep all their models, the others hold their odd skus."""
+    store, root = ModelStore(spark, sf_dir), fresh_path(spark, "published")
+    models, seventh = store.plan().drop("blob_bytes"), S.sku_number("sku") % 7 == 0
+    publish.publish(models, root, store.buckets())
+    blob = F.when((F.col("region") == "EUROPE") & seventh, F.lit(None)).otherwise(F.col("model_blob_bytes"))
+    twice = models.where((F.col("region") == "ASIA") & seventh)
+    odd = (S.sku_number("sku") % 2 == 1) | F.col("region").isin("ASIA", "EUROPE")
+    done = publish.publish(models.where(odd).withColumn("model_blob_bytes", blob).unionByName(twice), root, store.buckets())
+    held = publish.models(spark, root).groupBy("region").agg(F.count("*").alias("models"))
+    return held.join(done.errors, "region", "left").select("region", "models", "stage", "error")
+
+
+@query(
+    "run_status_history",
+    f"""WITH {TELEMETRY}
+    SELECT {MODEL_ID} AS run_id, region, CASE WHEN sku_n % 5 = 0 THEN 'FAILED' WHEN rmse IS NULL THEN 'FAILED' ELSE 'FINISHED' END AS status,
+      CASE WHEN sku_n % 5 = 0 THEN 'terminated' WHEN rmse IS NULL THEN region || ': no holdout rows for ' || sku END AS error,
+      CAST(2 AS BIGINT) AS events FROM telemetry""",
+)
+def run_status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run starts and ends, but each fifth sku's are terminated; ends are appended first, starts late and twice, and folded between."""
+    log = fresh_path(spark, "run_log")
+    ended = registry.run_status(plan(spark, sf_dir))
+    fifth = S.sku_number("sku") % 5 == 0
+    when = {k: F.lit(f"2024-01-01 00:0{k}:00") for k in range(3)}
+    begun = ended.withColumns({"status": F.lit(run_log.RUNNING), "error": F.lit(None).cast("string")})
+    run_log.append(run_log.status_events(ended.where(~fifth), when[1], F.lit(1)), log)
+    run_log.compact(spark, log)
+    for _ in range(2):
+        run_log.append(run_log.status_events(begun, when[0], F.lit(0)), log)
+    run_log.compact(spark, log)
+    run_log.append(run_log.terminated(run_log.current(spark, log), when[2], F.lit(2)), log)
+    counts = run_log.history(spark, log).groupBy("run_id").agg(F.count("*").alias("events"))
+    return run_log.current(spark, log).join(counts, "run_id").select("run_id", "region", "status", "error", "events")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skuloom.functions.skus import bucket_count
-from skuloom.operators import bundle, lookup, questions
+from skuloom.operators import bundle, lookup, questions, shelf
 from skuloom.plans import registration
 from skuloom.session import materialize, source_tag, work_path
 from skuloom.sources import demand as D
@@ -77,5 +77,16 @@ class ModelStore:
         plan = self.plan()
         return self._stored("bundle", lambda path: bundle.write_bundle(plan, path, self.buckets()))
 
+    def shelf(self) -> str:
+        """Name of the bucketed table of the models."""
+        name = f"shelf_{self.state}_{self.spark.sparkContext.applicationId}".replace("-", "_")
+
+        def build(path: str) -> None:
+            total = self.plan().agg(F.sum(bundle.row_bytes(self.plan()))).first()[0] or 0
+            shelf.put(self.plan(), name, path, shelf.shelf_buckets(total, self.spark.sparkContext.defaultParallelism))
+
+        self._stored("shelf", build)
+        return name
+
     def bundle(self) -> DataFrame:
         return bundle.read_bundle(self.spark, self.bundle_root())
