@@ -52,6 +52,9 @@ SMOOTHING = [math.exp(-d * d / 2) for d in range(3)]
 Path = tuple[tuple[str, int], ...]
 
 
+UNFINISHED = re.compile("<[a-zA-Z/!?]")
+
+
 class Node:
     """A block of text: its path (of steps, each with a number if it is a container element, else 0), text and characters in links."""
 
@@ -155,6 +158,8 @@ class _Reader(HTMLParser):
 def nodes_of(html: str) -> list[Node]:
     reader = _Reader()
     reader.feed(html)
+    if UNFINISHED.match(reader.rawdata):  # a tag that the page cuts off is no text
+        reader.rawdata = ""
     reader.close()
     reader._flush()
     return reader.nodes
