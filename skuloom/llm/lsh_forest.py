@@ -26,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skuloom.llm.components import components
+from skuloom.llm.rows import apart, free_name, only
 from skuloom.llm.text import LOWER, SOLID_BYTES, flat, mix, pieces, release, span_hashes, spans
 from skuloom.session import fresh_path, materialize
 
@@ -44,8 +44,6 @@ _SHIFT = _rng.integers(0, 2**64 - 1, VALUES, dtype=np.uint64)
 LONGS, LONG_FAR = 32, 257
 _LONG_FACTOR = _rng.integers(0, 2**63, LONGS * 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LONG_SHIFT = _rng.integers(0, 2**64 - 1, LONGS * 64, dtype=np.uint64)
-#: Bits of the filter that keeps texts out of a shuffle: at most 16 MB are broadcast, whatever the number of ids.
-FILTER_BITS, FILTER_ROW = 1 << 27, 1 << 15
 _ROLL = _rng.integers(0, 2**63, DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SIGNED = pa.struct(
@@ -215,27 +213,9 @@ def _long_sketch():
     return sketch
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of the wanted ids. A bit map of hashed ids keeps most others out of the shuffle; the join decides."""
-
-    def spot(of: str) -> Column:
-        return F.pmod(F.xxhash64(of), F.lit(FILTER_BITS))
-
-    row, bit = (lambda h: F.floor(h / F.lit(FILTER_ROW)).cast("int")), (lambda h: (h % F.lit(FILTER_ROW)).cast("bigint"))
-    maps = ids.select(row(spot("id")).alias("__row"), bit(spot("id")).alias("__bit")).groupBy("__row")
-    maps = materialize(maps.agg(F.bitmap_construct_agg("__bit").alias("__map")), fresh_path(texts.sparkSession, "filter"))
-    place = bit(spot("id"))
-    byte = F.conv(F.hex(F.substring("__map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    # The join goes by a column made from both sides: else the optimizer would move it below the bit map and shuffle all texts.
-    found = F.when(F.getbit(byte, (place % 8).cast("int")) == 1, F.col("id"))
-    near = texts.withColumn("__row", row(spot("id"))).join(F.broadcast(maps), "__row").withColumn("__near", found)
-    near = near.where("__near is not null").drop("__row", "__map")
-    return near.join(ids.withColumnRenamed("id", "__near"), "__near", "left_semi").drop("__near")
-
-
 def _sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, shingles) of the wanted ids, stored."""
-    found = _only(texts, ids).select("id", _shingle_set(size)("text").alias("shingles"))
+    found = only(texts, ids).select("id", _shingle_set(size)("text").alias("shingles"))
     return materialize(found, fresh_path(texts.sparkSession, "shingles"))
 
 
@@ -327,14 +307,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without those whose component has a smaller id; of rows that share an id one stays. Columns as before."""
-    found = materialize(near_duplicates(docs, key, text, **options), fresh_path(docs.sparkSession, "near_duplicates"))
-    gone = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("__id")).distinct()
-    same = docs[key].cast("bigint") == F.col("__id")
-    kept = docs.join(gone, same, "left_anti")
-    again = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__id")).count().where("count > 1").drop("count")
+    """The documents without those whose component has a smaller id, columns as before.
+
+    Rows that share an id are one document only if they have one text: of those one stays (the smallest by a hash of its other columns).
+    Rows of one id with different texts are documents of their own, after all others in order. Rows without id stay.
+    """
+    rows, own, _ = apart(docs, key, text)
+    found = materialize(near_duplicates(rows, own, text, **options), fresh_path(docs.sparkSession, "near_duplicates"))
+    gone = found.where(F.col("component_id") != F.col(own)).select(F.col(own).alias("id")).distinct()
+    again = found.where(F.col(own) == F.col("component_id")).groupBy(F.col(own).alias("id")).count().where("count > 1").select("id")
+    kept = _without(rows, own, gone)
     if again.isEmpty():
-        return kept
-    first = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(text)))
-    one = kept.join(again, same, "left_semi").withColumn("__n", first).where("__n = 1").drop("__n")
-    return kept.join(again, same, "left_anti").unionByName(one)
+        return kept.drop(own)
+    plain = [f.name for f in docs.schema if f.name != text and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = _without(kept, own, again, "left_semi").groupBy(own).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__one"))
+    return _without(kept, own, again).drop(own).unionByName(one.select("__one.*"))
+
+
+def _without(rows: DataFrame, own: str, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    other = free_name(rows, "__gone")
+    return rows.join(ids.withColumnRenamed("id", other), F.col(own) == F.col(other), how)
