@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.functions.skus import sku_id
-from skuloom.plans.catalog import TELEMETRY, query
+from skuloom.plans.catalog import ORACLES, TELEMETRY, query, rounded
+from skuloom.plans import latency_queries  # noqa: F401  (registers latency_batches)
 from skuloom.plans.model_queries import SCORED, scored_columns
 from skuloom.plans.registry_queries import KEYS, MODEL_RUNS, REGION_RUNS, SKU_RUNS
 from skuloom.plans.store import ModelStore
 from skuloom.session import fresh_path
 from skuloom.sources import demand as D
-from skuloom.streaming import register, score
+from skuloom.streaming import latency, register, score
 
 
 def scored_files(spark: SparkSession, sf_dir: str, served: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -43,3 +44,19 @@ def stream_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "runs")
     register.register_stream(arriving, out + "/runs", out + "/checkpoint").awaitTermination()
     return register.registered(spark, out + "/runs").drop("tags")
+
+
+@query("stream_latency_batches", ORACLES["latency_batches"])
+def stream_latency_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they arrive, in files of consecutive numbers: the open hundred of each type is the state between micro-batches."""
+    events = D.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("phase"), F.col("value").alias("ms"))
+    out = fresh_path(spark, "latency")
+    files = out + "/events"
+    highest = events.agg(F.max("event_id")).first()[0] or 0
+    for part in range(4):  # written one after the other, as a stream orders files by their time
+        own = events.where(F.floor(F.col("event_id") * 4 / F.lit(highest + 1)) == part)
+        own.coalesce(1).write.mode("append").parquet(files)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    stats = latency.batch_stats(arriving, ["phase"], "event_id", ["ms"])
+    latency.to_files(stats, out + "/rows", out + "/checkpoint").awaitTermination()
+    return rounded(spark.read.schema(stats.schema).parquet(out + "/rows"))

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skuloom.operators import registry
-from skuloom.session import materialize
+from skuloom.session import materialize, state_in_rocks_db
 from skuloom.sources import tables
 
 RUNS = "run_id string, parent_id string, layer string, run_name string, experiment string, tags map<string,string>"
 LAYOUT = "source string, batch bigint"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def registered(spark: SparkSession, root: str) -> DataFrame:
@@ -44,17 +41,6 @@ def register_batch(root: str, known: str) -> Callable[[DataFrame, int], None]:
     return register
 
 
-@contextmanager
-def _state_in_rocks_db(spark: SparkSession) -> Iterator[None]:
-    """Ids are kept on the executors' disks and in the checkpoint, not in their heaps. A query keeps the provider it began with."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS_DB)
-    try:
-        yield
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-
-
 def register_stream(plan: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Register every run-plan row of a stream once: find-or-create by the deterministic run id.
 
@@ -73,6 +59,6 @@ def register_stream(plan: DataFrame, root: str, checkpoint: str, available_now:
     arriving = registry.run_rows(plan).withColumn("seeded", F.lit(False))
     once = arriving.unionByName(seeds, allowMissingColumns=True).dropDuplicates(["run_id"])
     writer = once.writeStream.foreachBatch(register_batch(root, known)).option("checkpointLocation", checkpoint)
-    with _state_in_rocks_db(spark):
+    with state_in_rocks_db(spark):
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 

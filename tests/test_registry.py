@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skuloom.operators import lookup, questions, registry
 from skuloom.plans import registration
+from skuloom import session
 from skuloom.streaming import register, score
 
 
@@ -153,7 +154,7 @@ def test_a_second_checkpoint_keeps_all_runs(spark, plan, tmp_path):
     want = sorted(r[0] for r in registry.nested_runs(more).select("run_id").collect())
     assert ids(spark, runs) == want and set(first) <= set(want)
     assert len([p for p in query.recentProgress if p["numInputRows"]]) >= 3
-    assert spark.conf.get(register.PROVIDER, None) != register.ROCKS_DB
+    assert spark.conf.get(session.STATE_PROVIDER, None) != session.ROCKS_DB
 
 
 def test_streaming_scores_go_on_where_they_stopped(spark, tmp_path):
