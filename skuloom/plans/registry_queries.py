@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
 from skuloom.functions.ranks import sequence_numbers
-from skuloom.operators import latency, publish, registry, run_log
+from skuloom.operators import latency, publish, registry, routing, run_log
 from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, run_id
 from skuloom.plans.store import ModelStore
 from skuloom.session import fresh_path
@@ -431,3 +431,39 @@ def run_status_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_log.append(run_log.terminated(run_log.current(spark, log), when[2], F.lit(2)), log)
     counts = run_log.history(spark, log).groupBy("run_id").agg(F.count("*").alias("events"))
     return run_log.current(spark, log).join(counts, "run_id").select("run_id", "region", "status", "error", "events")
+
+
+def owners(key: str, given: dict[str, float]) -> str:
+    """SQL of :func:`skuloom.operators.routing.owner_of`: the least weighted draw."""
+    rows = ", ".join(f"('{o}', CAST({w} AS DOUBLE))" for o, w in given.items())
+    draw = f"(CAST('0x' || substr(md5({key} || '/' || owner), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)"
+    return f"(SELECT arg_min(owner, -ln({draw}) / weight) FROM (VALUES {rows}) AS o(owner, weight))"
+
+
+BEFORE = {"00": 1.0, "01": 2.0, "02": 1.0}
+AFTER = {**BEFORE, "03": 2.0}
+
+
+@query(
+    "routes_after_growth",
+    f"""WITH {KEYS}
+    SELECT region, sku, region || '_endpoint_' || {owners("region || '/' || sku", BEFORE)} AS was,
+      region || '_endpoint_' || {owners("region || '/' || sku", AFTER)} AS now FROM keys""",
+)
+def routes_after_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoint of every key before and after one of double weight joins: what moves goes there."""
+    keys = plan(spark, sf_dir).select("region", "sku").distinct()
+    old, new = (routing.routes(keys, list(e), list(e.values())).select("region", "sku", F.col("endpoint").alias(c)) for e, c in ((BEFORE, "was"), (AFTER, "now")))
+    return old.join(new, ["region", "sku"])
+
+
+@query(
+    "shards_after_growth",
+    f"""WITH {KEYS}, skus AS (SELECT DISTINCT sku FROM keys)
+    SELECT sku, CAST({owners('sku', {f'{i:02d}': 1.0 for i in range(4)})} AS INTEGER) AS shard,
+      CAST({owners('sku', {f'{i:02d}': 1.0 for i in range(5)})} AS INTEGER) AS grown_shard FROM skus""",
+)
+def shards_after_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sub-experiment of every sku with four and with five shards."""
+    skus = plan(spark, sf_dir).select("sku").distinct()
+    return skus.select("sku", *[routing.weighted_shard(F.col("sku"), n).alias(c) for n, c in ((4, "shard"), (5, "grown_shard"))])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
-from skuloom.operators import bundle, train
+from skuloom.operators import bundle, fingerprints, train
 from skuloom.plans import registration
 from skuloom.plans.catalog import COEFS, DEMAND, TELEMETRY, near, query, r, rounded
 from skuloom.plans.store import ModelStore
@@ -14,7 +14,7 @@ from skuloom.session import fresh_path, source_tag, work_path
 from skuloom.sources import demand as D
 from skuloom.sources import scaling as G
 from skuloom.sources import schema as schemas
-from skuloom.sources import tables
+from skuloom.sources import older, tables
 from skuloom.sources.schema import conform, null_violations
 
 # A price is a two-digit amount over a quantity up to 50: eight digits never end in a rounding tie.
@@ -444,3 +444,51 @@ def json_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         3,
     )
+
+
+@query(
+    "json_variants",
+    f"""WITH {TELEMETRY}
+    SELECT region, model_name, count(*) FILTER (sku_n % 5 < 4) AS decoded, count(rmse) FILTER (sku_n % 5 IN (0, 1, 2)) AS with_rmse,
+      {r('avg(rmse) FILTER (sku_n % 5 IN (0, 1, 2))', 3)} AS avg_rmse, count(mape) FILTER (sku_n % 5 < 4) AS with_mape,
+      count(*) FILTER (sku_n % 5 = 4) AS rejected FROM telemetry GROUP BY region, model_name""",
+)
+def json_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics from JSON texts of several ages: plain, below ``metrics``, as objects with a value, without rmse, and cut off."""
+    plan = ModelStore(spark, sf_dir).plan()
+    plain, age = F.to_json("metrics"), S.sku_number("sku") % 5
+    single = F.to_json(F.transform_values("metrics", lambda _, v: F.struct(v.alias("value"))))
+    without = F.to_json(F.map_filter("metrics", lambda k, _: k != "rmse"))
+    below = F.concat(F.lit('{"version": 2, "metrics": '), plain, F.lit("}"))
+    text = F.when(age == 0, plain).when(age == 1, below).when(age == 2, single).when(age == 3, without).otherwise(F.substring(plain, 1, 1))
+    good, bad = older.decoded(plan.select("region", "model_name", text.alias("metrics_json")), "metrics_json", ["rmse", "mape"])
+    rmse, mape = (F.try_element_at("metrics", F.lit(k)) for k in ("rmse", "mape"))
+    found = good.groupBy("region", "model_name").agg(
+        F.count("*").alias("decoded"), F.count(rmse).alias("with_rmse"), F.avg(rmse).alias("avg_rmse"), F.count(mape).alias("with_mape")
+    )
+    rejects = bad.groupBy("region", "model_name").agg(F.count("*").alias("rejected"))
+    both = found.join(rejects, ["region", "model_name"], "left")
+    return rounded(both.withColumn("rejected", F.coalesce("rejected", F.lit(0))), 3)
+
+
+CHANGED = f"""{DEMAND},
+keys AS (SELECT DISTINCT region, sku, sku_n FROM demand)"""
+
+
+@query(
+    "keys_to_retrain",
+    f"""WITH {CHANGED}
+    SELECT region, sku, CASE WHEN sku_n % 17 = 0 THEN 'gone' ELSE 'changed' END AS change FROM keys
+    WHERE sku_n % 17 = 0 OR sku_n % 11 = 0 OR sku_n % 13 = 0
+    UNION ALL SELECT region, printf('SKU-%06d', sku_n + 1000000), 'new' FROM keys WHERE sku_n % 19 = 0""",
+)
+def keys_to_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand against its stored fingerprint, which was put together from two halves: prices changed, rows came twice, skus went and came."""
+    columns = [c for c in fingerprints.TRAINED if c != "inventory"]
+    rows, n = D.demand(spark, sf_dir, inventory=False), F.col("sku_n")
+    halves = [fingerprints.of_rows(rows.where(F.col("order_no") % 2 == k), columns) for k in (0, 1)]
+    stored = fingerprints.merged(halves[0].unionByName(halves[1]))
+    left = rows.where(n % 17 != 0).withColumn("price", F.when(n % 11 == 0, F.col("price") + 1).otherwise(F.col("price")))
+    came = rows.where(n % 19 == 0).withColumn("sku", S.sku_id(n + 1_000_000))
+    now = left.unionByName(left.where(n % 13 == 0)).unionByName(came)
+    return fingerprints.keys_to_retrain(stored, fingerprints.of_rows(now, columns))
