@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +80,8 @@ def score_opaque(
 
     A blob is never joined onto its requests. Model rows and request rows are shuffled together by key and sorted so
     that a model comes just before its requests: it travels and is decoded once per task that needs it.
-    A key with very many requests is split over several tasks, and its model row goes to each of them.
+    A key with very many requests is split over several tasks, and its model row goes to each of them. Spark cuts the batches
+    that a task gets by ``spark.sql.execution.arrow.maxBytesPerBatch``, so large blobs come a few at a time.
     ``counts`` (region, sku, model_name, rows) saves counting the requests per key when that is known already.
     """
     keys, spread = ["region", "sku", "model_name"], [c for c in requests.columns]
@@ -100,29 +102,42 @@ def score_opaque(
     # A number of partitions counted from the rows: adaptive splitting could part a model from its requests.
     total = counts.agg(F.sum("__rows")).first()[0] or 0
     tasks = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_task))
-    ordered = rows.repartition(tasks, *keys, "chunk").sortWithinPartitions(*keys, "chunk", "__turn")
+    # One number comes first in the order: it decides nearly every comparison, also those between neighbours below.
+    marks = ["__spot", *keys, "chunk"]
+    spot = rows.withColumn("__spot", F.xxhash64(*keys, "chunk"))
+    ordered = spot.repartition(tasks, *keys, "chunk").sortWithinPartitions(*marks, "__turn")
 
-    marks = [*keys, "chunk", "__turn"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, model = None, None
         for batch in batches:
-            starts = np.flatnonzero((batch[marks] != batch[marks].shift()).any(axis=1).to_numpy())
-            heads = list(batch[marks].iloc[starts].itertuples(index=False, name=None))
-            x = batch[features].to_numpy(dtype=float)
-            predicted, scored = np.empty(len(batch)), np.zeros(len(batch), dtype=bool)
-            for first, last, (*key, turn) in zip(starts, [*starts[1:], len(batch)], heads):
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for c in [*marks, "__turn"]:
+                column = batch.column(c)
+                new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+                nulls = pc.is_null(column).to_numpy(zero_copy_only=False)
+                new[1:] |= nulls[1:] != nulls[:-1]
+            starts = np.flatnonzero(new)
+            heads = [batch.column(c).take(pa.array(starts)).to_pylist() for c in [*marks, "__turn", blob]]
+            x = np.column_stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in features])
+            predicted, scored = np.empty(n), np.zeros(n, dtype=bool)
+            for first, last, *key, turn, data in zip(starts.tolist(), [*starts[1:].tolist(), n], *heads, strict=True):
                 if turn == 0:
-                    current, model = key, load(bytes(batch[blob].iloc[first]))
+                    current, model = key, load(data)
                 elif key == current:
                     predicted[first:last] = apply(model, x[first:last])
                     scored[first:last] = True
-            yield batch.loc[scored, columns].assign(prediction=predicted[scored])
+            kept = pa.array(scored)
+            out = [batch.column(c).filter(kept) for c in columns]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(predicted[scored])], [*columns, "prediction"])
 
     columns = [*keys, *rest]
     fields = [requests.schema[c] for c in columns]
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("prediction", T.DoubleType())])
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def lookup_many(models: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:

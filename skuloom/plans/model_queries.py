@@ -192,6 +192,12 @@ def least_squares_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("least_squares_weights")
+def least_squares_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted models themselves: intercept and weights of every key. Which weights are chosen where several fit is beyond SQL."""
+    return user_models.solve_least_squares(user_models.moments(least_squares_rows(spark, sf_dir)))
+
+
 @query(
     "least_squares_fit",
     f"""WITH {NUMBERS} SELECT region, sku, count(*) AS n_rows, {r('var_pop(demand) * count(*)', 2)} AS total_squares, true AS explained_in_bounds
