@@ -4,7 +4,8 @@ A document is a bag of passages and only the bag has a label. Every passage is e
 maps the encoding to a representation h, gated attention a ~ exp(w . (tanh(V h) * sigmoid(U h))) weighs the passages, and the
 score is a logistic function of the weighted representation. All weights are learned together from document labels.
 
-The model is fitted on a bounded sample (TRAIN_DOCS labelled rows with the smallest key hashes, of TRAIN_TEXT bytes at most);
+The model is fitted, in one task, on a bounded sample (TRAIN_DOCS labelled rows with the smallest key hashes, of TRAIN_TEXT bytes at most,
+TRAIN_BYTES together; one text for an id that stands by several);
 every passage of every whole text is scored. Attention logits are bounded, so a text of any length is pooled passage by passage.
 
 Defined cases: null and empty texts score 0; labels other than 0 and 1, and keys with contradicting labels, are not learned from;
@@ -13,18 +14,20 @@ without labels of both kinds the score is the mean label (0.5 if none); equal te
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuloom.llm.text import SOLID_BYTES, flat, mix, pieces, positions, release, span_hashes, spans
 
-TRAIN_DOCS, TRAIN_TEXT = 3_000, 64 << 10
+TRAIN_DOCS, TRAIN_TEXT, TRAIN_BYTES = 3_000, 64 << 10, 64 << 20
 PASSAGE_BYTES, PAIR_BINS, HIDDEN, GATE = 1024, 256, 32, 16
 EPOCHS, BATCH, RATE, DECAY = 10, 32, 0.003, 1e-4
 BYTE_BINS = 129
@@ -167,16 +170,40 @@ def is_held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the rows (key, label, text), taken in order up to TRAIN_BYTES; one task fits, the driver gets the weights."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        fits = int(np.searchsorted(size + np.cumsum(sizes), TRAIN_BYTES, "right"))
+        held.append(batch.slice(0, fits))
+        size += int(sizes[:fits].sum())
+        if fits < batch.num_rows:
+            break
+    if not held:
+        held = [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.string())], ["key", "label", "text"])]
+    sample = pa.Table.from_batches(held).sort_by([("key", "ascending"), ("text", "ascending")])
+    model = fit(sample["text"].combine_chunks(), sample["label"].to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    release()
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fit on TRAIN_DOCS labelled rows, or all if there are fewer; at most TRAIN_DOCS keys are broadcast."""
+    """Fit on about TRAIN_DOCS labelled rows, or all if there are fewer: those first by a hash of id and text, 2 * TRAIN_DOCS rows and
+    TRAIN_BYTES at most. At most 2 * TRAIN_DOCS keys are broadcast."""
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key)).select(key, label)
     share = min(1.0, TRAIN_DOCS / max(1, marked.count()))
     marked = marked.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) <= int(share * (1 << 40)))
-    marked = marked.groupBy(key).agg(F.min(label).alias("__low"), F.max(label).alias("__high")).where("__low = __high").limit(2 * TRAIN_DOCS)
+    marked = marked.groupBy(key).agg(F.min(label).alias("__low"), F.max(label).alias("__high")).where("__low = __high")
+    marked = marked.orderBy(F.xxhash64(key), key).limit(2 * TRAIN_DOCS)
     rows = docs.select(key, F.col(text).alias("__text")).where(F.octet_length("__text") <= TRAIN_TEXT)
-    sample = rows.join(F.broadcast(marked), key).select(key, "__low", "__text").limit(2 * TRAIN_DOCS).toArrow()
-    sample = sample.sort_by([(key, "ascending"), ("__text", "ascending")])
-    return fit(sample["__text"].combine_chunks(), sample["__low"].to_numpy())
+    sample = rows.join(F.broadcast(marked), key)
+    sample = sample.select(F.col(key).cast("bigint").alias("key"), F.col("__low").cast("int").alias("label"), F.col("__text").alias("text"))
+    # A key that holds very many rows is one row a task before it is shuffled.
+    sample = sample.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    ordered = sample.orderBy(F.xxhash64("key"), "key").limit(2 * TRAIN_DOCS)
+    found = ordered.coalesce(1).mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(bytes(found["model"])) if found else fit(pa.array([], pa.string()), np.empty(0, np.int32))
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:

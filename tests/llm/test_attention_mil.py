@@ -4,7 +4,7 @@ import pytest
 
 from skuloom.llm import attention_mil as A
 from skuloom.llm.queries import QUERIES
-from llm_cases import EDGE, prose
+from llm_cases import EDGE, as_docs, prose
 
 
 def test_held_out_accuracy(spark):
@@ -61,3 +61,14 @@ def test_edge_cases(spark, edge, nothing):
     assert len(got) == len(EDGE) and all(0 <= r.s <= 1 for r in got)
     assert A.scored(nothing, model, "s").collect() == []
     assert A.reject(edge, one).columns == edge.columns
+
+
+def test_scores_do_not_depend_on_where_repeated_ids_lie(spark):
+    rows = [(i % 40, prose(i, 60) if i % 2 else "BUY NOW!!! $$$ " * (5 + i % 7)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    found = []
+    for n in (1, 7):
+        docs = as_docs(spark, rows).repartition(n, "text")
+        model = A.train(docs, labels)
+        found.append({(r.doc_id, r.text): r.quality_score for r in A.scored(docs, model, "quality_score").collect()})
+    assert found[0] == found[1]
