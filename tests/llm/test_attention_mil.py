@@ -63,12 +63,9 @@ def test_edge_cases(spark, edge, nothing):
     assert A.reject(edge, one).columns == edge.columns
 
 
-def test_scores_do_not_depend_on_where_repeated_ids_lie(spark):
+def test_the_model_does_not_depend_on_where_repeated_ids_lie(spark):
     rows = [(i % 40, prose(i, 60) if i % 2 else "BUY NOW!!! $$$ " * (5 + i % 7)) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
-    found = []
-    for n in (1, 7):
-        docs = as_docs(spark, rows).repartition(n, "text")
-        model = A.train(docs, labels)
-        found.append({(r.doc_id, r.text): r.quality_score for r in A.scored(docs, model, "quality_score").collect()})
-    assert found[0] == found[1]
+    one, two = (A.train(as_docs(spark, rows).repartition(n, "text"), labels) for n in (1, 7))
+    assert one.weights.keys() == two.weights.keys() and np.array_equal(one.mean, two.mean)
+    assert all(np.array_equal(one.weights[k], two.weights[k]) for k in one.weights)
