@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skuloom.functions import skus as S
 from skuloom.functions.ranks import SLICE_ROWS, sequence_numbers
+from skuloom.session import checkpointed
 
 
 def _tags(**values: Column | str) -> Column:
@@ -298,6 +299,21 @@ def export_region(plan: DataFrame, region: str, consume: Callable[[Iterator[Row]
     ordered.sortWithinPartitions("position").foreachPartition(consume)
 
 
+def export_region_in_turn(plan: DataFrame, region: str, consume: Callable[[Iterator[Row]], None], rows_per_range: int = 100_000) -> int:
+    """One consumer gets a region's records in one order: range after range, each a job of its own whose one task calls ``consume``.
+
+    The ranges are consecutive positions, so a range is all that a task holds; returns how many there were. A consumer that fails stops
+    the export; positions say where it stood. A lost task is run again from the start of its range.
+    """
+    ordered = checkpointed(region_records(plan, region))
+    last = ordered.agg(F.max("position")).first()[0] or 0
+    ranges = range(0, last, rows_per_range)
+    for begin in ranges:
+        own = ordered.where((F.col("position") > begin) & (F.col("position") <= begin + rows_per_range))
+        own.coalesce(1).sortWithinPartitions("position").foreachPartition(consume)
+    return len(ranges)
+
+
 def progress_marks(numbered: DataFrame, every: int) -> DataFrame:
     """Every ``every``-th record of a numbered stream of records."""
     return numbered.where(F.col("rn") % every == 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.functions.skus import rekeyed
+from skuloom.functions.skus import expansion_partitions, rekeyed
 from skuloom.sources import tables
 
 
@@ -66,7 +66,7 @@ def bring_to_scale(
     """Reuse, expand or rebuild a stored table so that it has ``target_skus`` skus; returns what was done.
 
     Rows and distinct skus are compared, since directory and file counts look alike at different sizes. Expanding appends
-    the missing copies and leaves the stored rows where they are.
+    the missing copies, in as many tasks as their bytes ask for, and leaves the stored rows where they are.
     """
     action = "rebuild"
     if tables.exists(spark, target):
@@ -76,7 +76,11 @@ def bring_to_scale(
         action = size["action"]
     if action == "expand":
         more = further_copies(stored, size["existing_skus"], target_skus)
-        tables.append_any(tables.spread_by(more, *(partition_by or ["region", "sku"])), target, partition_by)
+        # Bytes as stored, of the files that will be copied; a hot key's rows are spread by the copy they are in.
+        copies = target_skus // size["existing_skus"] - 1
+        held = stored.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).distinct().agg(F.sum("b")).first()[0] or 0
+        tasks = spark.range(1).select(expansion_partitions(spark.sparkContext.defaultParallelism, F.lit(held * copies))).first()[0]
+        tables.append_any(more.repartition(int(tasks), *(partition_by or []), "sku"), target, partition_by)
     elif action == "rebuild":
         tables.write_any(build(), target, partition_by)
     return action

@@ -73,6 +73,19 @@ def test_export_of_a_region_in_order(plan, tmp_path):
     assert whole == sorted(whole) and len(whole) == 120 and {k[2] for k in whole} == {32}
 
 
+def test_one_consumer_gets_a_region_in_one_order(plan, tmp_path):
+    target = str(tmp_path / "records")
+
+    def consume(records):
+        with open(target, "a") as f:
+            f.writelines(f"{r['position']} {r['sku']} {r['model_name']}\n" for r in records)
+
+    assert registry.export_region_in_turn(plan, "REGION-01", consume, rows_per_range=50) == 3
+    lines = [x.split() for x in (tmp_path / "records").read_text().splitlines()]
+    assert [int(x[0]) for x in lines] == list(range(1, 121)) and [x[1:] for x in lines] == sorted(x[1:] for x in lines)
+    assert registry.export_region_in_turn(plan, "nowhere", consume) == 0
+
+
 def test_shards_cover_every_sku(plan):
     runs = registry.sku_runs(plan, n_shards=4)
     per_sku = runs.select(F.col("tags")["sku"].alias("sku"), F.substring_index("experiment", "/", -1).alias("shard")).distinct()
