@@ -34,6 +34,8 @@ LEAF, NODE_SAMPLE, SAMPLE_LEAF, TILE = 400, 20_000, 16, 1_000
 SPILL, MISS = 0.25, 0.003
 #: Tree models broadcast at once; each has NODE_SAMPLE / SAMPLE_LEAF leaves at most.
 MODELS = 500
+#: Bytes of an ordinary model: as many as MODELS of them go to the tasks at a time, more small ones or fewer large ones.
+MODEL_BYTES = 1 << 17
 LINKS = "a bigint, b bigint"
 
 
@@ -171,7 +173,8 @@ def leaves(reps: DataFrame, trees: int) -> DataFrame:
         sample = open_.where(F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 30)) < share * (1 << 30)).select("node", "size", "rep", "vector")
         fitted = sample.groupBy("node").applyInPandas(_fitted, "node string, model binary")
         fitted = materialize(fitted, fresh_path(spark, "models"))
-        blocks = -(-count // MODELS)
+        size = fitted.agg(F.sum(F.octet_length("model"))).first()[0]
+        blocks = max(1, -(-size // (MODELS * MODEL_BYTES)))
         parts = None
         for k in range(blocks):
             own = F.pmod(F.xxhash64("node"), F.lit(blocks)) == k
