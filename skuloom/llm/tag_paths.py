@@ -3,7 +3,10 @@
 The text of a page hangs on root-to-leaf paths of block elements. Text length and punctuation are summed per path, the
 ratios are smoothed over neighbouring nodes in page order and fused along the paths into their containers. Paths of links below a
 threshold are left out, and containers of them; all other blocks are kept. If a page has article or main elements, the text is
-that inside all of them, and only the threshold on paths counts.
+that inside all of them, and only the threshold on paths counts; several with a small part of the weight are cards, which go.
+
+Elements that by their nature hold no article (scripts, menus, footers) are never read. Words in classes and ids, roles and forms only make an element
+doubtful: it is left out where the rest of the page carries weight without it, and kept where nearly all of the page's weight lies in it.
 
 Defined cases: null and empty pages, and pages without any text, give an empty text; broken markup is read as browsers read it
 as far as block elements go; repeated pages give the same text; all columns of the pages stay.
@@ -52,37 +55,47 @@ SMOOTHING = [math.exp(-d * d / 2) for d in range(3)]
 Path = tuple[tuple[str, int], ...]
 
 
+#: Share of the page's weight that must lie outside of doubtful elements for them to be left out.
+CERTAIN, LEFT_OUT = 0.05, -1
+#: Share of the weight below which several article elements are cards beside the article.
+CARDS = 0.2
 UNFINISHED = re.compile("<[a-zA-Z/!?]")
 
 
 class Node:
-    """A block of text: its path (of steps, each with a number if it is a container element, else 0), text and characters in links."""
+    """A block of text: its path (of steps, each with a number if it is a container element, else 0), text, characters in links and
+    the numbers of the doubtful elements around it."""
 
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("path", "text", "linked", "doubts")
 
-    def __init__(self, path: Path, text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: Path, text: str, linked: int, doubts: tuple[int, ...]) -> None:
+        self.path, self.text, self.linked, self.doubts = path, text, linked, doubts
 
 
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, int], bool]] = []  # tag, path step, left out
+        self.open: list[tuple[str, tuple[str, int], int]] = []  # tag, path step, LEFT_OUT or the number of a doubtful element or 0
         self.nodes: list[Node] = []
         self.parts: list[str] = []
-        self.links = self.linked = self.containers = 0
+        self.links = self.linked = self.containers = self.doubtful = self.out = 0
 
     def _flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.nodes.append(Node(tuple(step for _, step, _ in self.open), text, self.linked))
+                self.nodes.append(Node(tuple(step for _, step, _ in self.open), text, self.linked, tuple(d for _, _, d in self.open if d > 0)))
             self.parts, self.linked = [], 0
 
     def _pop(self, i: int) -> None:
         self._flush()
+        self.out -= sum(d == LEFT_OUT for _, _, d in self.open[i:])
         del self.open[i:]
 
+    def _push(self, tag: str, step: tuple[str, int], doubt: int) -> None:
+        self.open.append((tag, step, doubt))
+        self.out += doubt == LEFT_OUT
+
     def _close_inside(self, kinds: set[str]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in kinds:
@@ -101,20 +114,24 @@ class _Reader(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         words = re.split(r"[^a-z0-9]+", f"{given.get('class', '')} {given.get('id', '')}".lower())
         inside = any(t in CONTAINERS for t, _, _ in self.open)
-        out = (
-            tag in NEVER
+        root = tag in ("html", "body")
+        out = not root and (
+            (tag in NEVER and tag != "form")
             or (tag == "header" and not inside)
-            or given.get("role", "").lower() in ROLES
-            or not HINTS.isdisjoint(words)
-            or (not inside and tag not in CONTAINERS and not PAGE_HINTS.isdisjoint(words))
             or "hidden" in given
             or given.get("aria-hidden", "").lower() == "true"
             or "display:none" in given.get("style", "").replace(" ", "").lower()
-        ) and tag not in ("html", "body")
+        )
+        doubtful = not root and (
+            tag == "form"
+            or given.get("role", "").lower() in ROLES
+            or not HINTS.isdisjoint(words)
+            or (not inside and tag not in CONTAINERS and not PAGE_HINTS.isdisjoint(words))
+        )
         if tag in INLINE:
             self.links += tag == "a"
-            if out:  # left out without ending the block around it
-                self.open.append((tag, (tag, 0), True))
+            if out or doubtful:  # left out without ending the block around it
+                self._push(tag, (tag, 0), LEFT_OUT)
             return
         if tag in VOID:
             self._flush()
@@ -127,7 +144,8 @@ class _Reader(HTMLParser):
         step = f"{tag}.{given['class']}" if given.get("class") else tag
         if tag in CONTAINERS:
             self.containers += 1
-        self.open.append((tag, (step, self.containers if tag in CONTAINERS else 0), out))
+        self.doubtful += doubtful
+        self._push(tag, (step, self.containers if tag in CONTAINERS else 0), LEFT_OUT if out else self.doubtful if doubtful else 0)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash has no meaning in HTML
@@ -136,7 +154,7 @@ class _Reader(HTMLParser):
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
             if self.open and self.open[-1][0] == tag:
-                self.open.pop()
+                self.out -= self.open.pop()[2] == LEFT_OUT
             return
         if tag == "br":
             self.parts.append(" ")
@@ -148,7 +166,7 @@ class _Reader(HTMLParser):
         self._flush()
 
     def handle_data(self, data: str) -> None:
-        if any(out for _, _, out in self.open):
+        if self.out:
             return
         self.parts.append(data)
         if self.links:
@@ -196,16 +214,42 @@ def _menus(nodes: list[Node], weight: list[float], total: int, places: Callable[
     return {p for p in count if count[p] >= MENU_NODES and linked[p] >= 0.9 * chars[p] and fused[p] < MENU_RATIO * mean * chars[p]}
 
 
+def _certain(nodes: list[Node]) -> set[int]:
+    """Identities of the nodes outside of doubtful elements; an element that has nearly all of the weight is none, and those within it are looked at in turn."""
+    ratio = _ratios(nodes)
+    weight = {id(n): ratio[n.path] * len(n.text) for n in nodes}
+    kept: list[Node] = []
+    depth = 0
+    while nodes:
+        clean = [n for n in nodes if len(n.doubts) <= depth]
+        kept += clean
+        inside: dict[int, float] = defaultdict(float)
+        for n in nodes:
+            if len(n.doubts) > depth:
+                inside[n.doubts[depth]] += weight[id(n)]
+        if not inside or sum(weight[id(n)] for n in clean) >= CERTAIN * (sum(inside.values()) + sum(weight[id(n)] for n in clean)):
+            break
+        heaviest = max(inside, key=lambda d: inside[d])
+        nodes = [n for n in nodes if len(n.doubts) > depth and n.doubts[depth] == heaviest]
+        depth += 1
+    return set(map(id, kept))
+
+
 def content_nodes(nodes: list[Node]) -> list[Node]:
     """The nodes of the article, in page order."""
+    certain = _certain(nodes)
+    nodes = [n for n in nodes if id(n) in certain]
     if not nodes:
         return []
     ratio = _ratios(nodes)
     weight = [v * len(n.text) for v, n in zip(_smoothed([ratio[n.path] for n in nodes]), nodes, strict=True)]
-    # Article and main elements that are not inside another take the place of the page.
+    # Article and main elements that are not inside another take the place of the page, but for several cards with little of its weight.
     inside = [any(number for _, number in n.path) for n in nodes]
     if any(inside):
-        nodes, weight = ([x for x, own in zip(of, inside, strict=True) if own] for of in (nodes, weight))
+        several = len({next(k for _, k in n.path if k) for n, own in zip(nodes, inside, strict=True) if own}) > 1
+        cards = several and sum(w for w, own in zip(weight, inside, strict=True) if own) < CARDS * sum(weight)
+        nodes, weight = ([x for x, own in zip(of, inside, strict=True) if own != cards] for of in (nodes, weight))
+        inside = [not cards] * len(nodes)
     total = sum(len(n.text) for n in nodes)
     paths = _menus(nodes, [ratio[n.path] * len(n.text) for n in nodes], total, lambda path: [path])
     # Outside of such elements a menu may be a container of several paths.

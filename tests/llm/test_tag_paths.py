@@ -79,3 +79,33 @@ def test_frames(spark):
     got = extract(df).collect()
     assert [len(r.text) for r in got] == [0, 6 * 50_000 - 1, 1]
     assert extract(df.limit(0)).collect() == []
+
+
+SENTENCES = "This is a long paragraph of the article, with commas, and sentences. It goes on and on, as they do. " * 5
+STORY = f"<h1>The title</h1><p>{SENTENCES}</p><p>Second. {SENTENCES}</p>"
+NAV = "<nav><a href=a>Home</a> <a href=b>News</a></nav><ul class=menu><li><a href=c>One</a></li><li><a href=d>Two</a></li></ul>"
+LAYOUTS = {
+    "class of the article": f"<article class='post comments-open'>{STORY}</article>",
+    "class of the wrapper": f"<div class='layout no-sidebar'>{NAV}<article>{STORY}</article></div>",
+    "page in a form": f"<form id=aspnetForm>{NAV}<div>{STORY}</div></form>",
+    "plain divisions": f"{NAV}<div><div>{STORY}</div></div>",
+    "body alone": f"{NAV}{STORY}",
+    "table": f"{NAV}<table><tr><td>{STORY}</td></tr></table>",
+    "section with a search id": f"{NAV}<section id=search-results>{STORY}</section>",
+    "role of the page": f"{NAV}<div role=dialog>{STORY}</div>",
+    "social wrapper": f"<div class='social share'><div class=sidebar><a href=x>Elsewhere</a></div><div>{STORY}</div></div>",
+    "cards beside it": f"{NAV}<div class=content>{STORY}</div><article><a href=q>Card one</a></article><article><a href=r>Card two</a></article>",
+    "comments below": f"{NAV}<div>{STORY}</div><div id=comments><p>First! {SENTENCES}</p></div><div class=cookie-notice>We use cookies.</div>",
+    "header of the article": f"<article><header><h1>The title</h1></header><p>{SENTENCES}</p><p>Second. {SENTENCES}</p></article><footer>Foot</footer>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_the_whole_article_comes_out_of_any_layout(name):
+    want = "\n\n".join(["The title", SENTENCES.strip(), "Second. " + SENTENCES.strip()])
+    assert main_text(f"<html><body>{LAYOUTS[name]}</body></html>") == want
+
+
+def test_deep_pages_take_time_in_proportion():
+    deep = "<div>" * 4000 + "<p>Deep. text</p>" * 50 + "</div>" * 4000
+    assert main_text(deep) == "\n\n".join(["Deep. text"] * 50)
