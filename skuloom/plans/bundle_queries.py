@@ -83,7 +83,10 @@ def bundle_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models of all requested skus: one join of the distinct keys with the bundle."""
     store = ModelStore(spark, sf_dir)
-    return contents(lookup.lookup_many(store.bundle(), requests(spark, sf_dir), store.buckets()), "region", "bucket", "sku")
+    # Of the maps, the join moves the one entry that is read.
+    setting = F.create_map(F.lit("n_train"), F.col("params")["n_train"]).alias("params")
+    models = store.bundle().select("region", "bucket", "sku", "sku_n", "model_name", "model_blob_bytes", setting)
+    return contents(lookup.lookup_many(models, requests(spark, sf_dir), store.buckets()), "region", "bucket", "sku")
 
 
 @query("score_from_bundle", f"WITH {TELEMETRY} {SCORED}")
