@@ -19,6 +19,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from sentencepiece import sentencepiece_model_pb2
 from skuloom.llm.suffixes import search, suffix_array
 from skuloom.llm.text import distinct_spans, flat, pieces, positions, release
 
-PIECE_BYTES, CACHE_CHUNKS, INDEX_CHARS = 8 << 20, 150_000, 1 << 19
+PIECE_BYTES, CACHE_CHUNKS, INDEX_CHARS = 1 << 20, 150_000, 1 << 17
 DECODE_IDS = 1 << 18
 SPACE, MARK = "▁", "▁".encode()
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -304,6 +305,14 @@ def _listed(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(cuts), pa.int32()), values)
 
 
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The texts in runs of about PIECE_BYTES, so that ids and copies of a whole batch never stand beside it."""
+    for texts in batches:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in pieces(np.concatenate([[0], np.cumsum(sizes)]), PIECE_BYTES):
+            yield texts.slice(a, b - a)
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -321,7 +330,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", che
 
         @F.arrow_udf("array<int>")
         def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
+            for texts in _slices(batches):
                 yield _listed(_encode_texts(own_coder(), texts))
                 release()
             own_coder().forget()
@@ -330,7 +339,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", ids: str = "ids", che
 
     @F.arrow_udf("struct<ids:array<int>,same:boolean>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in _slices(batches):
             lists, same = _listed(_encode_texts(own_coder(), texts)), []
             values, at = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
             for t, back in zip(texts, _decode_ids(shared.value, values, at), strict=True):

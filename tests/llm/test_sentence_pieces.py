@@ -49,3 +49,22 @@ def test_round_trip(spark, edge, nothing, library):
     docs = S.encode(spark.read.parquet(f"{SF}/documents.parquet"), NAME)
     for r in docs.select("text", "ids").collect():
         assert r.ids == library.encode(r.text)
+
+
+def test_a_batch_is_encoded_in_slices(spark, library):
+    import pyarrow as pa
+
+    texts = pa.array(["the water", None, "", "x" * 40, "over and over"])
+    whole = S.PIECE_BYTES
+    try:
+        S.PIECE_BYTES = 20
+        parts = list(S._slices(iter([texts, texts.slice(0, 0), texts.slice(3)])))
+    finally:
+        S.PIECE_BYTES = whole
+    assert [len(p) for p in parts] == [3, 1, 1, 1, 1] and pa.concat_arrays(parts).to_pylist() == [*texts.to_pylist(), *texts.slice(3).to_pylist()]
+    docs = spark.range(900).coalesce(1).select("id", F.repeat(F.concat(F.lit("over the bridge "), F.col("id").cast("string")), 200).alias("text"))
+    rows = S.encode(docs, NAME, checked="same").collect()  # 3 MB in one batch
+    assert [r["id"] for r in rows] == list(range(900)) and all(r["same"] for r in rows)
+    assert all(r["ids"] == library.encode(r["text"]) for r in rows[::97])
+    plain = S.encode(docs, NAME).collect()
+    assert [r["ids"] for r in plain] == [r["ids"] for r in rows]
