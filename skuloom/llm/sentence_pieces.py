@@ -28,7 +28,7 @@ from sentencepiece import sentencepiece_model_pb2
 from skuloom.llm.suffixes import search, suffix_array
 from skuloom.llm.text import distinct_spans, flat, pieces, positions, release
 
-PIECE_BYTES, CACHE_CHUNKS, INDEX_CHARS = 1 << 20, 150_000, 1 << 17
+PIECE_BYTES, CACHE_CHUNKS, INDEX_CHARS = 1 << 20, 150_000, 1 << 18
 DECODE_IDS = 1 << 18
 SPACE, MARK = "▁", "▁".encode()
 NORMAL, UNKNOWN, BYTE = 1, 2, 6

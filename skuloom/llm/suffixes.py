@@ -63,4 +63,19 @@ def _bound(array: np.ndarray, symbols: np.ndarray, needles: np.ndarray, place: n
 
 def search(array: np.ndarray, symbols: np.ndarray, needles: np.ndarray, place: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Range [low, high) of the suffix array in which each needle, ``need`` symbols from ``place`` on, occurs."""
-    return _bound(array, symbols, needles, place, need, False), _bound(array, symbols, needles, place, need, True)
+    low = _bound(array, symbols, needles, place, need, False)
+    high = low.copy()
+    # Only needles that begin the suffix at their lower bound occur at all, and need the other one.
+    some = np.flatnonzero(low < len(array))
+    k = 0
+    going = some[need[some] > 0]
+    found = np.ones(len(low), bool)
+    found[low >= len(array)] = False
+    while len(going):
+        same = symbols[array[low[going]] + k] == needles[place[going] + k]
+        found[going[~same]] = False
+        k += 1
+        going = going[same & (need[going] > k)]
+    at = np.flatnonzero(found)
+    high[at] = _bound(array, symbols, needles, place[at], need[at], True)
+    return low, high
