@@ -4,6 +4,9 @@ An event says that a run had a status at a time. Writers only append; the latest
 event's other values, is its status, so repeated, late and out-of-order events change nothing that a later one has said.
 :func:`compact` folds the events written since into the state: the state is cut into ranges of hashed ids, and only ranges
 that have new events are read and written again. Both are found through one small record of what stands.
+
+An append is written where its rows lie, without a shuffle. A compaction shuffles once: events come to their piece of a range,
+where they are folded and written; ids of 32 hex digits travel as 16 bytes. The state alone is read without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,16 +30,42 @@ def _range(run_id: str = "run_id") -> Column:
 def append(events: DataFrame, log: str) -> None:
     """Add events (see ``EVENTS``), each append a folder of its own; a repeated append is a repeated event, which changes nothing."""
     folder = f"{log}/events/part={uuid.uuid4().hex[:16]}"
-    rows = events.select(*[F.col(c.split()[0]) for c in EVENTS.split(", ")]).withColumn("range", _range())
-    rows.hint("rebalance", "range").write.partitionBy("range").parquet(folder)
+    rows = events.select(*[F.col(c.split()[0]) for c in EVENTS.split(", ")])
+    rows.write.option("compression", "zstd").parquet(folder)
+
+
+def _packed(events: DataFrame) -> DataFrame:
+    """Events with a run id, which stands as bytes in ``id``: a zero and 16 bytes if it is 32 hex digits, else a one and its text."""
+    hex_digits = F.col("run_id").rlike("^[0-9a-f]{32}\\z")
+    short = F.concat(F.unhex(F.lit("00")), F.unhex(F.when(hex_digits, F.col("run_id"))))
+    packed = F.coalesce(short, F.concat(F.unhex(F.lit("01")), F.encode("run_id", "UTF-8")))
+    return events.where("run_id is not null").withColumn("id", packed).drop("run_id")
+
+
+def _unpacked(events: DataFrame, *more: str) -> DataFrame:
+    tail = F.substring("id", 2, 2**31 - 1)
+    run_id = F.when(F.substring("id", 1, 1) == F.unhex(F.lit("00")), F.lower(F.hex(tail))).otherwise(F.decode(tail, "UTF-8"))
+    return events.withColumn("run_id", run_id).drop("id").select(*[c.split()[0] for c in EVENTS.split(", ")], *more)
+
+
+def _newest() -> Column:
+    """All that an event says is what it is ordered by, so the greatest is the event itself."""
+    return F.max(F.struct("at", "seq", "status", "error", "region")).alias("e")
 
 
 def latest(events: DataFrame) -> DataFrame:
     """One row per run: its latest event. Events without a run id say nothing."""
     names = [c.split()[0] for c in EVENTS.split(", ")]
-    order = F.struct(*[F.col(c) for c in ("at", "seq", "status", "error", "region")])
-    newest = F.max_by(F.struct(*names), order)
-    return events.where("run_id is not null").groupBy("run_id").agg(newest.alias("e")).select("e.*")
+    return events.where("run_id is not null").groupBy("run_id").agg(_newest()).select("run_id", "e.*").select(*names)
+
+
+def _folded(events: DataFrame) -> DataFrame:
+    """:func:`latest` with the range of each run, runs of a range together in a few tasks, about as many in all as the session shuffles to."""
+    pieces = -(-int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")) // RANGES)
+    piece = F.pmod(F.floor(F.xxhash64("run_id") / F.lit(RANGES)), F.lit(pieces)).cast("int").alias("piece")
+    placed = _packed(events.select("*", _range(), piece)).repartition("range", "piece")
+    newest = placed.groupBy("range", "piece", "id").agg(_newest()).select("range", "id", "e.*")
+    return _unpacked(newest, "range")
 
 
 def _parts(spark: SparkSession, log: str) -> list[str]:
@@ -66,26 +95,24 @@ def _stands(spark: SparkSession, log: str) -> tuple[dict[int, str], set[str]]:
 
 
 def _read(spark: SparkSession, log: str, folders: list[str], parts: list[str]) -> DataFrame:
-    rows = spark.createDataFrame([], EVENTS + ", range int")
-    if folders:
-        rows = rows.unionByName(spark.read.schema(EVENTS).parquet(*folders).withColumn("range", _range()))
-    if parts:
-        schema = EVENTS + ", part string, range int"
-        events = spark.read.schema(schema).option("basePath", f"{log}/events").parquet(*[f"{log}/events/{p}" for p in parts])
-        rows = rows.unionByName(events.drop("part"))
-    return rows
+    """Rows of ranges of the state and of appends; older appends have a folder for each range."""
+    paths = [*folders, *[f"{log}/events/{p}" for p in parts]]
+    if not paths:
+        return spark.createDataFrame([], EVENTS)
+    return spark.read.schema(EVENTS).option("recursiveFileLookup", "true").parquet(*paths)
 
 
 def current(spark: SparkSession, log: str) -> DataFrame:
     """The status of every run: the state, and the events that it does not hold yet."""
     folders, held = _stands(spark, log)
     fresh = [p for p in _parts(spark, log) if p not in held]
-    return latest(_read(spark, log, list(folders.values()), fresh))
+    rows = _read(spark, log, list(folders.values()), fresh)
+    return latest(rows) if fresh else rows
 
 
 def history(spark: SparkSession, log: str) -> DataFrame:
-    """All events once, however often they were appended."""
-    return _read(spark, log, [], _parts(spark, log)).drop("range").where("run_id is not null").distinct()
+    """All events once, however often they were appended; those of a run lie together."""
+    return _read(spark, log, [], _parts(spark, log)).where("run_id is not null").repartition("run_id").distinct()
 
 
 def compact(spark: SparkSession, log: str) -> int:
@@ -97,15 +124,11 @@ def compact(spark: SparkSession, log: str) -> int:
     fresh = [p for p in _parts(spark, log) if p not in held]
     if not fresh:
         return 0
-    touched = sorted(r[0] for r in _read(spark, log, [], fresh).select("range").distinct().collect())
+    touched = sorted(r[0] for r in _read(spark, log, [], fresh).select(_range()).distinct().collect())
     version = uuid.uuid4().hex[:16]
     old = [folders[r] for r in touched if r in folders]
-    schema = EVENTS + ", part string, range int"
-    events = spark.read.schema(schema).option("basePath", f"{log}/events").parquet(*[f"{log}/events/{p}" for p in fresh]).drop("part")
-    rows = _read(spark, log, old, []).unionByName(events)
-    folded = latest(rows).withColumn("range", _range())
     root = f"{log}/ranges/{version}"
-    folded.hint("rebalance", "range").write.partitionBy("range").parquet(root)
+    _folded(_read(spark, log, old, fresh)).write.option("compression", "zstd").partitionBy("range").parquet(root)
     written = {r: f"{root}/range={r}" for r in touched if path_exists(spark, f"{root}/range={r}")}
     stands = folders | written
     record = [("range", r, f) for r, f in stands.items()] + [("part", None, p) for p in sorted(held | set(fresh))]

@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from plan_cases import fixture_plan
-from skuloom.operators import lookup, train, user_models
-from skuloom.plans import source_queries
+from skuloom.operators import lookup, registry, run_log, train, user_models
+from skuloom.plans import registration, source_queries
 from skuloom.session import fresh_path
-from skuloom.sources import tables
+from skuloom.sources import older, tables
 
 
 def executed(df):
@@ -94,3 +94,25 @@ def test_copies_are_made_of_counts(spark, tmp_path):
     want = {(f"SKU-{n + 3 * c:06d}", rows, total) for c in range(3) for n, rows, total in ((1, 2, 6), (2, 1, 6))}
     assert got == want | {(None, 6, 60)} and out.count() == 7
     assert "l_orderkey" not in executed(out)
+
+
+LOGGED = [("0123456789abcdef" * 2, 1), ("0123456789ABCDEF" * 2, 2), ("", 3), ("0" * 33, 4), ("é" * 16, 5), ("0" * 31 + "\n", 6), ("run-7", 7)]
+
+
+def test_run_log_shuffles_events_once_in_a_compaction(spark, tmp_path):
+    log, at = str(tmp_path / "log"), datetime(2024, 1, 1)
+    events = spark.createDataFrame([(i, None if n == 3 else "r", "RUNNING", None, at, n) for i, n in [*LOGGED, (None, 8)]], run_log.EVENTS)
+    old = events.withColumn("range", run_log._range())  # as appends were laid out before
+    old.write.partitionBy("range").parquet(f"{log}/events/part=0000000000000000")
+    run_log.append(events, log)
+    assert not [p for p in (tmp_path / "log/events").glob("part=*/range=*") if "0000000000000000" not in str(p)]
+    newest = executed(run_log._folded(events))
+    assert newest.count("Exchange") == 1 and "hashpartitioning(range" in newest
+    expected = sorted((i, n) for i, n in LOGGED)
+    for folded in (False, True):
+        assert not folded or run_log.compact(spark, log) > 0
+        now = run_log.current(spark, log)
+        assert sorted((r["run_id"], r["seq"]) for r in now.collect()) == expected
+        assert ("Exchange" in executed(now)) != folded  # the state has one row a run
+    counted = run_log.history(spark, log).groupBy("run_id").count()
+    assert executed(counted).count("Exchange") == 1 and {r["count"] for r in counted.collect()} == {1}
