@@ -116,3 +116,15 @@ def test_run_log_shuffles_events_once_in_a_compaction(spark, tmp_path):
         assert ("Exchange" in executed(now)) != folded  # the state has one row a run
     counted = run_log.history(spark, log).groupBy("run_id").count()
     assert executed(counted).count("Exchange") == 1 and {r["count"] for r in counted.collect()} == {1}
+
+
+def test_older_texts_are_read_once(spark):
+    rows = spark.createDataFrame([(1, '{"rmse": 1.5}'), (2, "[1]"), (3, None), (4, "{")], "n int, text string")
+    every = older.judged(rows, "text", ["rmse"])
+    assert {r["n"]: (r["metrics"], r["reason"]) for r in every.where("n in (1, 3)").collect()} == {1: ({"rmse": 1.5}, None), 3: ({}, None)}
+    assert {r["n"]: r["reason"] for r in every.collect()} == {1: None, 2: "no object", 3: None, 4: "no JSON"}
+
+
+def test_json_variants_reads_the_plan_once(spark):
+    found = source_queries.json_variants(spark, "/root/testdata/sf0.001")
+    assert executed(found).count("FileScan") == 1 and found.count() == 15
