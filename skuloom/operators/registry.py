@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -84,8 +85,19 @@ def nested_runs(plan: DataFrame) -> DataFrame:
     return region_runs(plan).unionByName(skus).unionByName(model_runs(plan))
 
 
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Plan keys with marks at the first row of a region and at the first of a sku of each batch."""
+    for batch in batches:
+        keys = batch.select(["region", "sku"]).to_pandas()
+        marks = [pa.array(~keys.duplicated(c).to_numpy()) for c in (["region"], ["region", "sku"])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *marks], [*batch.schema.names, "__region", "__sku"])
+
+
 def run_rows(plan: DataFrame) -> DataFrame:
-    """The runs of each plan row by itself, its region's and its sku's again and again: for streams, which drop those seen before."""
+    """The runs of plan rows for streams, which drop those seen before: a region's and a sku's come again in every Arrow batch that has them."""
+    plan = plan.select("region", "sku", "model_name")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema)
+    plan = plan.mapInArrow(_first_rows, f"{ddl}, `__region` boolean, `__sku` boolean")
     region, sku, model = F.col("region"), F.col("sku"), F.col("model_name")
 
     def run(layer: str, run_id: Column, parent: Column, name: Column, tags: Column) -> Column:
@@ -94,14 +106,14 @@ def run_rows(plan: DataFrame) -> DataFrame:
 
     region_id, sku_id = S.run_id("region", region), S.run_id("sku", region, sku)
     rows = F.array(
-        run("region", region_id, F.lit(None).cast("string"), S.region_run_name(region), _tags(layer="region", region=region)),
-        run("sku", sku_id, region_id, S.sku_run_name(sku), _tags(layer="sku", region=region, sku=sku)),
+        F.when(F.col("__region"), run("region", region_id, F.lit(None).cast("string"), S.region_run_name(region), _tags(layer="region", region=region))),
+        F.when(F.col("__sku"), run("sku", sku_id, region_id, S.sku_run_name(sku), _tags(layer="sku", region=region, sku=sku))),
         run(
             "model", S.run_id("model", region, sku, model), sku_id, S.model_run_name(sku, model),
             _tags(layer="model", region=region, sku=sku, model_name=model),
         ),
     )
-    return plan.select(F.inline(rows))
+    return plan.select(F.inline(F.array_compact(rows)))
 
 
 def endpoint_runs(

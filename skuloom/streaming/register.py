@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skuloom.operators import registry
-from skuloom.session import materialize, state_in_rocks_db
+from skuloom.session import fresh_path, materialize, state_in_rocks_db
 from skuloom.sources import tables
 
 RUNS = "run_id string, parent_id string, layer string, run_name string, experiment string, tags map<string,string>"
@@ -24,16 +24,17 @@ def registered(spark: SparkSession, root: str) -> DataFrame:
 def register_batch(root: str, known: str) -> Callable[[DataFrame, int], None]:
     """Runs that the state has not seen before are stored under the query that found them and the number of its batch.
 
-    Only a query's first batch looks at earlier runs: the ids that stood in ``known`` when the query was made. They go into the
-    state with that batch, so no id is read again.
+    Only a query's first batch looks at earlier runs: the ids that stood in ``known`` when the query was made, if any did. They go
+    into the state with that batch, so no id is read again.
     """
 
     def register(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         source = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
         wanted = batch.where("not seeded").drop("seeded")
-        if batch_id == 0:
-            wanted = registry.not_registered(wanted, spark.read.schema("run_id string").parquet(known))
+        if batch_id == 0 and not (earlier := spark.read.schema("run_id string").parquet(known)).isEmpty():
+            # Both joins read the wanted rows: without this copy the batch and its state would be worked out for each.
+            wanted = registry.not_registered(materialize(wanted, fresh_path(spark, "wanted")), earlier)
         rows = wanted.withColumns({"source": F.lit(source), "batch": F.lit(batch_id).cast("bigint")})
         writer = rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("source", "batch").parquet(root)

@@ -128,3 +128,13 @@ def test_older_texts_are_read_once(spark):
 def test_json_variants_reads_the_plan_once(spark):
     found = source_queries.json_variants(spark, "/root/testdata/sf0.001")
     assert executed(found).count("FileScan") == 1 and found.count() == 15
+
+
+def test_a_stream_names_a_region_once_a_batch(spark):
+    plan = spark.createDataFrame(
+        [(r, s, m) for r in ("A", None) for s in ("S-1", "S-2") for m in ("x", "y", "z")], "region string, sku string, model_name string"
+    ).coalesce(1)
+    layers = {r["layer"]: r["count"] for r in registry.run_rows(plan).groupBy("layer").count().collect()}
+    assert layers == {"region": 2, "sku": 4, "model": 12}
+    runs = registry.nested_runs(plan.where("region = 'A'")).collect()
+    assert sorted(map(str, registry.run_rows(plan.where("region = 'A'")).collect())) == sorted(map(str, runs))
