@@ -138,3 +138,14 @@ def test_a_stream_names_a_region_once_a_batch(spark):
     assert layers == {"region": 2, "sku": 4, "model": 12}
     runs = registry.nested_runs(plan.where("region = 'A'")).collect()
     assert sorted(map(str, registry.run_rows(plan.where("region = 'A'")).collect())) == sorted(map(str, runs))
+
+
+def test_few_regions_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS volume")
+    fixture_plan(spark, 6, 2, 64, ["A", "B"]).write.parquet(str(tmp_path / "plan"))
+    plan, spread = spark.read.parquet(str(tmp_path / "plan")), []
+    monkeypatch.setattr(tables, "spread_by", lambda df, *keys: spread.append(keys) or df.hint("rebalance", *keys))
+    for limit, expected in ((32, []), (1, [("region",)])):
+        monkeypatch.setattr(registration, "REGIONS_IN_PLACE", limit)
+        registration.register(plan, f"volume.few_{limit}", str(tmp_path / f"bundle_{limit}"))
+        assert spread == expected and spark.read.table(f"volume.few_{limit}").count() == 24
