@@ -42,8 +42,8 @@ def suffix_array(symbols: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarra
     return order + lo
 
 
-def _bound(array: np.ndarray, symbols: np.ndarray, needles: np.ndarray, place: np.ndarray, need: np.ndarray, after: bool) -> np.ndarray:
-    low, high = np.zeros(len(place), np.int64), np.full(len(place), len(array), np.int64)
+def _bound(array: np.ndarray, symbols: np.ndarray, needles: np.ndarray, place: np.ndarray, need: np.ndarray, after: bool, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    low, high = low.copy(), high.copy()
     while (open_ := np.flatnonzero(low < high)).size:
         mid = (low[open_] + high[open_]) >> 1
         doc, at, size = array[mid], place[open_], need[open_]
@@ -61,9 +61,21 @@ def _bound(array: np.ndarray, symbols: np.ndarray, needles: np.ndarray, place: n
     return low
 
 
+def _begun(array: np.ndarray, symbols: np.ndarray, needles: np.ndarray, place: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Range of the suffixes that begin with the first two symbols of each needle, from one sorted array of packed pairs."""
+    if symbols.dtype != np.uint32 or not len(place) or need.min() < 1 or need.max() < 2:
+        return np.zeros(len(place), np.int64), np.full(len(place), len(array), np.int64)
+    pairs = symbols[array].astype(np.uint64) << np.uint64(32) | symbols[array + 1]
+    one, two = needles[place].astype(np.uint64) << np.uint64(32), need > 1
+    second = needles[place + two].astype(np.uint64)
+    low = np.searchsorted(pairs, one | np.where(two, second, np.uint64(0)))
+    return low, np.searchsorted(pairs, one | np.where(two, second, np.uint64(0xFFFFFFFF)), "right")
+
+
 def search(array: np.ndarray, symbols: np.ndarray, needles: np.ndarray, place: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Range [low, high) of the suffix array in which each needle, ``need`` symbols from ``place`` on, occurs."""
-    low = _bound(array, symbols, needles, place, need, False)
+    begin, end = _begun(array, symbols, needles, place, need)
+    low = _bound(array, symbols, needles, place, need, False, begin, end)
     high = low.copy()
     # Only needles that begin the suffix at their lower bound occur at all, and need the other one.
     some = np.flatnonzero(low < len(array))
@@ -77,5 +89,5 @@ def search(array: np.ndarray, symbols: np.ndarray, needles: np.ndarray, place: n
         k += 1
         going = going[same & (need[going] > k)]
     at = np.flatnonzero(found)
-    high[at] = _bound(array, symbols, needles, place[at], need[at], True)
+    high[at] = _bound(array, symbols, needles, place[at], need[at], True, low[at], end[at])
     return low, high

@@ -27,3 +27,19 @@ def test_passages_hash_a_megabyte_at_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), texts], ["id", "text"])
     for step in (collinear_chains._seeds, collinear_chains._run_keys, collinear_chains._word_blocks):
         assert sum(b.num_rows for b in step(iter([batch]))) and max(seen) <= 1 << 20
+
+
+def test_search_begins_at_the_first_two_symbols(monkeypatch):
+    rng = np.random.default_rng(5)
+    symbols = np.concatenate([rng.integers(0, 4, 300), np.zeros(8, np.int64)]).astype(np.uint32)
+    array = suffixes.suffix_array(symbols, 0, 300, 8)
+    need = rng.integers(1, 8, 200)
+    flat = rng.integers(0, 5, int(need.sum())).astype(np.uint32)
+    place = np.cumsum(need) - need
+    narrow = suffixes.search(array, symbols, flat, place, need)
+    begin, end = suffixes._begun(array, symbols, flat, place, need)
+    assert (end - begin).max() < 200 and (end - begin)[need > 1].max() < 60
+    wide = suffixes.search(array, symbols.astype(np.uint64), flat.astype(np.uint64), place, need)  # no pairs are packed
+    for a, b in zip(narrow, wide, strict=True):
+        assert np.array_equal(a[narrow[1] > narrow[0]], b[wide[1] > wide[0]])
+    assert np.array_equal(narrow[1] - narrow[0], wide[1] - wide[0])
