@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuloom.llm.components import components
-from skuloom.llm.rows import apart, free_name, only
+from skuloom.llm.rows import apart, free_name, only, without
 from skuloom.llm.text import LOWER, SOLID_BYTES, flat, mix, pieces, release, span_hashes, spans
 from skuloom.session import fresh_path, materialize
 
@@ -44,6 +44,8 @@ _SHIFT = _rng.integers(0, 2**64 - 1, VALUES, dtype=np.uint64)
 SIGN_BYTES = 1 << 20
 # A longer sketch, made only for rows whose region is not connected: 2048 bits, estimates to 0.013, again 3.9 deviations.
 LONGS, LONG_FAR = 32, 257
+# Rows whose 2048 values are held at a time: 8 MB.
+LONG_ROWS = 1 << 10
 _LONG_FACTOR = _rng.integers(0, 2**63, LONGS * 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LONG_SHIFT = _rng.integers(0, 2**64 - 1, LONGS * 64, dtype=np.uint64)
 _ROLL = _rng.integers(0, 2**63, DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,6 +145,8 @@ def _shingle_set(size: int):
                 ends.append(ends[-1][-1] + np.cumsum(counts))
             values = np.concatenate(hashes).view(np.int64) if hashes else np.empty(0, np.int64)
             yield pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(values))
+            del hashes, values
+            release()
 
     return found
 
@@ -200,6 +204,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = n - 1
         held = {c: own[c][[region[last], one[last], two[last]]] for c in names}
         yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in REGIONS.split(", ")])
+    release()
 
 
 def _long_sketch():
@@ -208,9 +213,15 @@ def _long_sketch():
         for sets in batches:
             hashes = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             counts = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            values = signatures(hashes, counts, _LONG_FACTOR, _LONG_SHIFT)
-            longs = np.packbits((values & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64) if len(values) else np.empty((0, LONGS), np.int64)
+            cut = np.concatenate([[0], np.cumsum(counts)])
+            parts = [np.empty((0, LONGS), np.int64)]
+            for a in range(0, len(counts), LONG_ROWS):
+                b = min(a + LONG_ROWS, len(counts))
+                values = signatures(hashes[cut[a] : cut[b]], counts[a:b], _LONG_FACTOR, _LONG_SHIFT)
+                parts.append(np.packbits((values & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64))
+            longs = np.concatenate(parts)
             yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(longs) * LONGS + 1, LONGS), pa.int32()), pa.array(longs.reshape(-1)))
+            release()
 
     return sketch
 
@@ -318,14 +329,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     found = materialize(near_duplicates(rows, own, text, **options), fresh_path(docs.sparkSession, "near_duplicates"))
     gone = found.where(F.col("component_id") != F.col(own)).select(F.col(own).alias("id")).distinct()
     again = found.where(F.col(own) == F.col("component_id")).groupBy(F.col(own).alias("id")).count().where("count > 1").select("id")
-    kept = _without(rows, own, gone)
+    kept = without(rows, own, gone)
     if again.isEmpty():
         return kept.drop(own)
     plain = [f.name for f in docs.schema if f.name != text and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    one = _without(kept, own, again, "left_semi").groupBy(own).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__one"))
-    return _without(kept, own, again).drop(own).unionByName(one.select("__one.*"))
+    one = _among(kept, own, again).groupBy(own).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__one"))
+    return without(kept, own, again).drop(own).unionByName(one.select("__one.*"))
 
 
-def _without(rows: DataFrame, own: str, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+def _among(rows: DataFrame, own: str, ids: DataFrame) -> DataFrame:
     other = free_name(rows, "__gone")
-    return rows.join(ids.withColumnRenamed("id", other), F.col(own) == F.col(other), how)
+    return rows.join(ids.withColumnRenamed("id", other), F.col(own) == F.col(other), "left_semi")

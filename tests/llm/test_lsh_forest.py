@@ -124,3 +124,19 @@ def test_rows_of_one_id_with_different_texts_are_documents_of_their_own(spark):
     # Of the two near copies of q one stays; which of them is decided by hash.
     assert [g for g in got if not g[1].startswith(q)] == [(0, p), (0, p), (1, p), (3, ""), (3, ""), (9, "alone")]
     assert len([g for g in got if g[1].startswith(q)]) == 1
+
+
+def test_kept_documents_are_not_shuffled(spark):
+    """Only rows that the bit map cannot tell from removed ones are joined with them, also where that is no broadcast."""
+    rows = planted()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = L.deduplicate(as_docs(spark, [*rows, (None, "alone")]).repartition(2).selectExpr("*", "doc_id as `__map`", "doc_id as `__gone`"))
+        plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    kept = {i for i, _, c in brute(rows, 5) if i == c}
+    assert {r.doc_id for r in got} == kept | {None} and len(got) == len(kept) + 1 and out.columns[-2:] == ["__map", "__gone"]
+    assert "Union" in plan and "LeftAnti" in plan and "hashpartitioning(__own" not in plan
