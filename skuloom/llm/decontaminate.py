@@ -26,6 +26,8 @@ WINDOW = 13
 #: Benchmark bytes broadcast at once; a larger benchmark is searched in several such blocks.
 BLOCK_BYTES = 32 << 20
 SHARD_WORDS = 1 << 20
+#: Text whose suffixes are sorted at once; its words and arrays take some thirty times as much.
+TEXT_BYTES = 1 << 20
 MATCHES = "array<struct<doc_word:int,n_words:int,item_word:int,item_ids:array<string>>>"
 _MATCH = pa.struct(
     [("doc_word", pa.int32()), ("n_words", pa.int32()), ("item_word", pa.int32()), ("item_ids", pa.list_(pa.string()))]
@@ -131,7 +133,7 @@ def _finder(block: Broadcast):
         for texts in batches:
             data, offsets = flat(texts)
             counts, found = np.zeros(len(texts), np.int64), [[] for _ in range(len(texts))]
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, TEXT_BYTES):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], of.window)
                 counts[a:b] = words.counts
                 for t, s, n, item, at in matches(words, of):
