@@ -146,6 +146,16 @@ def test_a_replayed_batch_changes_nothing(spark, plan, tmp_path):
     assert ids(spark, runs) == before
 
 
+def test_a_batch_adds_its_changes_to_the_checkpoint(spark, plan, tmp_path):
+    """Not the files of the state that it wrote anew; the session's own settings stay."""
+    source, runs, at = str(tmp_path / "in"), str(tmp_path / "runs"), str(tmp_path / "at")
+    plan.repartition(3, F.rand(2)).write.parquet(source)
+    started(spark, plan, source, runs, at)
+    state = [f.suffix for f in (tmp_path / "at" / "state").rglob("[0-9]*") if f.is_file()]
+    assert state.count(".changelog") >= 3 and ".zip" not in state and ".sst" not in state
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", None) in (None, "false")
+
+
 def test_fifty_batches_read_each_row_once(spark, plan, tmp_path):
     source, runs = str(tmp_path / "in"), str(tmp_path / "runs")
     plan.repartitionByRange(50, "sku", "model_name", "region").write.parquet(source)
